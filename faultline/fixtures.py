@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.sources.tables import spread
+
 # md5 over the whole line, doubles as fixed decimals and the date as text: the
 # order and line numbers alone repeat.
 LINE_KEY = (
@@ -106,7 +108,7 @@ def as_sql(pairs, source: str) -> str:
 def sensor_raw(spark: SparkSession, sf_dir: str, key: bool = False, wide: bool = False) -> DataFrame:
     pairs = SENSOR_WIDE if wide else SENSOR_RAW
     pairs = ([("row_key", LINE_KEY)] if key else []) + pairs
-    return _project(table(spark, sf_dir, "lineitem"), pairs)
+    return _project(spread(table(spark, sf_dir, "lineitem")), pairs)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from faultline import schema as S
 from faultline.functions import expressions as X
 
 _BUCKET_ROWS = 1_000_000   # scores one task may run a cumulative sum over
-_MAX_BUCKETS = 10_000
+_MAX_BUCKETS = 4_096
 
 MEASURES = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")
 
@@ -115,14 +115,18 @@ def score_curve(
 
 
 def _score_edges(scored: DataFrame, bucket_rows: int) -> list[float]:
-    """Score values that cut the rows into ranges; at most ``_MAX_BUCKETS`` numbers."""
-    n = scored.count()
+    """Score values that cut the rows into ranges; at most ``_MAX_BUCKETS`` numbers.
+
+    One pass gives both the row count and evenly spaced quantiles; as many of these
+    are used as the rows call for.
+    """
+    shares = [i / _MAX_BUCKETS for i in range(1, _MAX_BUCKETS)]
+    n, quantiles = scored.agg(
+        F.count(F.lit(1)), F.percentile_approx("score", shares, 20 * _MAX_BUCKETS)).collect()[0]
     ranges = min(_MAX_BUCKETS, n // bucket_rows)
     if ranges < 2:
         return []
-    shares = [i / ranges for i in range(1, ranges)]
-    accuracy = max(10_000, 20 * ranges)
-    return sorted(set(scored.agg(F.percentile_approx("score", shares, accuracy).alias("q")).collect()[0]["q"]))
+    return sorted({quantiles[i * _MAX_BUCKETS // ranges - 1] for i in range(1, ranges)})
 
 
 def _auc() -> Column:

@@ -248,6 +248,31 @@ def preprocess_summary(df: DataFrame, column: str = S.CLASS) -> DataFrame:
     )
 
 
+def assert_raw(df: DataFrame, rows: int, columns: int, column: str = S.CLASS) -> DataFrame:
+    """The contract of a raw sensor set as (check, passed, observed) rows."""
+    if column not in df.columns:
+        raise ValueError(f"no column {column!r}")
+    target = F.col(column)
+    one = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(target == S.NEGATIVE).alias("neg"),
+        F.count_if(target == S.POSITIVE).alias("pos"),
+        F.count_if(target.isNotNull() & ~target.isin(S.NEGATIVE, S.POSITIVE)).alias("others"),
+    )
+    both = (F.col("neg") > 0) & (F.col("pos") > 0) & (F.col("others") == 0)
+    width = F.lit(len(df.columns))
+    return one.select(F.inline(F.array(
+        _check("row_count", F.col("rows") == rows, F.col("rows")),
+        _check("column_count", width == columns, width),
+        _check("classes", both, F.col("others")),
+    )))
+
+
+def _check(name: str, passed, observed):
+    return F.struct(
+        F.lit(name).alias("check"), passed.alias("passed"), observed.cast("bigint").alias("observed"))
+
+
 def assert_processed(df: DataFrame, rows: int, features: int, column: str = S.CLASS) -> DataFrame:
     """Post-conditions of preprocessing as (check, passed, observed) rows.
 
@@ -264,15 +289,11 @@ def assert_processed(df: DataFrame, rows: int, features: int, column: str = S.CL
         F.count_if(~F.coalesce(target.isin(0, 1), F.lit(False))).alias("others"),
     )
 
-    def check(name, passed, observed):
-        return F.struct(
-            F.lit(name).alias("check"), passed.alias("passed"), observed.cast("bigint").alias("observed"))
-
     binary = (F.col("zeros") > 0) & (F.col("ones") > 0) & (F.col("others") == 0)
     width = F.lit(len(names))
     return one.select(F.inline(F.array(
-        check("no_missing", F.col("missing") == 0, F.col("missing")),
-        check("target_is_binary", binary, F.col("others")),
-        check("row_count", F.col("rows") == rows, F.col("rows")),
-        check("feature_count", width == features, width),
+        _check("no_missing", F.col("missing") == 0, F.col("missing")),
+        _check("target_is_binary", binary, F.col("others")),
+        _check("row_count", F.col("rows") == rows, F.col("rows")),
+        _check("feature_count", width == features, width),
     )))

@@ -289,6 +289,7 @@ ORACLES: dict[str, str] = {
     "high_risk": HIGH,
     "maintenance_priority": WITH_PRIORITY,
     "maintenance_actions": WITH_ACTION,
+    "format_percent": f"""SELECT prediction_id, {P}, format('{{:.2f}}%', {P} * 100) AS {P}_text FROM ({PREDICTIONS}) p""",
     "prediction_frame": f"""SELECT prediction_id, prediction,
         CASE prediction WHEN 0 THEN 'NO_FAILURE' WHEN 1 THEN 'FAILURE' END AS prediction_label, {P},
         {_RISK} AS risk_level FROM ({PREDICTIONS}) p""",
@@ -330,6 +331,10 @@ ORACLES: dict[str, str] = {
         round(CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER (), 4) FROM t GROUP BY class""",
     "class_balance": f"""WITH {_stratified(RAW_KEYED)}
         SELECT split, {LABEL} AS label, count(*) AS row_count FROM s GROUP BY split, class""",
+    "assert_raw": f"""WITH t AS ({TYPED})
+        SELECT 'row_count' AS "check", true AS passed, count(*) AS observed FROM t UNION ALL
+        SELECT 'column_count', true, CAST(10 AS BIGINT) UNION ALL
+        SELECT 'classes', count(DISTINCT class) = 2, count(*) FILTER (WHERE class NOT IN ('neg', 'pos')) FROM t""",
     "assert_processed": f"""WITH t AS ({TYPED})
         SELECT 'no_missing' AS "check", true AS passed, CAST(0 AS BIGINT) AS observed UNION ALL
         SELECT 'target_is_binary', count(DISTINCT class) = 2, count(*) FILTER (WHERE class NOT IN ('neg', 'pos')) FROM t UNION ALL
@@ -398,6 +403,9 @@ ORACLES: dict[str, str] = {
         CAST(1 AS INTEGER) AS features, '{name}' AS metric, round(CAST("{c}" AS DOUBLE), 6) AS value FROM mm CROSS JOIN runs"""
         for name, c in [("true_negatives", "tn"), ("false_positives", "fp"), ("false_negatives", "fn"),
                         ("true_positives", "tp"), *((m, m) for m in _SIX)]),
+    "batch_score_job": """SELECT count(*) AS row_count, count(*) AS distinct_rows, CAST(1 AS BIGINT) AS first_id,
+        count(*) AS last_id, CAST(count(*) AS DOUBLE) * (count(*) + 1) / 2 AS id_sum, CAST(0 AS BIGINT) AS wrong_rows
+        FROM lineitem""",
     "tree_shap_additivity": "SELECT count(*) AS row_count, count(*) AS additive_rows FROM lineitem",
     # Evaluation
     "confusion_matrix": f"SELECT {_NAMED} FROM ({COUNTS}) k",

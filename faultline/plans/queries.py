@@ -382,6 +382,12 @@ def class_balance(spark, sf):
     return profile.class_balance(clean.encode_target(split, out="label"), split="split")
 
 
+@query
+def assert_raw(spark, sf):
+    typed = _typed(spark, sf)
+    return profile.assert_raw(typed, fixtures.table(spark, sf, "lineitem").count(), 10)
+
+
 @query
 def assert_processed(spark, sf):
     raw = _raw(spark, sf)
@@ -540,8 +546,17 @@ def latest_predictions(spark, sf):
 BOOST = scoring.BoostParams(rounds=8, depth=4, step=0.2, bins=64)
 
 
+@lru_cache(maxsize=32)
+def _tables_path(app: str, sf: str) -> str:
+    """The complete, split sensor rows, written once per session and table folder."""
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "model-tables")
+    sample.exact_stratified_split(tables.stage(_complete(spark, sf), "complete")).write.parquet(path)
+    return path
+
+
 def _split(spark, sf) -> DataFrame:
-    return sample.exact_stratified_split(_complete(spark, sf))
+    return spark.read.parquet(_tables_path(spark.sparkContext.applicationId, sf))
 
 
 @lru_cache(maxsize=32)
@@ -609,12 +624,12 @@ def train_boosted(spark, sf):
 
 @query
 def score_proba(spark, sf):
-    return scoring.score_proba(_model(spark, sf, "logreg"), _complete(spark, sf), [S.ROW_KEY])
+    return scoring.score_proba(_model(spark, sf, "logreg"), _split(spark, sf), [S.ROW_KEY])
 
 
 @query
 def score_class(spark, sf):
-    return scoring.score_class(_model(spark, sf, "logreg"), _complete(spark, sf), [S.ROW_KEY])
+    return scoring.score_class(_model(spark, sf, "logreg"), _split(spark, sf), [S.ROW_KEY])
 
 
 @query
@@ -624,7 +639,7 @@ def sink_model(spark, sf):
     path = scratch_path(spark, "model-copy")
     model_store.save_model(model, path)
     copy, _ = model_store.load_model(path)
-    rows = _complete(spark, sf)
+    rows = _split(spark, sf)
     first = scoring.score(model, rows).withColumnRenamed(_P, "before").drop("prediction")
     both = scoring.score(copy, first)
     return both.agg(
@@ -643,11 +658,18 @@ def sink_metrics(spark, sf):
 
 @query
 def batch_score_job(spark, sf):
-    """Source to stored batch; the stored rows per risk level."""
+    """Source to stored batch: every source row once, ids dense, labels and risks in line with the score."""
     batch = model_plans.batch_score(
         _raw(spark, sf, key=True, wide=True), _saved(spark, sf, "boosted"), scratch_path(spark, "scores"), "batch-1")
-    return batch.groupBy("prediction_label", "risk_level").agg(
-        F.count(F.lit(1)).alias("row_count"), F.countDistinct("prediction_id").alias("distinct_ids"))
+    p, failed = F.col(_P), F.col("prediction_label") == S.LABELS[1]
+    wrong = (failed != (p >= S.CLASS_CUTOFF)) | (F.col("risk_level") != X.risk_level(p)) | p.isNull() | (p < 0) | (p > 1)
+    per_row = batch.groupBy(S.ROW_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min("prediction_id").alias("lo"), F.max("prediction_id").alias("hi"),
+        F.sum("prediction_id").alias("ids"), F.count_if(wrong).alias("wrong"))
+    return per_row.agg(
+        F.sum("n").cast("bigint").alias("row_count"), F.count(F.lit(1)).alias("distinct_rows"),
+        F.min("lo").alias("first_id"), F.max("hi").alias("last_id"),
+        F.sum("ids").cast("double").alias("id_sum"), F.sum("wrong").cast("bigint").alias("wrong_rows"))
 
 
 # Evaluation
@@ -740,7 +762,7 @@ STAND_IN_FEATURES = ("aa_000", "ci_000", "ck_000", "bj_000")
 def tree_shap(spark, sf):
     """Contributions of every row, one column per feature."""
     model = _model(spark, sf, "boosted_weighted")
-    explained = explain.tree_shap(model, _complete(spark, sf), [S.ROW_KEY])
+    explained = explain.tree_shap(model, _split(spark, sf), [S.ROW_KEY])
     return explained.select(
         S.ROW_KEY, "base_value", *(F.col(explain.PHI)[i].alias(f) for i, f in enumerate(MODEL_FEATURES)))
 
@@ -749,7 +771,7 @@ def tree_shap(spark, sf):
 def tree_shap_additivity(spark, sf):
     """Rows, and rows where base plus contributions is the log-odds of the score."""
     model = _model(spark, sf, "boosted_weighted")
-    scored = scoring.score(model, _complete(spark, sf))
+    scored = scoring.score(model, _split(spark, sf))
     explained = explain.tree_shap(model, scored, [S.ROW_KEY, _P])
     total = F.aggregate(explain.PHI, F.col("base_value"), lambda a, v: a + v)
     margin = F.log(F.col(_P) / (1 - F.col(_P)))
@@ -799,4 +821,4 @@ def explain_row(spark, sf):
 def explain_model(spark, sf):
     """Contributions of the report's sample, ranked, end to end."""
     model = _model(spark, sf, "boosted_weighted")
-    return model_plans.explain_model(model, _complete(spark, sf)).importance
+    return model_plans.explain_model(model, _split(spark, sf)).importance

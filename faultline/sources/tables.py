@@ -26,6 +26,15 @@ def read_column(df: DataFrame, column: str = S.CLASS) -> DataFrame:
     return df.select(column)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan with fewer splits than cores, ahead of costly row work.
+
+    A large table has more splits than that and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_stage(df: DataFrame, path: str) -> DataFrame:
     """Write a stage and continue from what was written: lineage is cut, types are kept."""
     df.write.mode("overwrite").parquet(path)

@@ -11,7 +11,7 @@ from faultline import schema as S
 from faultline.functions import expressions as X
 
 _BUCKET_ROWS = 1_000_000   # scores one task may run a cumulative sum over
-_MAX_BUCKETS = 4_096
+_MAX_BUCKETS = 1_024
 
 MEASURES = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")
 
@@ -122,7 +122,7 @@ def _score_edges(scored: DataFrame, bucket_rows: int) -> list[float]:
     """
     shares = [i / _MAX_BUCKETS for i in range(1, _MAX_BUCKETS)]
     n, quantiles = scored.agg(
-        F.count(F.lit(1)), F.percentile_approx("score", shares, 20 * _MAX_BUCKETS)).collect()[0]
+        F.count(F.lit(1)), F.percentile_approx("score", shares, 10 * _MAX_BUCKETS)).collect()[0]
     ranges = min(_MAX_BUCKETS, n // bucket_rows)
     if ranges < 2:
         return []

@@ -83,12 +83,14 @@ def fit_medians(
     features = list(features or feature_columns(df))
     if not features:
         return MedianModel({})
+    # A row count needs no column, so it is a cheap bound where no counts are known.
+    cells = sum(counts[c] for c in features) if counts else df.count() * len(features)
+    if cells <= median_cells:
+        row = df.agg(*(F.median(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(features))).collect()[0]
+        return MedianModel({c: row[i] for i, c in enumerate(features)})
     if counts is None:
         row = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(features))).collect()[0]
         counts = {c: row[i] for i, c in enumerate(features)}
-    if sum(counts[c] for c in features) <= median_cells:
-        row = df.agg(*(F.median(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(features))).collect()[0]
-        return MedianModel({c: row[i] for i, c in enumerate(features)})
     return MedianModel(_narrowed_medians(df, features, counts, ranked_values, accuracy))
 
 

@@ -1,4 +1,4 @@
-"""Raw sensors to the processed dataset, in three scans."""
+"""Raw sensors to the processed dataset."""
 
 from __future__ import annotations
 
@@ -23,14 +23,14 @@ def preprocess(
     raw: DataFrame,
     limit: float = S.MISSING_SHARE_LIMIT,
     fit_share: DataFrame | None = None,
-    staged: bool = False,
+    staged: bool = True,
 ) -> Processed:
     """Type, drop constant features, drop high-missing ones, fill medians, encode the class.
 
     One aggregate profiles every column; both drops and the median plan read it. The
-    medians come from all rows unless ``fit_share`` names the training rows. With
-    ``staged`` the typed columns are written once, so that the later scans read only
-    the kept columns and parse no text.
+    medians come from all rows unless ``fit_share`` names the training rows. The typed
+    columns are written once, so that the later scans read only the kept columns and
+    parse no text; ``staged=False`` parses the text again instead.
     """
     typed = clean.to_numeric(raw)
     if staged:

@@ -405,7 +405,7 @@ def median_impute(spark, sf):
 @query
 def standardize(spark, sf):
     """Fitted on the train side, applied to every row."""
-    split = sample.exact_stratified_split(_complete(spark, sf))
+    split = _split(spark, sf)
     scaled = impute.standardize(split, MODEL_FEATURES, split.filter(F.col("split") == "train"))
     return _rounded(scaled.select(S.ROW_KEY, "split", *MODEL_FEATURES), 6, *MODEL_FEATURES)
 

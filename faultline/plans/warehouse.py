@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from faultline import schema as S
 from faultline.operators import clean, sample
+from faultline.sources.tables import stage
 
 
 def final_features(raw: DataFrame, scale: int | None = 0, excluded: Sequence[str] = S.EXCLUDED_FEATURES) -> DataFrame:
@@ -28,9 +29,11 @@ def model_tables(
 ) -> DataFrame:
     """Balanced rows with the model features and a ``split`` of train or test.
 
-    One seeded rank feeds both sides, so they never share a row.
+    Cleaning works row by row, so the rows are chosen first and only the chosen ones
+    are cleaned; the balanced table is written, as the route does, and split from
+    there. One seeded rank feeds both sides, so they never share a row.
     """
-    balanced = sample.balance_classes(final_features(raw, scale), negatives, seed=seed)
-    top = clean.select_top_features(balanced, features, keep=(S.ROW_KEY, S.CLASS))
+    balanced = final_features(sample.balance_classes(raw, negatives, seed=seed), scale)
+    top = stage(clean.select_top_features(balanced, features, keep=(S.ROW_KEY, S.CLASS)), "balanced")
     # Another seed than the balance: its order would put the balance's first rows in train.
     return sample.split_per_class(top, train_rows, seed=seed + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -9,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from faultline import schema as S
+from faultline.functions.expressions import NUMBER
 from faultline.operators.clean import nullify_tokens, to_numeric, trim_column_names
 
 _HEAD_LINES = 64
@@ -78,13 +80,16 @@ def _dropped_lines(heads: Sequence[FileHead]) -> list[str]:
     """Distinct preamble and header lines of all files.
 
     A split of a file does not know its line numbers, so these lines go by value. That
-    is safe only if none of them could be a data row.
+    is safe only if none of them could be a data row: as many cells as the header, and
+    numbers or missing tokens in all but the class.
     """
     lines: dict[str, None] = {}
     for head in heads:
         width = len(head.names)
         for line in head.preamble:
-            if line.strip() and len(line.split(head.delimiter)) == width:
+            cells = [c.strip() for c in line.split(head.delimiter)]
+            sensors = (re.match(NUMBER, c) or c in S.COMMON_NA_TOKENS or c in S.INGEST_NA_TOKENS for c in cells[1:])
+            if line.strip() and len(cells) == width and all(sensors):
                 raise ValueError(f"preamble line of {head.path} looks like a data row: {line[:80]!r}")
             lines[line] = None
         lines[head.header] = None

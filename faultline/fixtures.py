@@ -111,5 +111,13 @@ def sensor_raw(spark: SparkSession, sf_dir: str, key: bool = False, wide: bool =
     return _project(spread(table(spark, sf_dir, "lineitem")), pairs)
 
 
+def sensor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide sensors as a stream over the table's files."""
+    schema = table(spark, sf_dir, "lineitem").schema
+    # A streaming source takes a folder or a pattern, not one file.
+    lines = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem*.parquet")
+    return _project(lines, [("row_key", LINE_KEY)] + SENSOR_WIDE)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(table(spark, sf_dir, "events"), PREDICTIONS)

@@ -11,6 +11,7 @@ from faultline.functions.expressions import (
     recommended_action,
     risk_level,
     row_fingerprint,
+    row_hashes,
     safe_ratio,
     strip,
     threshold_label,
@@ -21,6 +22,6 @@ from faultline.functions.expressions import (
 __all__ = [
     "encode_target", "format_percent", "maintenance_priority", "na_to_null",
     "not_nan", "order_hash", "ordered_rank", "percent", "prediction_label",
-    "recommended_action", "risk_level", "row_fingerprint", "safe_ratio",
-    "strip", "threshold_label", "to_double", "to_number",
+    "recommended_action", "risk_level", "row_fingerprint", "row_hashes",
+    "safe_ratio", "strip", "threshold_label", "to_double", "to_number",
 ]

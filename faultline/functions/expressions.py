@@ -124,13 +124,17 @@ def order_hash(key: Column | str, seed: int = S.SEED) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), _col(key)))
 
 
-def row_fingerprint(columns: Sequence[str], salt: int = 0) -> Column:
-    """128 bits of row content as hex.
+def row_hashes(columns: Sequence[str]) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a row's content.
 
-    xxhash64 passes over nulls, so (null, 1) and (1, null) would collide; the
-    null flags are hashed along.
+    xxhash64 passes over nulls, so (null, 1) and (1, null) would collide; the null
+    flags are hashed along.
     """
     values = [_col(c) for c in columns]
     flags = [v.isNull() for v in values]
-    parts = [F.hex(F.xxhash64(F.lit(salt + i), *flags, *values)) for i in (1, 2)]
-    return F.concat(*(F.lpad(p, 16, "0") for p in parts))
+    return tuple(F.xxhash64(F.lit(i), *flags, *values) for i in (1, 2))
+
+
+def row_fingerprint(columns: Sequence[str]) -> Column:
+    """The same 128 bits as hex text, which sorts and takes prefixes."""
+    return F.concat(*(F.lpad(F.hex(h), 16, "0") for h in row_hashes(columns)))

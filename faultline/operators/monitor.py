@@ -132,3 +132,18 @@ def latest_predictions(predictions: DataFrame, n: int = 10) -> DataFrame:
 def with_percent_text(df: DataFrame, column: str = P) -> DataFrame:
     """Keep the number and add its display form."""
     return df.withColumn(f"{column}_text", X.format_percent(column))
+
+
+def prediction_trends(predictions: DataFrame, every: str = "1 day") -> DataFrame:
+    """Predictions, failures, high risks and mean probability per period of creation.
+
+    Works on a stream too, once it carries a watermark on ``created_at``.
+    """
+    period = F.window("created_at", every)
+    return predictions.groupBy(period).agg(
+        F.count("*").alias("total_predictions"),
+        F.count_if(F.col("prediction") == 1).alias("predicted_failures"),
+        F.count_if(F.col("risk_level") == "HIGH").alias("high_risk_count"),
+        _mean_probability().alias("avg_failure_probability"),
+    ).select(F.col("window.start").alias("period_start"), F.col("window.end").alias("period_end"),
+             "total_predictions", "predicted_failures", "high_risk_count", "avg_failure_probability")

@@ -177,12 +177,12 @@ def class_balance(df: DataFrame, label: str = "label", split: str | None = None)
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row, nulls being equal.
 
-    Rows are compared by a 128-bit fingerprint, so the shuffle carries 32 bytes per
+    Rows are compared by 128 bits of hash, so the shuffle carries two numbers per
     distinct row and not the whole width; copies are merged before it, which keeps
     one much-repeated row from filling a task.
     """
-    fingerprint = X.row_fingerprint(df.columns).alias("fingerprint")
-    copies = df.select(fingerprint).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"))
+    first, second = X.row_hashes(df.columns)
+    copies = df.groupBy(first.alias("first"), second.alias("second")).agg(F.count(F.lit(1)).alias("copies"))
     return copies.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("rows_analyzed"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -95,17 +94,18 @@ def split_features_target(
     return assembler.transform(df).select(*keep, "features", F.col(label).cast("double").alias("label"))
 
 
-def _fit(df: DataFrame, features: Sequence[str], label: str, weight: Column | None, stages) -> PipelineModel:
-    """Fit on a narrow, persisted copy of the training rows; every round reads it again."""
+def _fit(df: DataFrame, features: Sequence[str], label: str, weight: Column | None, *stages) -> PipelineModel:
+    """Fit on the narrow columns only.
+
+    The estimators keep their own blocks of the rows between rounds, so nothing is
+    cached here; rows that are costly to compute should come from a written stage.
+    """
     columns = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
     columns.append(F.col(label).cast("double").alias("label"))
     if weight is not None:
         columns.append(weight.alias(WEIGHT))
-    rows = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), *stages(rows)]).fit(rows)
-    finally:
-        rows.unpersist()
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    return Pipeline(stages=[assembler, *stages]).fit(df.select(*columns))
 
 
 def train_logreg(
@@ -123,15 +123,13 @@ def train_logreg(
     if min(weights.negatives, weights.positives) == 0:
         raise ValueError("training rows hold one class only")
 
-    def stages(_):
-        regression = LogisticRegression(
-            featuresCol="scaled", labelCol="label", regParam=(n - 1) / n / n, elasticNetParam=0.0,
-            standardization=False, maxIter=iterations, tol=tolerance, family="binomial")
-        if balanced:
-            regression.setWeightCol(WEIGHT)
-        return [StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled"), regression]
-
-    return _fit(df, features, label, weights.balanced(label) if balanced else None, stages)
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled")
+    regression = LogisticRegression(
+        featuresCol="scaled", labelCol="label", regParam=(n - 1) / n / n, elasticNetParam=0.0,
+        standardization=False, maxIter=iterations, tol=tolerance, family="binomial")
+    if balanced:
+        regression.setWeightCol(WEIGHT)
+    return _fit(df, features, label, weights.balanced(label) if balanced else None, scaler, regression)
 
 
 def train_logreg_balanced(df: DataFrame, features: Sequence[str], label: str = "label", **options) -> PipelineModel:
@@ -145,16 +143,13 @@ def train_boosted(
     ensure_checkpoint_dir(df.sparkSession)
     weight = fit_class_weights(df, label).scaled(label) if weighted else None
 
-    def stages(_):
-        trees = GBTClassifier(
-            featuresCol="features", labelCol="label", maxIter=params.rounds, maxDepth=params.depth, stepSize=params.step,
-            subsamplingRate=params.row_share, featureSubsetStrategy=str(params.feature_share),
-            minInstancesPerNode=params.min_rows, maxBins=params.bins, seed=params.seed, checkpointInterval=10)
-        if weighted:
-            trees.setWeightCol(WEIGHT)
-        return [trees]
-
-    return _fit(df, features, label, weight, stages)
+    trees = GBTClassifier(
+        featuresCol="features", labelCol="label", maxIter=params.rounds, maxDepth=params.depth, stepSize=params.step,
+        subsamplingRate=params.row_share, featureSubsetStrategy=str(params.feature_share),
+        minInstancesPerNode=params.min_rows, maxBins=params.bins, seed=params.seed, checkpointInterval=10)
+    if weighted:
+        trees.setWeightCol(WEIGHT)
+    return _fit(df, features, label, weight, trees)
 
 
 def train_boosted_weighted(

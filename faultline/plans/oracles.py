@@ -385,6 +385,10 @@ ORACLES: dict[str, str] = {
     "column_listagg": _profile(TYPED, ["class", *SENSORS]) + """ SELECT
         string_agg('COALESCE(' || column_name || ', 0) AS ' || column_name, ', ' ORDER BY ordinal) AS column_list
         FROM p WHERE non_null < row_count""",
+    "prediction_trends": f"""SELECT date_trunc('day', created_at) AS period_start, date_trunc('day', created_at) + INTERVAL 1 DAY AS period_end,
+        count(*) AS total_predictions, count(*) FILTER (WHERE prediction = 1) AS predicted_failures,
+        count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk_count, {_MEAN} AS avg_failure_probability
+        FROM ({PREDICTIONS}) p GROUP BY 1, 2""",
     "share_of_total": """SELECT event_type, count(*) AS row_count,
         round(CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER (), 2) AS percentage FROM events GROUP BY event_type""",
     "order_by_case": f"SELECT risk_level, count(*) AS row_count FROM ({PREDICTIONS}) p GROUP BY risk_level",
@@ -403,6 +407,9 @@ ORACLES: dict[str, str] = {
         CAST(1 AS INTEGER) AS features, '{name}' AS metric, round(CAST("{c}" AS DOUBLE), 6) AS value FROM mm CROSS JOIN runs"""
         for name, c in [("true_negatives", "tn"), ("false_positives", "fp"), ("false_negatives", "fn"),
                         ("true_positives", "tp"), *((m, m) for m in _SIX)]),
+    "score_stream": """SELECT count(*) AS row_count, count(*) AS distinct_rows, CAST(1 AS BIGINT) AS first_id,
+        count(*) AS last_id, CAST(count(*) AS DOUBLE) * (count(*) + 1) / 2 AS id_sum, CAST(0 AS BIGINT) AS wrong_rows
+        FROM lineitem""",
     "batch_score_job": """SELECT count(*) AS row_count, count(*) AS distinct_rows, CAST(1 AS BIGINT) AS first_id,
         count(*) AS last_id, CAST(count(*) AS DOUBLE) * (count(*) + 1) / 2 AS id_sum, CAST(0 AS BIGINT) AS wrong_rows
         FROM lineitem""",

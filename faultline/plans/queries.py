@@ -13,6 +13,7 @@ from faultline.functions import expressions as X
 from faultline.operators import clean, evaluate, explain, impute, monitor, profile, sample, scoring
 from faultline.plans import models as model_plans, preprocess as preprocess_plan, warehouse
 from faultline.session import scratch_path
+from faultline.streaming import scoring as stream_scoring
 from faultline.sources import models as model_store, predictions as store, preamble, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,6 +517,11 @@ def column_listagg(spark, sf):
     return clean.column_listagg(gaps, "concat('COALESCE(', column_name, ', 0) AS ', column_name)", "ordinal")
 
 
+@query
+def prediction_trends(spark, sf):
+    return monitor.prediction_trends(_predictions(spark, sf))
+
+
 @query
 def share_of_total(spark, sf):
     return monitor.share_of_total(fixtures.table(spark, sf, "events"), "event_type")
@@ -656,14 +662,11 @@ def sink_metrics(spark, sf):
     return _rounded(tables.read_metrics(spark, path), 6, "value")
 
 
-@query
-def batch_score_job(spark, sf):
-    """Source to stored batch: every source row once, ids dense, labels and risks in line with the score."""
-    batch = model_plans.batch_score(
-        _raw(spark, sf, key=True, wide=True), _saved(spark, sf, "boosted"), scratch_path(spark, "scores"), "batch-1")
+def _batch_facts(stored: DataFrame) -> DataFrame:
+    """Every source row once, ids dense, labels and risks in line with the score."""
     p, failed = F.col(_P), F.col("prediction_label") == S.LABELS[1]
     wrong = (failed != (p >= S.CLASS_CUTOFF)) | (F.col("risk_level") != X.risk_level(p)) | p.isNull() | (p < 0) | (p > 1)
-    per_row = batch.groupBy(S.ROW_KEY).agg(
+    per_row = stored.groupBy(S.ROW_KEY).agg(
         F.count(F.lit(1)).alias("n"), F.min("prediction_id").alias("lo"), F.max("prediction_id").alias("hi"),
         F.sum("prediction_id").alias("ids"), F.count_if(wrong).alias("wrong"))
     return per_row.agg(
@@ -672,6 +675,24 @@ def batch_score_job(spark, sf):
         F.sum("ids").cast("double").alias("id_sum"), F.sum("wrong").cast("bigint").alias("wrong_rows"))
 
 
+@query
+def batch_score_job(spark, sf):
+    source = _raw(spark, sf, key=True, wide=True)
+    return _batch_facts(model_plans.batch_score(
+        source, _saved(spark, sf, "boosted"), scratch_path(spark, "scores"), "batch-1"))
+
+
+@query
+def score_stream(spark, sf):
+    """The same job over arriving files, one stored batch per micro-batch."""
+    source = fixtures.sensor_stream(spark, sf)
+    path = scratch_path(spark, "stream-scores")
+    run = stream_scoring.score_stream(
+        source, _saved(spark, sf, "boosted"), path, scratch_path(spark, "stream-state"))
+    run.awaitTermination()
+    return _batch_facts(store.read_predictions(spark, path))
+
+
 # Evaluation
 
 @query

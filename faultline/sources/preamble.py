@@ -14,7 +14,7 @@ from faultline.functions.expressions import NUMBER
 from faultline.operators.clean import nullify_tokens, to_numeric, trim_column_names
 
 _HEAD_LINES = 64
-_PROBES = 16
+_PROBES = 64  # file heads read at the same time; each is a job of one short task
 _MAX_PREAMBLE_CHARS = 4_000_000
 _DELIMITERS = (",", ";", "\t")
 _BAD = "__unparsed"

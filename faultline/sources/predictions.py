@@ -8,6 +8,8 @@ from faultline import schema as S
 from faultline.operators import monitor
 from faultline.session import scratch_path
 
+_BROADCAST_FILES = 50_000
+
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """The whole table, batch partitions included."""
@@ -32,13 +34,16 @@ def dense_ids(stored: DataFrame, start: int = 0, name: str = "prediction_id") ->
     A row's file and its position there never change, whatever the splits and however
     often a task is rerun. Rows are counted per file; a running sum over the files
     (one row each) gives each file its offset. No row is sorted or moved to one task.
+    The offsets are broadcast up to a checked number of files and joined by shuffle
+    beyond it.
     """
+    few = len(stored.inputFiles()) <= _BROADCAST_FILES
     located = stored.withColumn("__file", F.col("_metadata.file_path")).withColumn("__row", F.col("_metadata.row_index"))
     per_file = located.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_file.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     number = (F.col("__offset") + F.col("__row") + 1 + start).cast("long").alias(name)
-    return located.join(offsets, "__file").select(number, *(f"`{c}`" for c in stored.columns))
+    return located.join(F.broadcast(offsets) if few else offsets, "__file").select(number, *(f"`{c}`" for c in stored.columns))
 
 
 def append_predictions(

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 MARK = "▁"
-TABLE_CHARS = 3_000_000
+TABLE_CHARS = 2_000_000
 
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 _FINE_CHUNKS = re.compile(rf"{MARK}*(?:\w+|[^\w{MARK}\n]+)|\n|{MARK}+")
@@ -31,7 +31,6 @@ _WORD = re.compile(r"\w")
 _LOADED: dict[str, "Vocabulary"] = {}
 
 COUNT_SCHEMA = "n_bytes bigint, n_tokens bigint, prefix_deltas binary"
-CODE_SCHEMA = "input_ids array<int>, n_tokens bigint, ids_sha256 string"
 
 
 def read_model(path: str) -> bytes:
@@ -272,25 +271,45 @@ def truncated(counted: DataFrame, budget: int, text: str = "text") -> DataFrame:
         text, F.coalesce(F.substring(F.col(text), F.lit(1), F.col("n_kept").cast("int")), F.lit("")))
 
 
-def with_ids(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Add input_ids (with begin and end), n_tokens and ids_sha256; exactly the library's ids.
+def _framed(vocab: Vocabulary, texts: Iterable[str]) -> Iterator[bytes]:
+    """Ids of each text between begin and end."""
+    begin, end = (np.array([i], "<u4").tobytes() for i in (vocab.library.bos_id(), vocab.library.eos_id()))
+    for code in vocab.encode_all(texts):
+        yield begin + code + end
 
-    Null and empty texts are a begin and an end. ``ids_sha256`` is over the ids as
-    little-endian unsigned 32-bit integers. Columns of these names are replaced.
+
+def with_ids(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """Add input_ids (with begin and end) and n_tokens; exactly the library's ids.
+
+    Null and empty texts are a begin and an end. Columns of these names are replaced.
     """
-    @F.pandas_udf(CODE_SCHEMA)
+    @F.pandas_udf("input_ids array<int>, n_tokens bigint")
     def coded(texts: pd.Series) -> pd.DataFrame:
-        vocab = vocabulary(model)
-        begin = np.array([vocab.library.bos_id()], "<u4").tobytes()
-        end = np.array([vocab.library.eos_id()], "<u4").tobytes()
-        codes = [begin + c + end for c in vocab.encode_all(texts.fillna(""))]
+        codes = list(_framed(vocabulary(model), texts.fillna("")))
         return pd.DataFrame({
-            "input_ids": [np.frombuffer(c, "<i4") for c in codes],
-            "n_tokens": [len(c) // 4 for c in codes],
-            "ids_sha256": [hashlib.sha256(c).hexdigest() for c in codes],
-        })
+            "input_ids": [np.frombuffer(c, "<i4") for c in codes], "n_tokens": [len(c) // 4 for c in codes]})
+
+    return _unpacked(docs, coded(F.col(text)), ("input_ids", "n_tokens"))
+
+
+def with_round_trip(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """Add n_tokens, ids_sha256 and decoded_sha256: each text encoded, and its ids decoded again.
+
+    ``ids_sha256`` is over the ids with begin and end as little-endian unsigned 32-bit
+    integers, ``decoded_sha256`` over the decoded text in UTF-8. Ids and decoded texts live
+    for one row only, so a batch of long texts needs little more than itself. Null texts are
+    empty. Columns of these names are replaced.
+    """
+    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def tried(texts: pd.Series) -> pd.DataFrame:
+        vocab = vocabulary(model)
+        rows = [
+            (len(c) // 4, hashlib.sha256(c).hexdigest(),
+             hashlib.sha256(vocab.decode(np.frombuffer(c, "<u4").tolist()).encode()).hexdigest())
+            for c in _framed(vocab, texts.fillna(""))]
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _unpacked(docs, coded(F.col(text)), ("input_ids", "n_tokens", "ids_sha256"))
+    return _unpacked(docs, tried(F.col(text)), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def decoded(ids: Column, model: bytes) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -124,3 +125,9 @@ def op10_warc(spark, sf_dir):
     index = warc.write_archives(warc.planned(table(spark, sf_dir, "pages")), folder)
     records = warc.resolved(warc.read_records(index, folder))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def pipeline(spark, sf_dir):
+    """The cleaning pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)

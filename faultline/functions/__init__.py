@@ -1,27 +0,0 @@
-from faultline.functions.expressions import (
-    encode_target,
-    format_percent,
-    maintenance_priority,
-    na_to_null,
-    not_nan,
-    order_hash,
-    ordered_rank,
-    percent,
-    prediction_label,
-    recommended_action,
-    risk_level,
-    row_fingerprint,
-    row_hashes,
-    safe_ratio,
-    strip,
-    threshold_label,
-    to_double,
-    to_number,
-)
-
-__all__ = [
-    "encode_target", "format_percent", "maintenance_priority", "na_to_null",
-    "not_nan", "order_hash", "ordered_rank", "percent", "prediction_label",
-    "recommended_action", "risk_level", "row_fingerprint", "row_hashes",
-    "safe_ratio", "strip", "threshold_label", "to_double", "to_number",
-]

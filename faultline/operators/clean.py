@@ -29,8 +29,8 @@ def is_class(name: str) -> bool:
 
 
 def feature_columns(df: DataFrame, skip: Iterable[str] = ()) -> list[str]:
-    """Every column but the class and the bookkeeping ones, in schema order."""
-    other = {S.CLASS, S.ROW_KEY, "split", "label", *(s.lower() for s in skip)}
+    """Every column but the class, the row key and those to skip, in schema order."""
+    other = {S.CLASS, S.ROW_KEY, *(s.lower() for s in skip)}
     return [c for c in df.columns if c.lower() not in other]
 
 
@@ -134,17 +134,18 @@ def column_listagg(rows: DataFrame, text: str, order: str, separator: str = ", "
 def require_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Name every missing feature at once, then return the features in model order.
 
-    Names match in any case; a missing cell or text becomes null for the caller's fill.
+    Names match in any case, row key and class take their own names; a missing cell or text
+    becomes null for the caller's fill.
     """
     have = {c.upper(): c for c in df.columns}
     missing = [f for f in features if f.upper() not in have]
     if missing:
         raise ValueError("model features missing from the input: " + ", ".join(missing))
     types = dict(df.dtypes)
-    keep = [c for c in df.columns if c.lower() in (S.ROW_KEY, S.CLASS)]
+    keep = [_quoted(c).alias(c.lower()) for c in df.columns if c.lower() in (S.ROW_KEY, S.CLASS)]
     columns = []
     for f in features:
         source = have[f.upper()]
         number = X.to_double(_quoted(source)) if types[source] == "string" else X.not_nan(_quoted(source))
         columns.append(number.alias(f))
-    return df.select(*(_quoted(c) for c in keep), *columns)
+    return df.select(*keep, *columns)

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from faultline import schema as S
 from faultline.functions import expressions as X
-
-_BUCKET_ROWS = 1_000_000   # scores one task may run a cumulative sum over
-_MAX_BUCKETS = 1_024
+from faultline.sources.tables import stage
 
 MEASURES = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")
 
@@ -77,58 +74,40 @@ def classification_report(counts: DataFrame, names: Sequence[str] = ("Normal", "
     ))))
 
 
-def score_curve(
-    df: DataFrame, score: str, label: str = "label", by: Sequence[str] = (), bucket_rows: int = _BUCKET_ROWS,
-) -> DataFrame:
+def score_curve(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: its positives and negatives, and both counts at or above it.
 
-    Equal scores are merged before the shuffle. The running sums are cut into score
-    ranges of about ``bucket_rows`` rows: a sum per range, a running sum over the
-    ranges, and a running sum inside each range, so no task sees all scores.
+    Equal scores are merged before the shuffle, dealt out in ranges of the score and
+    written once, so the scores are computed once. The running sums are cut at the ranges:
+    a sum per range, a running sum over the ranges, and one inside each range. No task sees
+    all scores; there are as many ranges as shuffle partitions.
     """
     by = list(by)
     scored = df.select(*by, X.not_nan(score).alias("score"), F.col(label).cast("int").alias("label")).filter(
         F.col("score").isNotNull() & F.col("label").isNotNull())
-    grouped = scored.groupBy(*by, "score").agg(
+    counts = scored.groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    edges = _score_edges(scored, bucket_rows)
-    if edges:
-        splits = [float("-inf"), *edges, float("inf")]
-        grouped = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(grouped)
-    else:
-        grouped = grouped.withColumn("bucket", F.lit(0.0))
-    inside = W.partitionBy(*by, "bucket").orderBy(F.desc("score"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(ranges, *by, F.desc("score"))
+    grouped = stage(dealt.withColumn("range", F.spark_partition_id()), "score-ranges")
+    inside = W.partitionBy(*by, "range").orderBy(F.desc("score"))
     curve = grouped.withColumn("pos_upto", F.sum("pos").over(inside)).withColumn("neg_upto", F.sum("neg").over(inside))
-    if not edges:
-        return curve.drop("bucket")
-    above = W.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
-    ranges = grouped.groupBy(*by, "bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
-        *by, "bucket",
+    above = W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sums = grouped.groupBy(*by, "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
+        *(F.col(c).alias(f"__{c}") for c in by), F.col("range").alias("__range"),
         F.coalesce(F.sum("p").over(above), F.lit(0)).alias("pos_above"),
         F.coalesce(F.sum("n").over(above), F.lit(0)).alias("neg_above"),
     )
-    return curve.join(ranges, [*by, "bucket"]).select(
+    same = F.col("range") == F.col("__range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return curve.join(sums, same).select(
         *by, "score", "pos", "neg",
         (F.col("pos_upto") + F.col("pos_above")).alias("pos_upto"),
         (F.col("neg_upto") + F.col("neg_above")).alias("neg_upto"),
     )
 
 
-def _score_edges(scored: DataFrame, bucket_rows: int) -> list[float]:
-    """Score values that cut the rows into ranges; at most ``_MAX_BUCKETS`` numbers.
-
-    One pass gives both the row count and evenly spaced quantiles; as many of these
-    are used as the rows call for.
-    """
-    shares = [i / _MAX_BUCKETS for i in range(1, _MAX_BUCKETS)]
-    n, quantiles = scored.agg(
-        F.count(F.lit(1)), F.percentile_approx("score", shares, 10 * _MAX_BUCKETS)).collect()[0]
-    ranges = min(_MAX_BUCKETS, n // bucket_rows)
-    if ranges < 2:
-        return []
-    return sorted({quantiles[i * _MAX_BUCKETS // ranges - 1] for i in range(1, ranges)})
-
-
 def _auc() -> Column:
     pairs = F.col("neg").cast("double") * (F.col("pos_upto") - F.col("pos") / 2)
     return F.try_divide(F.sum(pairs), F.sum("pos").cast("double") * F.sum("neg"))
@@ -139,19 +118,19 @@ def _average_precision() -> Column:
     return F.coalesce(F.try_divide(F.sum(F.col("pos") * at), F.sum("pos").cast("double")), F.lit(0.0))
 
 
-def roc_auc(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = (), **options) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """P(positive scores higher) plus half the ties; null with one class only."""
-    return score_curve(df, score, label, by, **options).groupBy(*by).agg(_auc().alias("roc_auc"))
+    return score_curve(df, score, label, by).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = (), **options) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Recall steps weighted by precision, without interpolation."""
-    return score_curve(df, score, label, by, **options).groupBy(*by).agg(
+    return score_curve(df, score, label, by).groupBy(*by).agg(
         _average_precision().alias("average_precision"))
 
 
 def model_metrics(
-    df: DataFrame, score: str, label: str = "label", threshold: float = S.CLASS_CUTOFF, by: Sequence[str] = (), **options,
+    df: DataFrame, score: str, label: str = "label", threshold: float = S.CLASS_CUTOFF, by: Sequence[str] = (),
 ) -> DataFrame:
     """Counts, rates and both areas in one row per group, all from one score curve."""
     hit = F.col("score") >= F.lit(float(threshold))
@@ -159,7 +138,7 @@ def model_metrics(
     def cell(column: str, test: Column, name: str) -> Column:
         return F.coalesce(F.sum(F.when(test, F.col(column))), F.lit(0)).cast("bigint").alias(name)
 
-    counts = score_curve(df, score, label, by, **options).groupBy(*by).agg(
+    counts = score_curve(df, score, label, by).groupBy(*by).agg(
         cell("neg", ~hit, "true_negatives"), cell("neg", hit, "false_positives"),
         cell("pos", ~hit, "false_negatives"), cell("pos", hit, "true_positives"),
         _auc().alias("roc_auc"), _average_precision().alias("average_precision"),
@@ -174,8 +153,8 @@ def model_metrics(
     )
 
 
-def default_threshold_eval(df: DataFrame, score: str, label: str = "label", **options) -> DataFrame:
-    return model_metrics(df, score, label, S.CLASS_CUTOFF, **options)
+def default_threshold_eval(df: DataFrame, score: str, label: str = "label") -> DataFrame:
+    return model_metrics(df, score, label, S.CLASS_CUTOFF)
 
 
 def threshold_sweep(

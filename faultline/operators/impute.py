@@ -6,14 +6,10 @@ import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.operators.clean import feature_columns
 
-# Non-null cells up to which the built-in exact median may hold every value in memory.
-_MEDIAN_CELLS = 20_000_000
-# Values of one column that may be ranked in one task.
-_RANKED_VALUES = 100_000
 _ACCURACY = 10_000
 _LARGEST = sys.float_info.max
 
@@ -59,9 +55,16 @@ class _Bracket:
         return test
 
     def shares(self, accuracy: int) -> list[float]:
+        """Where to look for the two middle values among those inside.
+
+        A sketch of so few values is exact, so it is asked for the values themselves;
+        otherwise for a margin around them.
+        """
+        first, last = (r - self.below for r in self.ranks)
+        if self.inside <= accuracy:
+            return [(first - 0.5) / self.inside, (last - 0.5) / self.inside]
         margin = 2.0 / accuracy
-        first, last = ((r - self.below) / self.inside for r in self.ranks)
-        return [max(0.0, first - margin), min(1.0, last + margin)]
+        return [max(0.0, first / self.inside - margin), min(1.0, last / self.inside + margin)]
 
 
 def fit_medians(
@@ -69,129 +72,88 @@ def fit_medians(
     features: Sequence[str] | None = None,
     counts: Mapping[str, int] | None = None,
     *,
-    median_cells: int = _MEDIAN_CELLS,
-    ranked_values: int = _RANKED_VALUES,
     accuracy: int = _ACCURACY,
 ) -> MedianModel:
     """Exact median per feature, the mean of the two middle values on even counts.
 
-    ``counts`` are the non-null counts when a profile has them already. Above
-    ``median_cells`` the built-in aggregate, which keeps every value, gives way to
-    narrowing: a quantile sketch brackets the middle, a count pass checks the
-    bracket, and this repeats until few enough values are left to rank.
+    ``counts`` are the non-null counts when a profile has them already. A quantile sketch
+    brackets the middle, a count pass checks the bracket, and both are repeated inside it
+    until the middle values themselves are counted. Columns go together in each pass; what
+    a sketch cannot narrow has its value range halved by counts. Nothing is held but
+    sketches and counts, whatever the number of rows.
     """
     features = list(features or feature_columns(df))
     if not features:
         return MedianModel({})
-    # A row count needs no column, so it is a cheap bound where no counts are known.
-    cells = sum(counts[c] for c in features) if counts else df.count() * len(features)
-    if cells <= median_cells:
-        row = df.agg(*(F.median(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(features))).collect()[0]
-        return MedianModel({c: row[i] for i, c in enumerate(features)})
     if counts is None:
         row = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(features))).collect()[0]
         counts = {c: row[i] for i, c in enumerate(features)}
-    return MedianModel(_narrowed_medians(df, features, counts, ranked_values, accuracy))
+    return MedianModel(_narrowed_medians(df, features, counts, accuracy))
 
 
-def _narrowed_medians(df, features, counts, ranked_values, accuracy) -> dict[str, float | None]:
+def _narrowed_medians(df, features, counts, accuracy) -> dict[str, float | None]:
     done: dict[str, float | None] = {c: None for c in features if counts[c] == 0}
     brackets = {
         c: _Bracket(((counts[c] + 1) // 2, counts[c] // 2 + 1), inside=counts[c])
         for c in features if counts[c]
     }
-    small = {c for c, b in brackets.items() if b.inside <= ranked_values}
-    while wide := [c for c in brackets if c not in small and c not in done]:
+    stuck: list[str] = []
+    while wide := [c for c in brackets if c not in done and c not in stuck]:
         sketch = df.agg(*(
             F.percentile_approx(
                 F.when(brackets[c].holds(F.col(f"`{c}`")), F.col(f"`{c}`")),
                 brackets[c].shares(accuracy), accuracy,
             ).alias(f"q{i}") for i, c in enumerate(wide)
         )).collect()[0]
-        proposals = {c: sketch[i] for i, c in enumerate(wide)}
         tests = []
         for i, c in enumerate(wide):
-            column, (low, high) = F.col(f"`{c}`"), proposals[c]
+            column, (low, high) = F.col(f"`{c}`"), sketch[i]
             tests += [
-                F.count_if(column < low).alias(f"b{i}"),
-                F.count_if(column.between(low, high)).alias(f"i{i}"),
+                F.count_if(column < low).alias(f"b{i}"), F.count_if(column <= low).alias(f"l{i}"),
+                F.count_if(column < high).alias(f"h{i}"), F.count_if(column <= high).alias(f"u{i}"),
             ]
         counted = df.agg(*tests).collect()[0]
         for i, c in enumerate(wide):
-            bracket, (low, high) = brackets[c], proposals[c]
-            below, inside = counted[f"b{i}"], counted[f"i{i}"]
+            bracket, (low, high) = brackets[c], sketch[i]
+            below, to_low, before_high, to_high = (counted[f"{x}{i}"] for x in "blhu")
             first, last = bracket.ranks
-            stuck = (low, high) == (bracket.low, bracket.high)
-            if below < first and last <= below + inside:
-                bracket.low, bracket.high, bracket.below, bracket.inside = low, high, below, inside
-                if low == high:
-                    done[c] = float(low)
-                elif inside <= ranked_values:
-                    small.add(c)
-                elif stuck:
-                    done[c] = _median_by_bisection(df, c, bracket)
+            if below < first <= to_low and before_high < last <= to_high:
+                done[c] = (float(low) + float(high)) / 2
+            elif below < first and last <= to_high and to_high - below < bracket.inside:
+                bracket.low, bracket.high, bracket.below, bracket.inside = low, high, below, to_high - below
             else:
-                done[c] = _median_by_bisection(df, c, bracket)
-    rest = {c: brackets[c] for c in small if c not in done}
-    if rest:
-        done.update(_rank_inside(df, rest))
+                stuck.append(c)
+    done.update(_medians_by_bisection(df, {c: brackets[c] for c in stuck}))
     return {c: done[c] for c in features}
 
 
-def _rank_inside(df: DataFrame, brackets: Mapping[str, _Bracket]) -> dict[str, float]:
-    """Middle values among the few left in each bracket; one narrow scan for all columns."""
-    names = list(brackets)
-    cells = F.array(*(
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when(brackets[c].holds(F.col(f"`{c}`")), F.col(f"`{c}`").cast("double")).alias("v"),
-        ) for i, c in enumerate(names)
-    ))
-    kept = df.select(F.inline(F.filter(cells, lambda s: s["v"].isNotNull())))
-    counts = kept.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.partitionBy("i").orderBy("v"))
-    first, last = F.lit(0), F.lit(0)
-    for i, c in enumerate(names):
-        b = brackets[c]
-        first = F.when(F.col("i") == i, F.lit(b.ranks[0] - b.below)).otherwise(first)
-        last = F.when(F.col("i") == i, F.lit(b.ranks[1] - b.below)).otherwise(last)
-    ranked = counts.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("from") < rank) & (rank <= F.col("upto")), F.col("v")))
-
-    rows = ranked.groupBy("i").agg(at(first).alias("a"), at(last).alias("b")).collect()
-    return {names[r["i"]]: (r["a"] + r["b"]) / 2 for r in rows}
-
-
-def _median_by_bisection(df: DataFrame, c: str, bracket: _Bracket) -> float:
-    """Halve the value range by counts: always ends, for a column the sketch cannot narrow."""
-    column = F.col(f"`{c}`").cast("double")
-    if bracket.low is None:
-        ends = df.agg(F.min(column), F.max(column)).collect()[0]
-    else:
-        ends = (float(bracket.low), float(bracket.high))
-
-    def statistic(rank: int) -> float:
-        low, high = ends
-        while low < high:
+def _medians_by_bisection(df: DataFrame, brackets: Mapping[str, _Bracket]) -> dict[str, float]:
+    """Halve value ranges by counts, all columns and both middle ranks in each pass: always ends."""
+    if not brackets:
+        return {}
+    cells = {c: F.col(f"`{c}`").cast("double") for c in brackets}
+    ends = df.agg(*(f(cells[c]).alias(f"{n}{i}") for i, c in enumerate(brackets) for n, f in (("lo", F.min), ("hi", F.max)))).collect()[0]
+    ranges = {
+        (c, k): [
+            float(ends[f"lo{i}"] if b.low is None else b.low), float(ends[f"hi{i}"] if b.high is None else b.high), b.ranks[k]]
+        for i, (c, b) in enumerate(brackets.items()) for k in (0, 1)}
+    while open_ := [key for key, (low, high, _) in ranges.items() if low < high]:
+        tests, middles = [], {}
+        for i, key in enumerate(open_):
+            low, high, _ = ranges[key]
             middle = max(low, -_LARGEST) / 2 + min(high, _LARGEST) / 2
-            if middle >= high:
-                middle = low
-            row = df.agg(
-                F.count_if(column <= middle),
-                F.max(F.when(column <= middle, column)),
-                F.min(F.when(column > middle, column)),
-            ).collect()[0]
-            if row[0] >= rank:
-                high = row[1]
+            middles[key] = middle = low if middle >= high else max(low, middle)
+            column = cells[key[0]]
+            tests += [
+                F.count_if(column <= middle).alias(f"n{i}"), F.max(F.when(column <= middle, column)).alias(f"a{i}"),
+                F.min(F.when(column > middle, column)).alias(f"b{i}")]
+        row = df.agg(*tests).collect()[0]
+        for i, key in enumerate(open_):
+            if row[f"n{i}"] >= ranges[key][2]:
+                ranges[key][1] = row[f"a{i}"]
             else:
-                low = row[2]
-        return high
-
-    first, last = bracket.ranks
-    a = statistic(first)
-    return a if first == last else (a + statistic(last)) / 2
+                ranges[key][0] = row[f"b{i}"]
+    return {c: (ranges[c, 0][1] + ranges[c, 1][1]) / 2 for c in brackets}
 
 
 def median_impute(df: DataFrame, features: Sequence[str] | None = None, fit_on: DataFrame | None = None) -> DataFrame:

@@ -90,13 +90,17 @@ def share_of_total(df: DataFrame, key: str, count_name: str = "row_count", digit
     return counts.withColumn("percentage", X.percent(F.col(count_name), whole, digits))
 
 
-def risk_distribution(predictions: DataFrame) -> DataFrame:
+def risk_distribution(predictions: DataFrame, position: str | None = None) -> DataFrame:
     shares = share_of_total(predictions, "risk_level", "prediction_count")
-    return order_by_label(shares, "risk_level", RISK_ORDER)
+    return order_by_label(shares, "risk_level", RISK_ORDER, position)
 
 
-def order_by_label(df: DataFrame, column: str, order=RISK_ORDER) -> DataFrame:
-    return df.orderBy(X.ordered_rank(column, order), column)
+def order_by_label(df: DataFrame, column: str, order=RISK_ORDER, position: str | None = None) -> DataFrame:
+    """Sorted by a custom order of labels; ``position`` adds the 1-based place as a column."""
+    keys = (X.ordered_rank(column, order), F.col(column))
+    if position is not None:
+        df = df.withColumn(position, F.row_number().over(W.orderBy(*keys)))
+    return df.orderBy(*keys)
 
 
 def prediction_summary(predictions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from faultline import schema as S
 from faultline.functions import expressions as X
 from faultline.operators.clean import feature_columns, is_class
+from faultline.sources.tables import stage
 
 
 @dataclass(frozen=True)
@@ -222,30 +223,32 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return head.unionByName(classes)
 
 
-def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    return df.limit(n)
+def first_rows(df: DataFrame, n: int = 5, order: str = S.ROW_KEY) -> DataFrame:
+    """The head of a summary: the n rows that come first in the given order."""
+    return df.orderBy(order).limit(n)
 
 
 def preprocess_summary(df: DataFrame, column: str = S.CLASS) -> DataFrame:
-    """The closing report: rows, columns, features, missing feature cells, class counts and percents."""
+    """The closing report: rows, columns, features, missing feature cells, class counts and percents.
+
+    Rows and missing cells are counted per class in one grouped pass, of which everything
+    else is a sum.
+    """
     features = feature_columns(df)
-    totals = column_profile(df.select(*(f"`{c}`" for c in [column, *features]))).agg(
-        F.max("row_count").alias("rows"),
-        F.sum(F.when(F.col("column_name") != column, F.col("missing_count"))).alias("missing"),
-    )
+    gaps = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in features), F.lit(0))
+    classes = stage(df.groupBy(F.col(column).cast("string").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), gaps.cast("bigint").alias("missing")), "class-profile")
+    totals = classes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"))
     head = totals.select(F.inline(F.array(
-        _entry("rows", None, F.col("rows")),
-        _entry("columns", None, F.lit(len(features) + 1)),
-        _entry("features", None, F.lit(len(features))),
-        _entry("total_missing", None, F.col("missing")),
-    )))
-    classes = target_profile(df, column)
-    key = F.col(column).cast("string").alias("key")
-    return head.unionByName(
-        classes.select(F.lit("class_count").alias("metric"), key, F.col("class_count").cast("double").alias("value"))
-    ).unionByName(
-        classes.select(F.lit("class_percent").alias("metric"), key, F.col("percentage").alias("value"))
-    )
+        _entry("rows", None, F.col("rows")), _entry("columns", None, F.lit(len(features) + 1)),
+        _entry("features", None, F.lit(len(features))), _entry("total_missing", None, F.col("missing")))))
+    whole = F.sum("n").over(W.partitionBy())
+    known = classes.withColumn("rows", whole).where(F.col("key").isNotNull())
+    per_class = known.select(F.inline(F.array(
+        F.struct(F.lit("class_count").alias("metric"), "key", F.col("n").cast("double").alias("value")),
+        F.struct(F.lit("class_percent").alias("metric"), "key", X.percent(F.col("n"), F.col("rows"), 4).alias("value")))))
+    return head.unionByName(per_class)
 
 
 def assert_raw(df: DataFrame, rows: int, columns: int, column: str = S.CLASS) -> DataFrame:

@@ -1,223 +1,186 @@
 """Exact, reproducible row samples: balance, per-class splits, n rows.
 
-A row's place in the random order is a seeded md5 of its key. Keeping the first
-k rows of a class needs no sort of that class: a histogram over hash prefixes
-finds the hash at which rank k falls, and the split is then a plain filter.
+A row's place in the random order is a seeded md5 of its key, then a fingerprint of its
+content. Keeping the first k rows of a class needs no sort of that class: counts per prefix
+of the order find the prefix at which rank k falls, a few digits deeper each time, and the
+split is then a plain filter. Rows that are equal in every column share their place; they
+are interchangeable, so only their number matters.
+
+The cutoffs are a table with a row per class, joined to the data by class: one way for any
+number of rows and classes, and the result does not depend on the partitioning.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from faultline import schema as S
 from faultline.functions import expressions as X
+from faultline.sources.tables import stage
 
-_DIGITS = 3            # hex digits per histogram level: at most 4,096 buckets per class
-_BUCKET_ROWS = 100_000  # rows of one bucket that may be ranked together
-_MAX_CLASSES = 64
-_TOP_K = 10_000         # rows a top-k may bring together
-_HASH = "__hash"
+_DIGITS = 3            # hex digits per level: at most 4,096 counts per class
+_HASH_DIGITS = 32
+_CHUNK = 1_000_000     # equal rows that one task makes anew
+_RANK_ROWS = 100_000   # ranked rows per class and prefix, about
 
+Quota = Callable[[DataFrame], DataFrame]
 
-@dataclass(frozen=True)
-class Cutoff:
-    """The first rows of a class: hash below ``at``, and part of those equal to it.
 
-    ``ties`` is None when every row at ``at`` belongs to the first rows. Otherwise it
-    is the cutoff within the rows that share the hash, ordered by whole-row
-    fingerprint, or a count of identical copies.
-    """
+def _order(df: DataFrame, seed: int, key: str, prefix: Column) -> Column:
+    """As many digits of a row's place as ``prefix`` has; the content enters only where the hash is equal."""
+    place = F.coalesce(X.order_hash(key, seed), F.lit(""))
+    place = F.rpad(place, _HASH_DIGITS, "0")
+    deeper = (F.length(prefix) > _HASH_DIGITS) & (place == F.substring(prefix, 1, _HASH_DIGITS))
+    return F.when(deeper, F.concat(place, X.row_fingerprint(df.columns))).otherwise(place)
 
-    at: str | None  # None: no row; "~" sorts above every hex digit: every row
-    ties: Cutoff | int | None = None
-    copies: int = 0
 
+def totals(df: DataFrame, by: str) -> DataFrame:
+    return df.groupBy(F.col(by).alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
-NONE, ALL = Cutoff(None), Cutoff("~")
 
+def first_k(k: int) -> Quota:
+    """The same number of rows from every class."""
+    return lambda counts: counts.withColumn("wanted", F.lit(k).cast("bigint"))
 
-def _same(column: str, value) -> Column:
-    return F.col(column).eqNullSafe(F.lit(value))
 
+def stratified(test_share: float = S.TEST_SHARE) -> Quota:
+    """Training rows per class: shares kept, rounding by largest remainder."""
+    def quota(counts: DataFrame) -> DataFrame:
+        n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+        train = n - math.ceil(n * test_share - 1e-9)
+        exact = F.lit(train) * F.col("n") / F.lit(max(1, n))
+        shares = counts.select("by", "n", F.floor(exact).alias("wanted"), (exact - F.floor(exact)).alias("rest"))
+        left = train - shares.agg(F.coalesce(F.sum("wanted"), F.lit(0))).collect()[0][0]
+        more = shares.orderBy(F.desc("rest"), F.col("by").cast("string")).limit(int(left)).select(
+            F.col("by").alias("b"), F.lit(1).alias("more"))
+        return shares.join(more, F.col("by").eqNullSafe(F.col("b")), "left").select(
+            "by", "n", (F.col("wanted") + F.coalesce("more", F.lit(0))).alias("wanted"))
 
-def _histogram(keyed: DataFrame, by: str, start: int) -> list[Row]:
-    return (
-        keyed.groupBy(by, F.substring(_HASH, 1, start + _DIGITS).alias("prefix"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(_HASH).alias("lo"), F.max(_HASH).alias("hi"))
-        .orderBy(by, "prefix")
-        .collect()
-    )
+    return quota
 
 
-def _any_of(tests: Sequence[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+def balanced(k: int) -> Quota:
+    """All positives, k negatives, nothing else."""
+    def quota(counts: DataFrame) -> DataFrame:
+        return counts.withColumn(
+            "wanted", F.when(F.col("by") == S.POSITIVE, F.col("n")).when(F.col("by") == S.NEGATIVE, F.lit(k)).otherwise(F.lit(0)))
 
+    return quota
 
-def _find(keyed: DataFrame, by: str, quota: Callable[[dict], Mapping]) -> tuple[dict, dict]:
-    """Hash of rank k for every class, as ``{class: (hash, wanted at hash, rows at hash)}``.
 
-    ``quota`` turns the class totals, known from the first histogram, into ranks.
-    """
-    first = _histogram(keyed, by, 0)
-    totals: dict = {}
-    for r in first:
-        totals[r[by]] = totals.get(r[by], 0) + r["n"]
-    if len(totals) > _MAX_CLASSES:
-        raise ValueError(f"{len(totals)} classes; at most {_MAX_CLASSES} can be split")
-    wanted = dict(quota(totals))
-    found: dict = {}
-    open_: dict = {}
-
-    def place(rows: list[Row], remaining: Mapping) -> dict:
-        """Walk each class to the bucket that holds its rank."""
-        left, hit = dict(remaining), {}
-        for r in rows:
-            c = r[by]
-            if c not in left or c in hit:
-                continue
-            if left[c] <= r["n"]:
-                hit[c] = r
-            else:
-                left[c] -= r["n"]
-        return {c: (r, left[c]) for c, r in hit.items()}
-
-    pending = {}
-    for c, total in totals.items():
-        k = wanted.get(c, 0)
-        if k <= 0:
-            found[c] = NONE
-        elif k >= total:
-            found[c] = ALL
-        else:
-            pending[c] = k
-    depth, rows = 0, first
-    while pending:
-        depth += _DIGITS
-        deeper, ranked = {}, {}
-        for c, (r, left) in place(rows, pending).items():
-            if r["lo"] == r["hi"]:
-                open_[c] = (r["lo"], left, r["n"])
-            elif r["n"] <= _BUCKET_ROWS:
-                ranked[c] = (r["prefix"], left)
-            else:
-                deeper[c] = (r["prefix"], left)
-        if ranked:
-            open_.update(_rank(keyed, by, ranked))
-        pending = {c: left for c, (_, left) in deeper.items()}
-        if pending:
-            inside = _any_of([_same(by, c) & F.col(_HASH).startswith(p) for c, (p, _) in deeper.items()])
-            rows = _histogram(keyed.filter(inside), by, depth)
-    return found, open_
-
-
-def _rank(keyed: DataFrame, by: str, buckets: Mapping) -> dict:
-    """Exact rank inside one small bucket per class."""
-    inside = _any_of([_same(by, c) & F.col(_HASH).startswith(p) for c, (p, _) in buckets.items()])
-    left = F.lit(0)
-    for c, (_, k) in buckets.items():
-        left = F.when(_same(by, c), F.lit(k)).otherwise(left)
-    upto = W.partitionBy(by).orderBy(_HASH)
-    counts = keyed.filter(inside).groupBy(by, _HASH).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("left", left)
-    hits = ranked.filter((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("n") < F.col("left")))
-    return {r[by]: (r[_HASH], r["left"] - (r["upto"] - r["n"]), r["n"]) for r in hits.collect()}
-
-
-def cutoffs(
-    df: DataFrame, by: str, quota: Callable[[dict], Mapping], seed: int = S.SEED, key: str = S.ROW_KEY,
-) -> dict:
-    """Per class the cutoff that keeps exactly the first ``quota`` rows of the seeded order."""
-    keyed = df.select(by, X.order_hash(key, seed).alias(_HASH))
-    found, open_ = _find(keyed, by, quota)
-    for c, (at, wanted, rows) in open_.items():
-        if wanted == rows:
-            found[c] = Cutoff(at)
-            continue
-        # Rows share the key. Order them by content; equal contents are interchangeable.
-        tied = df.filter(_same(by, c) & (X.order_hash(key, seed) == at))
-        prints = tied.select(by, X.row_fingerprint(df.columns).alias(_HASH))
-        _, inner = _find(prints, by, lambda _, c=c, k=wanted: {c: k})
-        print_at, k, copies = inner[c]
-        found[c] = Cutoff(at, Cutoff(print_at, None if k == copies else k, copies))
-    return found
-
-
-def _member(df: DataFrame, by: str, cuts: Mapping, seed: int, key: str) -> Column:
-    """True / false for first rows / the rest; null for copies that straddle the cutoff."""
-    h = X.order_hash(key, seed)
-    inside = F.lit(False)
-    for c, cut in cuts.items():
-        if cut.at is None:
-            test = F.lit(False)
-        elif cut.ties is None:
-            test = h <= F.lit(cut.at)
-        else:
-            inner, content = cut.ties, X.row_fingerprint(df.columns)
-            at_inner = content <= F.lit(inner.at)
-            if inner.ties is not None:
-                at_inner = F.when(content == F.lit(inner.at), F.lit(None)).otherwise(at_inner)
-            test = F.when(h == F.lit(cut.at), at_inner).otherwise(h < F.lit(cut.at))
-        inside = F.when(_same(by, c), test).otherwise(inside)
-    return inside
-
-
-def _straddling(df: DataFrame, by: str, cuts: Mapping, seed: int, key: str, out: str) -> list[DataFrame]:
-    """The identical copies at a cutoff, made anew with the right number on each side.
-
-    Copies cannot be told apart, so which of them is kept does not matter, only how
-    many; ``spark.range`` spreads them over tasks.
+def cutoffs(df: DataFrame, by: str, quota: Quota, seed: int = S.SEED, key: str = S.ROW_KEY) -> DataFrame:
+    """Per class where its first rows end: (by, at, wanted, n).
+
+    Rows whose place begins below ``at`` are first rows, and of the ``n`` rows that begin
+    with it the first ``wanted``: all of them, unless they are equal rows.
     """
-    spark, frames = df.sparkSession, []
-    for c, cut in cuts.items():
-        inner = cut.ties
-        if inner is None or inner.ties is None:
-            continue
-        match = _same(by, c) & (X.order_hash(key, seed) == cut.at) & (X.row_fingerprint(df.columns) == inner.at)
-        sample = df.filter(match).limit(1).collect()[0]
-        values = [F.lit(sample[f.name]).cast(f.dataType).alias(f.name) for f in df.schema]
-        side = (F.col("id") < inner.ties).alias(out)
-        frames.append(spark.range(inner.copies).select(*values, side))
-    return frames
-
-
-def _flagged(df: DataFrame, by: str, cuts: Mapping, seed: int, key: str, out: str) -> DataFrame:
-    flagged = df.withColumn(out, _member(df, by, cuts, seed, key))
-    copies = _straddling(df, by, cuts, seed, key, out)
-    if not copies:
-        return flagged
-    flagged = flagged.filter(F.col(out).isNotNull())
-    for frame in copies:
-        flagged = flagged.unionByName(frame)
-    return flagged
+    wanted = stage(quota(totals(df, by)).select("by", "n", F.col("wanted").cast("bigint").alias("wanted")), "sample-quota")
+    inside = (F.col("wanted") > 0) & (F.col("wanted") < F.col("n"))
+    # "" is a prefix of every place: all rows of the class begin with it.
+    clamped = F.least(F.greatest("wanted", F.lit(0)), F.col("n"))
+    done = [wanted.where(~inside).select("by", F.lit("").alias("at"), clamped.alias("wanted"), "n")]
+    pending = wanted.where(inside).select("by", F.lit("").alias("at"), "wanted")
+    keyed = df.select("*", F.col(by).alias("__by"))
+    while not pending.isEmpty():
+        found = stage(_deeper(keyed, df, pending, seed, key), "sample-cutoffs")
+        closed = (F.col("wanted") == F.col("n")) | (F.length("at") >= 2 * _HASH_DIGITS)
+        done.append(found.where(closed).select("by", "at", "wanted", "n"))
+        pending = found.where(~closed).select("by", "at", "wanted")
+    out = done[0]
+    for frame in done[1:]:
+        out = out.unionByName(frame)
+    return stage(out, "sample-cutoffs")
+
+
+def _deeper(keyed: DataFrame, df: DataFrame, pending: DataFrame, seed: int, key: str) -> DataFrame:
+    """Per pending class the longer prefix that holds its rank: (by, at, wanted, n)."""
+    at = F.col("__at")
+    base = F.when(F.length(at) >= _HASH_DIGITS, F.rpad(at, _HASH_DIGITS + 1, "~")).otherwise(at)
+    pending = pending.select(F.col("by").alias("__b"), F.col("at").alias("__at"), F.col("wanted").alias("__wanted"))
+    rows = keyed.join(pending, F.col("__by").eqNullSafe(F.col("__b"))).select(
+        F.col("__b").alias("by"), at.alias("at"), F.col("__wanted").alias("wanted"), _order(df, seed, key, base).alias("place"))
+    rows = rows.where(F.col("place").startswith(F.col("at")))
+    counts = rows.groupBy("by", "at", "wanted", F.expr(f"left(place, length(at) + {_DIGITS})").alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    upto = W.partitionBy("by").orderBy("prefix")
+    ranked = counts.withColumn("upto", F.sum("n").over(upto))
+    hit = ranked.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+    # Where all rows share one place the steps in between are skipped.
+    longer = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("prefix"))
+    return hit.select("by", longer.alias("at"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("wanted"), "n")
+
+
+def _copied(rows: DataFrame, count: str, index: str) -> DataFrame:
+    """Each row as often as ``count`` says, with ``index`` 0, 1 ...; spread over tasks in chunks."""
+    chunks = rows.withColumn("__chunk", F.explode(F.expr(f"sequence(0, ({count} - 1) div {_CHUNK})")))
+    chunks = chunks.repartition(F.col("__chunk"))
+    size = f"least({_CHUNK}, {count} - __chunk * {_CHUNK})"
+    return chunks.withColumn("__place", F.explode(F.expr(f"sequence(0, {size} - 1)"))).withColumn(
+        index, F.expr(f"__chunk * {_CHUNK} + __place")).drop("__chunk", "__place")
+
+
+def _flagged(df: DataFrame, by: str, cuts: DataFrame, seed: int, key: str, out: str) -> DataFrame:
+    """Every row with a flag: whether it is one of the first rows of its class."""
+    at, wanted = F.col("__at"), F.col("__wanted")
+    marked = df.join(
+        cuts.select(F.col("by").alias("__by"), F.col("at").alias("__at"), F.col("wanted").alias("__wanted"), F.col("n").alias("__total")),
+        F.col(by).eqNullSafe(F.col("__by")))
+    begin = F.expr("left(__order, length(__at))")
+    flag = (
+        F.when(wanted == 0, begin < at).when(wanted == F.col("__total"), begin <= at).when(begin != at, begin < at))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    flagged = marked.withColumn("__order", _order(df, seed, key, at)).select(*names, flag.alias(out), "__wanted")
+    split = cuts.where((F.col("wanted") > 0) & (F.col("wanted") < F.col("n")))
+    if split.isEmpty():
+        return flagged.select(*names, out)
+    # Equal rows on both sides of a cutoff: made anew, the right number on each side.
+    equal = flagged.where(F.col(out).isNull()).drop(out).groupBy(*names, "__wanted").agg(F.count(F.lit(1)).alias("__n"))
+    equal = _copied(equal, "__n", "__i").select(*names, (F.col("__i") < wanted).alias(out))
+    return flagged.where(F.col(out).isNotNull()).select(*names, out).unionByName(equal)
+
+
+def _first(df: DataFrame, by: str, quota: Quota, seed: int, key: str) -> DataFrame:
+    cuts = cutoffs(df, by, quota, seed, key)
+    return _flagged(df, by, cuts, seed, key, "__first").filter("__first").drop("__first")
 
 
 def first_per_class(
     df: DataFrame, k: int, by: str = S.CLASS, seed: int = S.SEED, key: str = S.ROW_KEY,
 ) -> DataFrame:
     """The first k rows of each class in the seeded order."""
-    cuts = cutoffs(df, by, lambda totals: {c: k for c in totals}, seed, key)
-    return _flagged(df, by, cuts, seed, key, "__first").filter("__first").drop("__first")
+    return _first(df, by, first_k(k), seed, key)
 
 
 def row_number_per_class(
     df: DataFrame, k: int, by: str = S.CLASS, seed: int = S.SEED, key: str = S.ROW_KEY, name: str = "row_number",
 ) -> DataFrame:
-    """Rank within the class for the first k rows; the window sees only those rows."""
-    if k > _BUCKET_ROWS:
-        raise ValueError(f"at most {_BUCKET_ROWS} ranked rows per class; use first_per_class for more")
-    order = W.partitionBy(by).orderBy(X.order_hash(key, seed))
-    return first_per_class(df, k, by, seed, key).withColumn(name, F.row_number().over(order))
+    """Rank within the class for the first k rows.
+
+    Ranks run inside (class, prefix of the place); a sum per prefix gives each its offset.
+    Equal rows enter once with their number.
+    """
+    digits = max(1, math.ceil(math.log(max(1, k / _RANK_ROWS), 16)))
+    first = first_per_class(df, k, by, seed, key)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    rows = first.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    rows = stage(rows.withColumn("__order", _order(df, seed, key, F.lit("~" * (_HASH_DIGITS + 1)))).withColumn(
+        "__full", F.concat("__order", X.row_fingerprint(df.columns))).withColumn(
+        "__prefix", F.substring("__full", 1, digits)), "ranked-rows")
+    before = W.partitionBy("__by").orderBy("__prefix").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(F.col(by).alias("__by"), "__prefix").agg(F.sum("__n").alias("__sum"))
+    offsets = sums.select("__by", F.col("__prefix").alias("__p"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    inside = W.partitionBy(by, "__prefix").orderBy("__full").rowsBetween(W.unboundedPreceding, -1)
+    ranked = rows.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    ranked = ranked.join(offsets, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__prefix") == F.col("__p")))
+    return _copied(ranked, "__n", "__i").select(
+        *names, (F.col("__offset") + F.col("__before") + F.col("__i") + 1).cast("bigint").alias(name))
 
 
 def split_at(
-    df: DataFrame, quota: Callable[[dict], Mapping], by: str = S.CLASS, seed: int = S.SEED, key: str = S.ROW_KEY,
+    df: DataFrame, quota: Quota, by: str = S.CLASS, seed: int = S.SEED, key: str = S.ROW_KEY,
 ) -> DataFrame:
     """Add ``split``: ``train`` for the first rows of each class, ``test`` for the rest."""
     cuts = cutoffs(df, by, quota, seed, key)
@@ -229,7 +192,7 @@ def split_per_class(
     df: DataFrame, k: int = S.TRAIN_ROWS_PER_CLASS, by: str = S.CLASS, seed: int = S.SEED, key: str = S.ROW_KEY,
 ) -> DataFrame:
     """One rank, two disjoint sides: the first k rows of each class train, the others test."""
-    return split_at(df, lambda totals: {c: k for c in totals}, by, seed, key)
+    return split_at(df, first_k(k), by, seed, key)
 
 
 def train_split_per_class(df: DataFrame, k: int = S.TRAIN_ROWS_PER_CLASS, **options) -> DataFrame:
@@ -240,33 +203,15 @@ def test_split_per_class(df: DataFrame, k: int = S.TRAIN_ROWS_PER_CLASS, **optio
     return split_per_class(df, k, **options).filter(F.col("split") == "test").drop("split")
 
 
-def stratified_quota(totals: Mapping, test_share: float = S.TEST_SHARE) -> dict:
-    """Training rows per class: shares kept, rounding by largest remainder."""
-    n = sum(totals.values())
-    train = n - math.ceil(n * test_share - 1e-9)
-    exact = {c: train * t / n for c, t in totals.items()} if n else {}
-    quota = {c: math.floor(v) for c, v in exact.items()}
-    by_remainder = sorted(exact, key=lambda c: (quota[c] - exact[c], str(c)))
-    for c in by_remainder[: train - sum(quota.values())]:
-        quota[c] += 1
-    return quota
-
-
 def exact_stratified_split(
     df: DataFrame, test_share: float = S.TEST_SHARE, by: str = S.CLASS, seed: int = S.SEED, key: str = S.ROW_KEY,
 ) -> DataFrame:
     """Shares of every class kept exactly in both sides."""
-    return split_at(df, lambda totals: stratified_quota(totals, test_share), by, seed, key)
+    return split_at(df, stratified(test_share), by, seed, key)
 
 
 def sample_n(df: DataFrame, n: int = S.EXPLAIN_SAMPLE, seed: int = S.SEED, key: str = S.ROW_KEY) -> DataFrame:
-    """min(n, rows) rows without replacement.
-
-    A small n is one top-k over the scan; a large one goes through the cutoff filter,
-    so no task ever sorts n rows.
-    """
-    if n <= _TOP_K:
-        return df.orderBy(X.order_hash(key, seed)).limit(n)
+    """min(n, rows) rows without replacement: the first n of one class that holds all rows."""
     whole = df.withColumn("__all", F.lit("all"))
     return first_per_class(whole, n, "__all", seed, key).drop("__all")
 
@@ -275,6 +220,4 @@ def balance_classes(
     df: DataFrame, k: int = S.BALANCE_NEGATIVES, by: str = S.CLASS, seed: int = S.SEED, key: str = S.ROW_KEY,
 ) -> DataFrame:
     """All positives and k random negatives; fewer than k negatives are all kept."""
-    positives = df.filter(F.col(by) == S.POSITIVE)
-    negatives = df.filter(F.col(by) == S.NEGATIVE)
-    return positives.unionByName(sample_n(negatives, k, seed, key))
+    return _first(df, by, balanced(k), seed, key)

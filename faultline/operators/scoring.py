@@ -90,7 +90,7 @@ def split_features_target(
     df: DataFrame, features: Sequence[str] | None = None, label: str = S.CLASS, keep: Sequence[str] = (),
 ) -> DataFrame:
     """``features`` vector and double ``label``."""
-    assembler = VectorAssembler(inputCols=list(features or feature_columns(df)), outputCol="features")
+    assembler = VectorAssembler(inputCols=list(features or feature_columns(df, (label, "split"))), outputCol="features")
     return assembler.transform(df).select(*keep, "features", F.col(label).cast("double").alias("label"))
 
 

@@ -17,7 +17,7 @@ PREDICTIONS = fixtures.as_sql(fixtures.PREDICTIONS, "events")
 
 SENSORS = [n for n, _ in fixtures.SENSOR_RAW if n != "class"]
 WIDE_SENSORS = [n for n, _ in fixtures.SENSOR_WIDE if n != "class"]
-MODEL_FEATURES = ["aa_000", "ag_000", "ci_000", "ck_000", "bj_000", "ah_000"]
+MODEL_FEATURES = [f.lower() for f in S.TOP_FEATURES]
 CONSTANT = ["cd_000", "cr_000"]
 THIN = ["ab_000", "bm_000", "bn_000", "bo_000", "bp_000", "bq_000", "br_000"]
 P = "failure_probability"
@@ -243,6 +243,13 @@ def _missing(columns) -> str:
 
 
 _CLASS_ROWS = "SELECT 'class_count' AS metric, {k} AS key, CAST(count(*) AS DOUBLE) AS value FROM t GROUP BY class"
+_PLACE = "row_number() OVER (ORDER BY CASE risk_level WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 END)"
+_PARTS = """(SELECT CAST(total - ceil(total * 0.2 - 1e-9) AS BIGINT) AS train, CAST(ceil(total * 0.2 - 1e-9) AS BIGINT) AS test, total
+    FROM (SELECT count(*) AS total FROM lineitem) n)"""
+_LOGREG = f"""SELECT train AS train_rows, test AS test_rows, total AS equal_scores, total AS equal_classes, TRUE AS at_minimum
+    FROM {_PARTS} n"""
+_BOOSTED = """SELECT count(*) AS row_count, count(*) AS equal_scores, CAST(300 AS BIGINT) AS trees, TRUE AS depth_kept
+    FROM lineitem"""
 ORACLES: dict[str, str] = {
     # Sources and sinks
     "src_preamble_csv": TYPED_KEYED,
@@ -255,20 +262,29 @@ ORACLES: dict[str, str] = {
     "src_table_features": "SELECT " + ", ".join(f"{c} AS {c.upper()}" for c in _TOP) + f", class AS CLASS FROM ({FINAL}) f",
     "ctas_stage": RAW_KEYED,
     "sink_processed": _preprocessed(TYPED_KEYED, _KEPT, f"row_key, {LABEL} AS class"),
-    "sink_result_tables": SWEEP,
+    "sink_result_tables": f"""WITH top AS ({TOP_LINE}), e AS ({EXPLAINED})
+        SELECT 'threshold_analysis' AS table_name, printf('%.2f', threshold) AS name, round(f1, 9) AS value FROM ({SWEEP}) w UNION ALL
+        SELECT 'feature_importance', feature, round(v, 9) FROM ({_RANKED}) k UNION ALL
+        SELECT 'individual_explanation', feature, round(phi, 9) FROM e UNION ALL
+        SELECT 'predictions', risk_level, CAST(count(*) AS DOUBLE) FROM ({PREDICTIONS}) p GROUP BY risk_level""",
     "sink_predictions_append": f"""SELECT CASE WHEN label = 0 THEN 'first' ELSE 'second' END AS batch_id, risk_level,
-        count(*) AS row_count, round(avg({P}), 6) AS mean_probability FROM ({PREDICTIONS}) p GROUP BY 1, 2""",
+        count(*) AS row_count, round(avg({P}), 6) AS mean_probability, count(*) AS row_keys FROM ({PREDICTIONS}) p GROUP BY 1, 2""",
+    "stored_ids": f"""WITH p AS (SELECT label, count(*) AS n FROM ({PREDICTIONS}) p GROUP BY label)
+        SELECT 'first' AS batch_id, CAST(1 AS BIGINT) AS first_id, n AS last_id, n AS distinct_ids FROM p WHERE label = 0 UNION ALL
+        SELECT 'second', 1 + (SELECT n FROM p WHERE label = 0), n + (SELECT n FROM p WHERE label = 0), n FROM p WHERE label = 1""",
+    "sql_views": DASHBOARD,
+    "sql_view_risks": f"""SELECT risk_level, count(*) AS prediction_count,
+        round(CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER (), 2) AS percentage
+        FROM ({PREDICTIONS}) p GROUP BY risk_level""",
     "dense_prediction_id": """SELECT count(*) AS row_count, count(*) AS distinct_ids, CAST(1 AS BIGINT) AS first_id,
         count(*) AS last_id FROM events""",
     "verify_predictions": f"""WITH p AS ({PREDICTIONS})
         SELECT 'total_rows' AS part, 'all' AS key, count(*) AS value FROM p UNION ALL
         SELECT 'risk_counts', risk_level, count(*) FROM p GROUP BY risk_level UNION ALL
-        SELECT 'latest', risk_level, prediction_id FROM
-        (SELECT * FROM p ORDER BY prediction_id DESC LIMIT 10) l""",
+        SELECT 'latest', CAST(count(*) OVER () - i AS VARCHAR), 1 FROM p, range(0, 10) t(i) QUALIFY row_number() OVER (PARTITION BY i) = 1""",
     # Projections, filters and cleaning
-    "trim_column_names": f"SELECT row_key, class, aa_000 FROM ({RAW_KEYED}) r",
-    "upper_column_names": f"""SELECT row_key AS "ROW_KEY", class AS "CLASS", aa_000 AS "AA_000", bj_000 AS "BJ_000"
-        FROM ({RAW_KEYED}) r""",
+    "trim_column_names": RAW_KEYED,
+    "upper_column_names": "SELECT " + ", ".join(f'{c} AS "{c.upper()}"' for c in ["row_key", "class", *SENSORS]) + f" FROM ({RAW_KEYED}) r",
     "to_numeric": TYPED_WIDE_KEYED,
     "clean_numeric_strict": "SELECT row_key, class, " + ", ".join(f"{_strict(c)} AS {c}" for c in SENSORS) + f" FROM ({RAW_KEYED}) r",
     "exclude_columns": f"SELECT * EXCLUDE ({', '.join(_EXCLUDED)}) FROM ({WIDE_KEYED}) r",
@@ -276,13 +292,12 @@ ORACLES: dict[str, str] = {
     "zero_impute": "SELECT row_key, class, " + _list(SENSORS, "coalesce({c}, 0) AS {c}") + f" FROM ({TYPED_KEYED}) t",
     "zero_impute_count": f"SELECT CAST({_missing(SENSORS)} AS BIGINT) AS filled_cells FROM ({TYPED}) t",
     "encode_target": f"SELECT row_key, class, {LABEL} AS label FROM ({RAW_KEYED}) r",
-    "drop_incomplete_rows": f"""SELECT row_key, aa_000, ag_000, ci_000, {LABEL} AS label FROM ({TYPED_KEYED}) t
-        WHERE aa_000 IS NOT NULL AND ag_000 IS NOT NULL AND ci_000 IS NOT NULL""",
+    "drop_incomplete_rows": f"SELECT row_key, {', '.join(_TOP)}, {LABEL} AS label FROM ({TYPED_WIDE_KEYED}) t WHERE "
+        + " AND ".join(f"{c} IS NOT NULL" for c in _TOP),
     "split_features_target": f"SELECT row_key, CAST(label AS DOUBLE) AS label, {', '.join(MODEL_FEATURES)} FROM ({COMPLETE}) c",
     "require_features": f"SELECT row_key, class, {', '.join(MODEL_FEATURES)} FROM ({TYPED_WIDE_KEYED}) t",
     "filter_class": f"SELECT * FROM ({RAW_KEYED}) r WHERE class = 'pos'",
-    "union_all": f"""SELECT row_key, class, bj_000 FROM ({RAW_KEYED}) r WHERE class = 'pos' UNION ALL
-        SELECT row_key, class, bj_000 FROM ({RAW_KEYED}) r WHERE class = 'neg'""",
+    "union_all": f"SELECT * FROM ({RAW_KEYED}) r WHERE class IN ('pos', 'neg')",
     "threshold_label": f"SELECT prediction_id, CASE WHEN {P} >= 0.65 THEN 1 ELSE 0 END AS prediction FROM ({PREDICTIONS}) p",
     "prediction_label": f"SELECT prediction_id, prediction_label FROM ({PREDICTIONS}) p",
     "risk_level": f"SELECT prediction_id, {_RISK} AS risk_level FROM ({PREDICTIONS}) p",
@@ -315,7 +330,9 @@ ORACLES: dict[str, str] = {
     "drop_high_missing": f"SELECT * EXCLUDE (ab_000, cr_000) FROM ({TYPED_KEYED}) t",
     "target_profile": f"""SELECT class, count(*) AS class_count,
         round(CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER (), 4) AS percentage FROM ({RAW}) r GROUP BY class""",
-    "duplicate_rows": f"""WITH t AS (SELECT class, aa_000, ci_000, bj_000, ck_000 FROM ({TYPED}) x)
+    "duplicate_rows": f"""WITH x AS ({TYPED_WIDE}), t AS (
+            SELECT * FROM x UNION ALL SELECT * FROM x WHERE bj_000 = 1 AND aa_000 < 10
+            UNION ALL SELECT * FROM x WHERE bj_000 = 1 AND aa_000 < 2)
         SELECT (SELECT count(*) FROM t) AS rows_analyzed,
                (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t) d) AS duplicate_rows""",
     "dataset_summary": f"WITH t AS ({TYPED}) " + _summary([
@@ -323,6 +340,7 @@ ORACLES: dict[str, str] = {
         ("total_missing", "NULL", _missing(["class", *SENSORS])),
         ("dtype", "'double'", f"max({len(SENSORS)})"), ("dtype", "'string'", "max(1)"),
     ]) + " UNION ALL " + _CLASS_ROWS.format(k="class"),
+    "dataset_head": f"SELECT * FROM ({TYPED_KEYED}) t ORDER BY row_key LIMIT 5",
     "preprocess_summary": f"WITH t AS ({TYPED}) " + _summary([
         ("rows", "NULL", "count(*)"), ("columns", "NULL", f"max({len(_KEPT) + 1})"),
         ("features", "NULL", f"max({len(_KEPT)})"), ("total_missing", "NULL", "max(0)"),
@@ -340,8 +358,7 @@ ORACLES: dict[str, str] = {
         SELECT 'target_is_binary', count(DISTINCT class) = 2, count(*) FILTER (WHERE class NOT IN ('neg', 'pos')) FROM t UNION ALL
         SELECT 'row_count', true, count(*) FROM t UNION ALL SELECT 'feature_count', true, {len(_KEPT)}""",
     # Imputation, scaling and the two preparation routes
-    "median_impute": _median_filled(
-        f"SELECT * EXCLUDE (cr_000) FROM ({TYPED_KEYED}) x", [c for c in SENSORS if c != "cr_000"], "row_key, class"),
+    "median_impute": _median_filled(TYPED_KEYED, SENSORS, "row_key, class"),
     "standardize": f"""WITH {_stratified(COMPLETE)},
         f AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in MODEL_FEATURES)} FROM s WHERE split = 'train')
         SELECT row_key, split, {", ".join(f"round(({c} - m_{c}) / CASE WHEN d_{c} = 0 THEN 1 ELSE d_{c} END, 6) AS {c}"
@@ -358,7 +375,7 @@ ORACLES: dict[str, str] = {
     "sample_n": f"SELECT * FROM ({RAW_KEYED}) r ORDER BY {_hash()} LIMIT {S.EXPLAIN_SAMPLE}",
     "row_number_global": f"""SELECT row_key, class FROM (SELECT *, row_number() OVER (ORDER BY {_hash()}) AS rn
         FROM ({RAW_KEYED}) r WHERE class = 'neg') k WHERE rn <= 1000""",
-    "row_number_per_class": f"""SELECT * EXCLUDE (rn), CAST(rn AS INTEGER) AS row_number FROM ({_RANKED_ORDERS}) k
+    "row_number_per_class": f"""SELECT * EXCLUDE (rn), CAST(rn AS BIGINT) AS row_number FROM ({_RANKED_ORDERS}) k
         WHERE rn <= {S.TRAIN_ROWS_PER_CLASS}""",
     "qualify": f"""SELECT row_key, class FROM ({RAW_KEYED}) r
         QUALIFY row_number() OVER (PARTITION BY class ORDER BY {_hash()}) > {S.TRAIN_ROWS_PER_CLASS}""",
@@ -368,7 +385,7 @@ ORACLES: dict[str, str] = {
         {_sum("risk_level = 'HIGH'")} AS high_risk_count, {_sum("risk_level = 'MEDIUM'")} AS medium_risk_count,
         {_sum("risk_level = 'LOW'")} AS low_risk_count, {_share(_sum("risk_level = 'HIGH'"))} AS high_risk_percentage
         FROM ({PREDICTIONS}) p""",
-    "risk_distribution": f"""SELECT risk_level, count(*) AS prediction_count,
+    "risk_distribution": f"""SELECT risk_level, count(*) AS prediction_count, CAST({_PLACE} AS INTEGER) AS place,
         round(CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER (), 2) AS percentage
         FROM ({PREDICTIONS}) p GROUP BY risk_level""",
     "dashboard_summary": DASHBOARD,
@@ -391,7 +408,7 @@ ORACLES: dict[str, str] = {
         FROM ({PREDICTIONS}) p GROUP BY 1, 2""",
     "share_of_total": """SELECT event_type, count(*) AS row_count,
         round(CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER (), 2) AS percentage FROM events GROUP BY event_type""",
-    "order_by_case": f"SELECT risk_level, count(*) AS row_count FROM ({PREDICTIONS}) p GROUP BY risk_level",
+    "order_by_case": f"SELECT risk_level, count(*) AS row_count, CAST({_PLACE} AS INTEGER) AS place FROM ({PREDICTIONS}) p GROUP BY risk_level",
     "top_high_risk": f"{HIGH} ORDER BY {P} DESC, prediction_id LIMIT 20",
     "top_actions": f"{WITH_ACTION} ORDER BY {P} DESC, prediction_id LIMIT 20",
     "latest_predictions": f"SELECT {_SHOWN}, created_at FROM ({PREDICTIONS}) p ORDER BY prediction_id DESC LIMIT 10",
@@ -408,11 +425,25 @@ ORACLES: dict[str, str] = {
         for name, c in [("true_negatives", "tn"), ("false_positives", "fp"), ("false_negatives", "fn"),
                         ("true_positives", "tp"), *((m, m) for m in _SIX)]),
     "score_stream": """SELECT count(*) AS row_count, count(*) AS distinct_rows, CAST(1 AS BIGINT) AS first_id,
-        count(*) AS last_id, CAST(count(*) AS DOUBLE) * (count(*) + 1) / 2 AS id_sum, CAST(0 AS BIGINT) AS wrong_rows
+        count(*) AS last_id, CAST(count(*) AS DOUBLE) * (count(*) + 1) / 2 AS id_sum, CAST(0 AS BIGINT) AS wrong_rows, TRUE AS scores_differ
         FROM lineitem""",
     "batch_score_job": """SELECT count(*) AS row_count, count(*) AS distinct_rows, CAST(1 AS BIGINT) AS first_id,
-        count(*) AS last_id, CAST(count(*) AS DOUBLE) * (count(*) + 1) / 2 AS id_sum, CAST(0 AS BIGINT) AS wrong_rows
+        count(*) AS last_id, CAST(count(*) AS DOUBLE) * (count(*) + 1) / 2 AS id_sum, CAST(0 AS BIGINT) AS wrong_rows,
+        TRUE AS scores_differ, (SELECT CAST(""" + _missing(_TOP) + f""" AS BIGINT) FROM ({TYPED_WIDE}) t) AS filled_cells
         FROM lineitem""",
+    "batch_scores_match": "SELECT count(*) AS row_count, count(*) AS equal_scores FROM lineitem",
+    "model_tables": f"WITH {_stratified(COMPLETE)} SELECT split, label, count(*) AS row_count FROM s GROUP BY split, label",
+    "train_logreg": _LOGREG,
+    "train_logreg_balanced": _LOGREG,
+    "train_boosted": _BOOSTED,
+    "train_boosted_weighted": _BOOSTED,
+    "training_route": f"""SELECT test AS test_rows, CAST(17 AS BIGINT) AS thresholds, CAST(1 AS BIGINT) AS chosen,
+        CAST(0 AS BIGINT) AS better_ones FROM {_PARTS} n""",
+    "score_proba": f"SELECT row_key, TRUE AS follows_formula FROM ({RAW_KEYED}) r",
+    "score_class": f"SELECT row_key, TRUE AS follows_formula FROM ({RAW_KEYED}) r",
+    "tree_shap": "SELECT count(*) AS row_count, count(*) AS equal_rows FROM lineitem",
+    "explain_model": f"""SELECT least(count(*), {S.EXPLAIN_SAMPLE}) AS sample_rows, CAST(20 AS BIGINT) AS explained_features,
+        TRUE AS riskiest_row, CAST(20 AS BIGINT) AS equal_ranks, CAST(20 AS BIGINT) AS features FROM lineitem""",
     "tree_shap_additivity": "SELECT count(*) AS row_count, count(*) AS additive_rows FROM lineitem",
     # Evaluation
     "confusion_matrix": f"SELECT {_NAMED} FROM ({COUNTS}) k",

@@ -30,7 +30,8 @@ def preprocess(
     One aggregate profiles every column; both drops and the median plan read it. The
     medians come from all rows unless ``fit_share`` names the training rows. The typed
     columns are written once, so that the later scans read only the kept columns and
-    parse no text; ``staged=False`` parses the text again instead.
+    parse no text; ``staged=False`` parses the text again instead. The copy goes with the
+    enclosing ``scratch_scope``: write the result inside it.
     """
     typed = clean.to_numeric(raw)
     if staged:

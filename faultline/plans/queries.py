@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from faultline import fixtures, schema as S
 from faultline.functions import expressions as X
 from faultline.operators import clean, evaluate, explain, impute, monitor, profile, sample, scoring
-from faultline.plans import models as model_plans, preprocess as preprocess_plan, warehouse
+from faultline.plans import checks, models as model_plans, preprocess as preprocess_plan, warehouse
 from faultline.session import scratch_path
 from faultline.streaming import scoring as stream_scoring
 from faultline.sources import models as model_store, predictions as store, preamble, tables
@@ -19,10 +18,10 @@ from faultline.sources import models as model_store, predictions as store, pream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-MODEL_FEATURES = ("aa_000", "ag_000", "ci_000", "ck_000", "bj_000", "ah_000")
+MODEL_FEATURES = tuple(f.lower() for f in S.TOP_FEATURES)
 PREAMBLE = (
     "Sensor export", "", "One line per vehicle, missing cells are written as na",
-    *(f"Documentation line {i}: counters, histograms, units" for i in range(3, 20)),
+    *(f"Documentation line {i}: counters, histograms, units" for i in range(3, 19)),
 )
 _P = "failure_probability"
 
@@ -60,16 +59,13 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 # Sources and sinks
 
-def _files(df: DataFrame) -> int:
-    """Part files so that one holds about a million rows."""
-    return max(4, df.count() // 1_000_000)
-
-
 def _written_csv(spark, sf, delimiter: str = ",") -> str:
     raw = _raw(spark, sf, key=True)
     raw = raw.select(*(c for c in raw.columns if c != S.ROW_KEY), S.ROW_KEY)
     path = scratch_path(spark, "sensor-files")
-    preamble.write_preamble_csv(raw, path, PREAMBLE, _files(raw), delimiter)
+    # A preamble line that reads like a row, and rows that read like preamble lines.
+    lines = (*PREAMBLE, delimiter.join(["neg", "1", *["na"] * (len(raw.columns) - 2)]))
+    preamble.write_preamble_csv(raw, path, lines, 8, delimiter)
     return path
 
 
@@ -81,7 +77,7 @@ def src_preamble_csv(spark, sf):
 
 @query
 def src_skip_rows_csv(spark, sf):
-    return preamble.read_skip_rows(spark, _written_csv(spark, sf, ";"), len(PREAMBLE))
+    return preamble.read_skip_rows(spark, _written_csv(spark, sf, ";"), len(PREAMBLE) + 1)
 
 
 @query
@@ -130,24 +126,49 @@ def sink_processed(spark, sf):
 
 @query
 def sink_result_tables(spark, sf):
-    path = scratch_path(spark, "thresholds")
-    tables.write_small(evaluate.threshold_sweep(_predictions(spark, sf), _P), path)
-    return spark.read.parquet(path)
+    """The four result tables written and read back, as (table, name, value) rows."""
+    folder = scratch_path(spark, "results")
+    explained = _stand_in(spark, sf)
+    model_plans.write_results(
+        folder, thresholds=evaluate.threshold_sweep(_predictions(spark, sf), _P),
+        importance=explain.shap_importance_ranked(explained, STAND_IN_FEATURES),
+        highest=explain.explain_row(explain.highest_risk_row(explained), STAND_IN_FEATURES),
+        predictions=_predictions(spark, sf))
+
+    def part(name, key, value):
+        return spark.read.parquet(f"{folder}/{name}").select(
+            F.lit(name).alias("table_name"), key.cast("string").alias("name"), F.round(value, 9).alias("value"))
+
+    stored = spark.read.parquet(f"{folder}/predictions").groupBy("risk_level").agg(F.count("*").cast("double").alias("n"))
+    return part("threshold_analysis", F.format_string("%.2f", "threshold"), F.col("f1")).unionByName(
+        part("feature_importance", F.col("feature"), F.col("mean_abs_shap"))).unionByName(
+        part("individual_explanation", F.col("feature"), F.col("shap_value"))).unionByName(
+        stored.select(F.lit("predictions").alias("table_name"), F.col("risk_level").alias("name"), F.col("n").alias("value")))
 
 
 def _stored(spark, sf) -> DataFrame:
-    """Two batches, the second written twice: a rerun must not add rows."""
+    """Two batches, then both written again, the first one first: a rerun must not add rows or move ids."""
     path = scratch_path(spark, "predictions")
-    scored = _predictions(spark, sf).withColumn(S.ROW_KEY, F.col("prediction_id").cast("string"))
-    for batch, label in (("first", 0), ("second", 1), ("second", 1)):
+    scored = _predictions(spark, sf).withColumn("ROW_KEY", F.col("prediction_id").cast("string"))
+    for batch, label in (("first", 0), ("second", 1), ("first", 0), ("second", 1)):
         store.append_predictions(scored.filter(F.col("label") == label), path, batch)
     return store.read_predictions(spark, path)
 
 
 @query
 def sink_predictions_append(spark, sf):
+    """Per batch and risk its rows; the ids of a batch stay in the batch's range after reruns."""
     return _stored(spark, sf).groupBy("batch_id", "risk_level").agg(
-        F.count(F.lit(1)).alias("row_count"), F.round(F.avg(_P), 6).alias("mean_probability"))
+        F.count(F.lit(1)).alias("row_count"), F.round(F.avg(_P), 6).alias("mean_probability"),
+        F.count(S.ROW_KEY).alias("row_keys"))
+
+
+@query
+def stored_ids(spark, sf):
+    """Per batch its first and last id: ranges follow each other without gap after the reruns."""
+    return _stored(spark, sf).groupBy("batch_id").agg(
+        F.min("prediction_id").alias("first_id"), F.max("prediction_id").alias("last_id"),
+        F.countDistinct("prediction_id").alias("distinct_ids"))
 
 
 @query
@@ -163,17 +184,36 @@ def dense_prediction_id(spark, sf):
 
 @query
 def verify_predictions(spark, sf):
-    """Total, rows per risk level and the newest ids, as (part, key, value) rows."""
-    checks = store.verify_predictions(_predictions(spark, sf))
+    """Of the stored table: total, rows per risk level, the newest ids with what the source says of the row."""
+    stored = _stored(spark, sf)
+    found = store.verify_predictions(stored)
 
-    def part(name, key, value):
-        return checks[name].select(
-            F.lit(name).alias("part"), key.cast("string").alias("key"), value.cast("bigint").alias("value"))
+    def part(name, df, key, value):
+        return df.select(F.lit(name).alias("part"), key.cast("string").alias("key"), value.cast("bigint").alias("value"))
 
-    total = part("total_rows", F.lit("all"), F.col("total_rows"))
-    risk = part("risk_counts", F.col("risk_level"), F.col("row_count"))
-    latest = part("latest", F.col("risk_level"), F.col("prediction_id"))
-    return total.unionByName(risk).unionByName(latest)
+    newest = found["latest"].join(stored.select("prediction_id", S.ROW_KEY), "prediction_id")
+    source = _predictions(spark, sf).select(
+        F.col("prediction_id").cast("string").alias(S.ROW_KEY), F.col("prediction_label").alias("said"),
+        F.col("risk_level").alias("risk"), F.col(_P).alias("p"))
+    matched = newest.join(source, S.ROW_KEY)
+    same = (F.col("said") == F.col("prediction_label")) & (F.col("risk") == F.col("risk_level")) & (F.col("p") == F.col(_P)) & F.col("created_at").isNotNull()
+    return part("total_rows", found["total_rows"], F.lit("all"), F.col("total_rows")).unionByName(
+        part("risk_counts", found["risk_counts"], F.col("risk_level"), F.col("row_count"))).unionByName(
+        part("latest", matched, F.col("prediction_id"), same))
+
+
+@query
+def sql_views(spark, sf):
+    """The dashboard row by SQL over a registered view."""
+    tables.register_views(_predictions(spark, sf))
+    return spark.sql("SELECT * FROM APS_FAILURE_DASHBOARD")
+
+
+@query
+def sql_view_risks(spark, sf):
+    """Another registered view, read as a table."""
+    tables.register_views(_predictions(spark, sf))
+    return tables.read_table(spark, "APS_FAILURE_RISK_DISTRIBUTION")
 
 
 # Projections, filters and cleaning
@@ -182,13 +222,12 @@ def verify_predictions(spark, sf):
 def trim_column_names(spark, sf):
     raw = _raw(spark, sf, key=True)
     padded = raw.toDF(*(f" {c}\t" for c in raw.columns))
-    return clean.trim_column_names(padded).select(S.ROW_KEY, "class", "aa_000")
+    return clean.trim_column_names(padded)
 
 
 @query
 def upper_column_names(spark, sf):
-    upper = clean.upper_column_names(_raw(spark, sf, key=True))
-    return upper.select("ROW_KEY", "CLASS", "AA_000", "BJ_000")
+    return clean.upper_column_names(_raw(spark, sf, key=True))
 
 
 @query
@@ -231,8 +270,7 @@ def encode_target(spark, sf):
 
 @query
 def drop_incomplete_rows(spark, sf):
-    features = ("aa_000", "ag_000", "ci_000")
-    return model_plans.labelled(_raw(spark, sf, key=True), features).select(S.ROW_KEY, *features, "label")
+    return model_plans.labelled(_raw(spark, sf, key=True, wide=True), MODEL_FEATURES).select(S.ROW_KEY, *MODEL_FEATURES, "label")
 
 
 @query
@@ -248,7 +286,7 @@ def split_features_target(spark, sf):
 @query
 def require_features(spark, sf):
     upper = clean.upper_column_names(_raw(spark, sf, key=True, wide=True))
-    return clean.require_features(upper, MODEL_FEATURES).withColumnsRenamed({"ROW_KEY": S.ROW_KEY, "CLASS": S.CLASS})
+    return clean.require_features(upper, MODEL_FEATURES)
 
 
 @query
@@ -259,8 +297,7 @@ def filter_class(spark, sf):
 @query
 def union_all(spark, sf):
     raw = _raw(spark, sf, key=True)
-    both = clean.union_all(clean.filter_class(raw, S.POSITIVE), clean.filter_class(raw, S.NEGATIVE))
-    return both.select(S.ROW_KEY, "class", "bj_000")
+    return clean.union_all(clean.filter_class(raw, S.POSITIVE), clean.filter_class(raw, S.NEGATIVE))
 
 
 @query
@@ -363,8 +400,10 @@ def target_profile(spark, sf):
 
 @query
 def duplicate_rows(spark, sf):
-    """Sensors without a key repeat: identical readings of different lines."""
-    return profile.duplicate_rows(_typed(spark, sf).select("class", "aa_000", "ci_000", "bj_000", "ck_000"))
+    """Whole rows, all columns; a part of them comes twice, one of those five times more."""
+    typed = _typed(spark, sf, wide=True)
+    twice = typed.filter("bj_000 = 1 AND aa_000 < 10")
+    return profile.duplicate_rows(typed.unionByName(twice).unionByName(twice.filter("aa_000 < 2")))
 
 
 @query
@@ -372,6 +411,12 @@ def dataset_summary(spark, sf):
     return profile.dataset_summary(_typed(spark, sf))
 
 
+@query
+def dataset_head(spark, sf):
+    """The first rows of the summary, typed."""
+    return profile.first_rows(_typed(spark, sf, key=True), 5)
+
+
 @query
 def preprocess_summary(spark, sf):
     return profile.preprocess_summary(preprocess_plan.preprocess(_raw(spark, sf)).data)
@@ -399,7 +444,8 @@ def assert_processed(spark, sf):
 
 @query
 def median_impute(spark, sf):
-    typed = _typed(spark, sf, key=True).drop("cr_000")
+    """One column has no value at all and stays missing."""
+    typed = _typed(spark, sf, key=True)
     return _rounded(impute.median_impute(typed), 6, *clean.feature_columns(typed))
 
 
@@ -482,7 +528,7 @@ def monitoring_summary(spark, sf):
 
 @query
 def risk_distribution(spark, sf):
-    return monitor.risk_distribution(_predictions(spark, sf))
+    return monitor.risk_distribution(_predictions(spark, sf), position="place")
 
 
 @query
@@ -529,7 +575,7 @@ def share_of_total(spark, sf):
 
 @query
 def order_by_case(spark, sf):
-    return monitor.order_by_label(monitor.risk_counts(_predictions(spark, sf)), "risk_level")
+    return monitor.order_by_label(monitor.risk_counts(_predictions(spark, sf)), "risk_level", position="place")
 
 
 @query
@@ -549,53 +595,51 @@ def latest_predictions(spark, sf):
 
 # Training and scoring
 
-BOOST = scoring.BoostParams(rounds=8, depth=4, step=0.2, bins=64)
+_PREPARED: dict[tuple[str, str], str] = {}
+_MODELS: dict[tuple[str, str, str], str] = {}
 
-
-@lru_cache(maxsize=32)
-def _tables_path(app: str, sf: str) -> str:
-    """The complete, split sensor rows, written once per session and table folder."""
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, "model-tables")
-    sample.exact_stratified_split(tables.stage(_complete(spark, sf), "complete")).write.parquet(path)
-    return path
+_TRAINERS = {
+    "logreg": scoring.train_logreg, "logreg_balanced": scoring.train_logreg_balanced,
+    "boosted": scoring.train_boosted, "boosted_weighted": scoring.train_boosted_weighted,
+}
 
 
 def _split(spark, sf) -> DataFrame:
-    return spark.read.parquet(_tables_path(spark.sparkContext.applicationId, sf))
+    """The complete, split sensor rows; written once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PREPARED:
+        path = scratch_path(spark, "model-tables")
+        sample.exact_stratified_split(tables.stage(_complete(spark, sf), "complete")).write.parquet(path)
+        _PREPARED[key] = path
+    return spark.read.parquet(_PREPARED[key])
 
 
-@lru_cache(maxsize=32)
-def _model_path(app: str, sf: str, kind: str) -> str:
-    """Train once per session and table folder; later queries load the saved model."""
-    spark = SparkSession.getActiveSession()
+def _train(spark, sf, kind: str) -> PipelineModel:
+    """Train now, on all model features with the operator's own settings, and keep the model for others."""
     train = _split(spark, sf).filter(F.col("split") == "train")
-    fit = {
-        "logreg": scoring.train_logreg,
-        "logreg_balanced": scoring.train_logreg_balanced,
-        "boosted": lambda d, f: scoring.train_boosted(d, f, params=BOOST),
-        "boosted_weighted": lambda d, f: scoring.train_boosted_weighted(d, f, params=BOOST),
-    }[kind]
+    model = _TRAINERS[kind](train, list(MODEL_FEATURES))
     path = scratch_path(spark, f"model-{kind}")
-    model_store.save_model(fit(train, list(MODEL_FEATURES)), path)
-    return path
+    model_store.save_model(model, path)
+    _MODELS[spark.sparkContext.applicationId, sf, kind] = path
+    return model
 
 
 def _saved(spark, sf, kind: str) -> str:
-    return _model_path(spark.sparkContext.applicationId, sf, kind)
+    """Path of a model of this session; trained if no query has done so yet."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _MODELS:
+        _train(spark, sf, kind)
+    return _MODELS[key]
 
 
 def _model(spark, sf, kind: str) -> PipelineModel:
     return model_store.load_model(_saved(spark, sf, kind))[0]
 
 
-def _scored(spark, sf, kind: str) -> DataFrame:
-    test = _split(spark, sf).filter(F.col("split") == "test")
-    return scoring.score(_model(spark, sf, kind), test)
-
-
-def _quality(spark, sf, kind: str) -> DataFrame:
-    return evaluate.model_metrics(_scored(spark, sf, kind), _P)
+@query
+def model_tables(spark, sf):
+    """The preparation that all model queries share: complete rows, split by class."""
+    return _split(spark, sf).groupBy("split", "label").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query
@@ -608,34 +652,82 @@ def balanced_class_weight(spark, sf):
     return _rounded(scoring.balanced_class_weight(_complete(spark, sf)), 9, "class_weight")
 
 
+def _logreg_facts(spark, sf, balanced: bool) -> DataFrame:
+    """The gradient of the loss is zero at the model, and its scores follow from its coefficients."""
+    model = _train(spark, sf, "logreg_balanced" if balanced else "logreg")
+    split = _split(spark, sf)
+    gradient = checks.logistic_gradient(split.filter("split = 'train'"), model, MODEL_FEATURES, balanced)
+    scored = scoring.score(model, split)
+    gap = F.abs(F.col(_P) - checks.logistic_probability(model, MODEL_FEATURES))
+    facts = scored.agg(
+        F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"),
+        F.count_if(gap < 1e-9).alias("equal_scores"),
+        F.count_if(F.col("prediction") == (F.col(_P) >= 0.5).cast("int")).alias("equal_classes"))
+    largest = gradient.collect()[0]["largest"]
+    return facts.withColumn("at_minimum", F.lit(bool(largest < 1e-3)))
+
+
+def _boosted_facts(spark, sf, kind: str, params: scoring.BoostParams) -> DataFrame:
+    """As many trees as asked for, no deeper than asked, and the scores follow from their saved nodes."""
+    model = _train(spark, sf, kind)
+    scored = checks.boosted_probability(scoring.score(model, _split(spark, sf)), model, MODEL_FEATURES)
+    trees = model.stages[-1]
+    return scored.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(F.abs(F.col(_P) - F.col("walked")) < 1e-9).alias("equal_scores"),
+    ).select(
+        "row_count", "equal_scores", F.lit(len(trees.trees)).cast("bigint").alias("trees"),
+        F.lit(max(t.depth for t in trees.trees) <= params.depth).alias("depth_kept"))
+
+
 @query
 def train_logreg_balanced(spark, sf):
-    return _quality(spark, sf, "logreg_balanced")
+    return _logreg_facts(spark, sf, balanced=True)
 
 
 @query
 def train_logreg(spark, sf):
-    return _quality(spark, sf, "logreg")
+    return _logreg_facts(spark, sf, balanced=False)
 
 
 @query
 def train_boosted_weighted(spark, sf):
-    return _quality(spark, sf, "boosted_weighted")
+    return _boosted_facts(spark, sf, "boosted_weighted", scoring.WEIGHTED_BOOST)
 
 
 @query
 def train_boosted(spark, sf):
-    return _quality(spark, sf, "boosted")
+    return _boosted_facts(spark, sf, "boosted", scoring.BoostParams())
+
+
+@query
+def training_route(spark, sf):
+    """Split, train, score, measure, sweep, choose: the chosen threshold is the best of its own sweep."""
+    done = model_plans.train_and_evaluate(_split(spark, sf), list(MODEL_FEATURES), scoring.train_logreg_balanced)
+    sweep = done.sweep.withColumn("enough", (F.col("recall") >= 0.85).cast("int"))
+    better = sweep.alias("a").join(done.threshold.alias("b"), F.expr(
+        "a.enough > int(b.recall >= 0.85) OR (a.enough = int(b.recall >= 0.85) AND "
+        "if(a.enough = 1, a.f1, a.recall) > if(b.recall >= 0.85, b.f1, b.recall))"))
+    return done.metrics.agg(F.sum("test_rows").alias("test_rows")).select(
+        "test_rows", F.lit(done.sweep.count()).cast("bigint").alias("thresholds"),
+        F.lit(done.threshold.count()).cast("bigint").alias("chosen"), F.lit(better.count()).cast("bigint").alias("better_ones"))
 
 
 @query
 def score_proba(spark, sf):
-    return scoring.score_proba(_model(spark, sf, "logreg"), _split(spark, sf), [S.ROW_KEY])
+    """Every row's probability against its formula."""
+    model = _model(spark, sf, "logreg")
+    scored = scoring.score_proba(model, _split(spark, sf), [S.ROW_KEY, *MODEL_FEATURES])
+    return scored.select(S.ROW_KEY, (F.abs(
+        F.col(_P) - checks.logistic_probability(model, MODEL_FEATURES)) < 1e-9).alias("follows_formula"))
 
 
 @query
 def score_class(spark, sf):
-    return scoring.score_class(_model(spark, sf, "logreg"), _split(spark, sf), [S.ROW_KEY])
+    """Every row's class against the sign of its formula."""
+    model = _model(spark, sf, "logreg")
+    scored = scoring.score_class(model, _split(spark, sf), [S.ROW_KEY, *MODEL_FEATURES])
+    expected = (checks.logistic_probability(model, MODEL_FEATURES) >= 0.5).cast("int")
+    return scored.select(S.ROW_KEY, (F.col("prediction") == expected).alias("follows_formula"))
 
 
 @query
@@ -663,23 +755,38 @@ def sink_metrics(spark, sf):
 
 
 def _batch_facts(stored: DataFrame) -> DataFrame:
-    """Every source row once, ids dense, labels and risks in line with the score."""
-    p, failed = F.col(_P), F.col("prediction_label") == S.LABELS[1]
-    wrong = (failed != (p >= S.CLASS_CUTOFF)) | (F.col("risk_level") != X.risk_level(p)) | p.isNull() | (p < 0) | (p > 1)
+    """Every source row once, ids dense, labels and risks in line with the score, scores not all alike."""
+    wrong = F.expr(
+        f"(prediction_label = 'FAILURE') <> ({_P} >= 0.5) OR {_P} IS NULL OR {_P} < 0 OR {_P} > 1 OR "
+        f"risk_level <> CASE WHEN {_P} >= 0.70 THEN 'HIGH' WHEN {_P} >= 0.30 THEN 'MEDIUM' ELSE 'LOW' END")
     per_row = stored.groupBy(S.ROW_KEY).agg(
         F.count(F.lit(1)).alias("n"), F.min("prediction_id").alias("lo"), F.max("prediction_id").alias("hi"),
-        F.sum("prediction_id").alias("ids"), F.count_if(wrong).alias("wrong"))
+        F.sum("prediction_id").alias("ids"), F.count_if(wrong).alias("wrong"), F.max(_P).alias("p"))
     return per_row.agg(
         F.sum("n").cast("bigint").alias("row_count"), F.count(F.lit(1)).alias("distinct_rows"),
         F.min("lo").alias("first_id"), F.max("hi").alias("last_id"),
-        F.sum("ids").cast("double").alias("id_sum"), F.sum("wrong").cast("bigint").alias("wrong_rows"))
+        F.sum("ids").cast("double").alias("id_sum"), F.sum("wrong").cast("bigint").alias("wrong_rows"),
+        (F.max("p") > F.min("p")).alias("scores_differ"))
 
 
 @query
 def batch_score_job(spark, sf):
+    """Upper-case source table, as a warehouse has it; filled cells as the job counts them."""
+    source = clean.upper_column_names(_raw(spark, sf, key=True, wide=True))
+    done = model_plans.batch_score(source, _saved(spark, sf, "boosted"), scratch_path(spark, "scores"), "batch-1")
+    return _batch_facts(done.stored).withColumn("filled_cells", F.lit(done.filled_cells).cast("bigint"))
+
+
+@query
+def batch_scores_match(spark, sf):
+    """Stored scores against walking the saved trees over the source rows."""
     source = _raw(spark, sf, key=True, wide=True)
-    return _batch_facts(model_plans.batch_score(
-        source, _saved(spark, sf, "boosted"), scratch_path(spark, "scores"), "batch-1"))
+    path = _saved(spark, sf, "boosted")
+    stored = model_plans.batch_score(source, path, scratch_path(spark, "scores"), "batch-1").stored
+    typed = clean.zero_impute(clean.to_numeric(source), MODEL_FEATURES)
+    walked = checks.boosted_probability(typed, model_store.load_model(path)[0], MODEL_FEATURES)
+    both = stored.select(S.ROW_KEY, _P).join(walked.select(S.ROW_KEY, "walked"), S.ROW_KEY)
+    return both.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.abs(F.col(_P) - F.col("walked")) < 1e-9).alias("equal_scores"))
 
 
 @query
@@ -781,11 +888,14 @@ STAND_IN_FEATURES = ("aa_000", "ci_000", "ck_000", "bj_000")
 
 @query
 def tree_shap(spark, sf):
-    """Contributions of every row, one column per feature."""
-    model = _model(spark, sf, "boosted_weighted")
-    explained = explain.tree_shap(model, _split(spark, sf), [S.ROW_KEY])
-    return explained.select(
-        S.ROW_KEY, "base_value", *(F.col(explain.PHI)[i].alias(f) for i, f in enumerate(MODEL_FEATURES)))
+    """Contributions of every row against those over all subsets of features, for a model of few features."""
+    few = list(MODEL_FEATURES[:4])
+    rows = _split(spark, sf)
+    model = scoring.train_boosted_weighted(
+        rows.filter("split = 'train'"), few, params=scoring.BoostParams(rounds=6, depth=4, step=0.3, bins=64, min_rows=3))
+    explained = explain.tree_shap(model, rows, [S.ROW_KEY])
+    gaps = checks.shapley_by_subsets(explained, model, few, explain.PHI)
+    return gaps.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("distance") < 1e-9).alias("equal_rows"))
 
 
 @query
@@ -840,6 +950,17 @@ def explain_row(spark, sf):
 
 @query
 def explain_model(spark, sf):
-    """Contributions of the report's sample, ranked, end to end."""
-    model = _model(spark, sf, "boosted_weighted")
-    return model_plans.explain_model(model, _split(spark, sf)).importance
+    """The report's sample end to end: its ranks against an average over its own contributions."""
+    done = model_plans.explain_model(_model(spark, sf, "boosted_weighted"), _split(spark, sf))
+    parts = done.explained.select(F.posexplode(explain.PHI).alias("at", "phi"))
+    means = parts.groupBy("at").agg(F.avg(F.abs("phi")).alias("mean")).orderBy(F.desc("mean")).collect()
+    names = [MODEL_FEATURES[r["at"]] for r in means]
+    ranked = done.importance.collect()
+    equal = sum(
+        abs(r["mean_abs_shap"] - m["mean"]) < 1e-12 and r["rank"] == i + 1 for i, (r, m) in enumerate(zip(ranked, means)))
+    highest = done.highest.agg(
+        F.count(F.lit(1)).alias("explained_features"), F.max("risk_probability").alias("p"))
+    top = done.explained.agg(F.max(_P).alias("top"), F.count(F.lit(1)).alias("sample_rows"))
+    return highest.crossJoin(top).select(
+        "sample_rows", "explained_features", (F.col("p") == F.col("top")).alias("riskiest_row"),
+        F.lit(equal).cast("bigint").alias("equal_ranks"), F.lit(len(set(names))).cast("bigint").alias("features"))

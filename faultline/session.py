@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +26,7 @@ _SETTINGS = {
 }
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCOPES = threading.local()
 
 
 def build_session(app: str = "faultline", master: str | None = None, **conf) -> SparkSession:
@@ -52,12 +58,36 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="run-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOTS[app], ignore_errors=True)
     return _LOCAL_ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the scratch root; nothing is created yet."""
-    return os.path.join(scratch_root(spark), "faultline", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the scratch root; nothing is created yet.
+
+    Inside ``scratch_scope`` the path is deleted when the scope ends.
+    """
+    path = os.path.join(scratch_root(spark), "faultline", f"{name}-{uuid.uuid4().hex}")
+    scopes = getattr(_SCOPES, "open", [])
+    if scopes:
+        scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete every stage made inside when the block ends, also by an error.
+
+    Frames that read those stages have to be written or collected inside the block.
+    """
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    _SCOPES.open.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.open.pop():
+            remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -1,21 +1,23 @@
-"""Sensor files: documentation lines, then a header line, then comma rows."""
+"""Sensor files: documentation lines, then a header line, then comma rows.
+
+A file is read once. Within a task Spark hands over the lines of a file in order, and the
+first split of a file starts with its first line; so a pass over the lines drops everything
+up to the header by position, whatever those lines hold. No file is opened by a job of its
+own, and no line is compared by value.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from faultline import schema as S
-from faultline.functions.expressions import NUMBER
 from faultline.operators.clean import nullify_tokens, to_numeric, trim_column_names
 
 _HEAD_LINES = 64
-_PROBES = 64  # file heads read at the same time; each is a job of one short task
-_MAX_PREAMBLE_CHARS = 4_000_000
 _DELIMITERS = (",", ";", "\t")
 _BAD = "__unparsed"
 
@@ -23,13 +25,17 @@ _BAD = "__unparsed"
 @dataclass(frozen=True)
 class FileHead:
     path: str
-    preamble: tuple[str, ...]
+    row: int
     header: str
     delimiter: str
 
     @property
     def names(self) -> tuple[str, ...]:
-        return tuple(n.strip() for n in self.header.strip("\r\n").split(self.delimiter))
+        return header_names(self.header, self.delimiter)
+
+
+def header_names(line: str, delimiter: str) -> tuple[str, ...]:
+    return tuple(n.strip() for n in line.strip("\r\n").split(delimiter))
 
 
 def header_delimiter(line: str) -> str | None:
@@ -46,7 +52,7 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def find_header(spark: SparkSession, path: str, skip_rows: int | None = None) -> FileHead:
-    """Read only the head of one file, twice as far each time until the header shows."""
+    """Read only the head of one file, further each time until the header shows."""
     lines_wanted = _HEAD_LINES if skip_rows is None else skip_rows + 1
     while True:
         lines = [r[0] for r in spark.read.text(path).limit(lines_wanted).collect()]
@@ -54,89 +60,130 @@ def find_header(spark: SparkSession, path: str, skip_rows: int | None = None) ->
             if len(lines) <= skip_rows:
                 raise ValueError(f"{path} has no header after {skip_rows} lines")
             header = lines[skip_rows]
-            return FileHead(path, tuple(lines[:skip_rows]), header, header_delimiter(header) or ",")
+            return FileHead(path, skip_rows, header, header_delimiter(header) or ",")
         for i, line in enumerate(lines):
             if delimiter := header_delimiter(line):
-                return FileHead(path, tuple(lines[:i]), line, delimiter)
-        if len(lines) < lines_wanted or sum(map(len, lines)) > _MAX_PREAMBLE_CHARS:
+                return FileHead(path, i, line, delimiter)
+        if len(lines) < lines_wanted:
             raise ValueError(f"no header line found in {path}")
         lines_wanted *= 8
 
 
 def find_header_row(spark: SparkSession, path: str) -> int:
     """Zero-based line number of the header in one file."""
-    return len(find_header(spark, path).preamble)
+    return find_header(spark, path).row
 
 
-def _heads(spark: SparkSession, path: str, skip_rows: int | None) -> list[FileHead]:
-    files = list_files(spark, path)
-    if not files:
-        raise ValueError(f"no data files in {path}")
-    with ThreadPoolExecutor(_PROBES) as pool:
-        return list(pool.map(lambda f: find_header(spark, f, skip_rows), files))
+class _FileState:
+    """Where a task stands in the file it reads: lines seen, and the delimiter once the header is passed."""
 
+    def __init__(self, names: tuple[str, ...], skip_rows: int | None):
+        self.names, self.skip_rows = tuple(n.lower() for n in names), skip_rows
+        self.path, self.seen, self.delimiter = None, 0, None
 
-def _dropped_lines(heads: Sequence[FileHead]) -> list[str]:
-    """Distinct preamble and header lines of all files.
+    def enter(self, path: str) -> None:
+        self.leave()
+        self.path, self.seen, self.delimiter = path, 0, None
 
-    A split of a file does not know its line numbers, so these lines go by value. That
-    is safe only if none of them could be a data row: as many cells as the header, and
-    numbers or missing tokens in all but the class.
-    """
-    lines: dict[str, None] = {}
-    for head in heads:
-        width = len(head.names)
-        for line in head.preamble:
-            cells = [c.strip() for c in line.split(head.delimiter)]
-            sensors = (re.match(NUMBER, c) or c in S.COMMON_NA_TOKENS or c in S.INGEST_NA_TOKENS for c in cells[1:])
-            if line.strip() and len(cells) == width and all(sensors):
-                raise ValueError(f"preamble line of {head.path} looks like a data row: {line[:80]!r}")
-            lines[line] = None
-        lines[head.header] = None
-    if sum(map(len, lines)) > _MAX_PREAMBLE_CHARS:
-        raise ValueError("the preambles differ too much from file to file")
-    return list(lines)
-
-
-def _parse(lines: DataFrame, head: FileHead) -> DataFrame:
-    """Split data lines: a short row is filled with missing cells, a long one is an error."""
-    names = [f"c{i}" for i in range(len(head.names))]
-    fields = [T.StructField(n, T.StringType()) for n in (*names, _BAD)]
-    ddl = ", ".join(f"{f.name} string" for f in fields)
-    options = {"sep": head.delimiter, "columnNameOfCorruptRecord": _BAD}
-    row = F.from_csv(F.col("value"), ddl, options)
-    parsed = lines.select(row.alias("r")).select(*(F.col(f"r.{n}").alias(n) for n in (*names, _BAD)))
-    width = F.size(F.split(F.col(_BAD), "\\" + head.delimiter if head.delimiter != "\t" else "\t"))
-    long_row = F.col(_BAD).isNotNull() & (width > len(names))
-    message = F.concat(F.lit("too many fields: "), F.substring(_BAD, 1, 80))
-    first: Column = F.when(long_row, F.raise_error(message).cast("string")).otherwise(F.col(names[0]))
-    return parsed.select(first.alias(names[0]), *names[1:]).toDF(*head.names)
+    def leave(self) -> None:
+        """A first split that ends without a header is an error: its rows cannot be told apart."""
+        if self.path is not None and self.delimiter is None:
+            raise ValueError(f"no header line found in the first split of {self.path}")
+
+    def rows_before_data(self, lines: Sequence[str]) -> int:
+        """How many of the next lines come before the data; notes the header among them."""
+        for i, line in enumerate(lines):
+            if self.skip_rows is None:
+                delimiter = header_delimiter(line)
+            else:
+                delimiter = (header_delimiter(line) or ",") if self.seen == self.skip_rows else None
+            self.seen += 1
+            if delimiter:
+                if tuple(n.lower() for n in header_names(line, delimiter)) != self.names:
+                    raise ValueError(f"{self.path} has different columns")
+                self.delimiter = delimiter
+                return i + 1
+        return len(lines)
+
+
+def _data_lines(lines: DataFrame, names: tuple[str, ...], skip_rows: int | None) -> DataFrame:
+    """The lines behind each file's header, with the file's delimiter; null in later splits of a file."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = _FileState(names, skip_rows)
+        for batch in batches:
+            paths, starts = batch.column("path"), batch.column("start")
+            at = 0
+            while at < batch.num_rows:
+                path, start = paths[at].as_py(), starts[at].as_py()
+                end = at + 1
+                # The lines of a split are neighbours: find the end of the run by halving.
+                step = batch.num_rows - at
+                while step:
+                    if end + step <= batch.num_rows and paths[end + step - 1].as_py() == path and starts[end + step - 1].as_py() == start:
+                        end += step
+                    else:
+                        step //= 2
+                delimiter = None
+                if start == 0:
+                    if path != state.path:
+                        state.enter(path)
+                    if state.delimiter is None:
+                        at += state.rows_before_data(batch.column("value").slice(at, end - at).to_pylist())
+                    delimiter = state.delimiter
+                if at < end:
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("value").slice(at, end - at), pa.array([delimiter] * (end - at), pa.string())],
+                        names=["value", "delimiter"])
+                at = end
+        state.leave()
+
+    columns = lines.select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    return columns.mapInArrow(cut, "value string, delimiter string")
+
+
+def _width(value: Column, delimiter: str) -> Column:
+    return F.size(F.split(value, delimiter if delimiter == "\t" else f"[{delimiter}]"))
+
+
+def _cells(value: Column, names: Sequence[str], delimiter: str) -> Column:
+    """The cells of a line: a short row is filled with missing cells, a long one is an error."""
+    ddl = ", ".join(f"{n} string" for n in (*names, _BAD))
+    row = F.from_csv(value, ddl, {"sep": delimiter, "columnNameOfCorruptRecord": _BAD})
+    message = F.concat(F.lit("too many fields: "), F.substring(value, 1, 80))
+    return F.when(row[_BAD].isNotNull() & (_width(value, delimiter) > len(names)), F.raise_error(message).cast(_struct(names))).otherwise(
+        F.struct(*(row[n].alias(n) for n in names)))
+
+
+def _struct(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def read_preamble_text(spark: SparkSession, path: str, skip_rows: int | None = None) -> DataFrame:
     """All cells as text, columns named by the header; every file under the path is read.
 
-    Files may differ in preamble and delimiter, not in columns.
+    Files may differ in preamble and delimiter, not in columns. The head of one file gives
+    the columns; the others are checked while they are read. The header has to lie in the
+    first split of its file (``spark.sql.files.maxPartitionBytes``). Blank lines are no rows.
     """
-    heads = _heads(spark, path, skip_rows)
-    dropped = _dropped_lines(heads)
-    if len({tuple(n.lower() for n in h.names) for h in heads}) > 1:
-        raise ValueError(f"files under {path} have different columns")
-    by_delimiter: dict[str, list[FileHead]] = {}
-    for head in heads:
-        by_delimiter.setdefault(head.delimiter, []).append(head)
-    frames = []
-    for same in by_delimiter.values():
-        source = path if len(by_delimiter) == 1 else [h.path for h in same]
-        lines = spark.read.text(source)
-        # Preambles sit in the first split of a file; later splits skip the comparison.
-        leading = F.col("_metadata.file_block_start") == 0
-        keep = ~(leading & F.col("value").isin(dropped)) & (F.trim("value") != "")
-        frames.append(_parse(lines.filter(keep).select("value"), same[0]))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return trim_column_names(out)
+    files = list_files(spark, path)
+    if not files:
+        raise ValueError(f"no data files in {path}")
+    head = find_header(spark, files[0], skip_rows)
+    lines = _data_lines(spark.read.text(path), head.names, skip_rows).where(F.trim("value") != "")
+    names = [f"c{i}" for i in range(len(head.names))]
+    value = F.col("value")
+    others = [d for d in _DELIMITERS if d != head.delimiter]
+    # A later split does not know its file's delimiter. It takes that of the first file, and
+    # a line with more cells under another one is an error: no such line is guessed at.
+    foreign = F.col("delimiter").isNull() & (
+        F.greatest(*(_width(value, d) for d in others)) > _width(value, head.delimiter))
+    wrong = F.raise_error(F.concat(F.lit("a large file has another delimiter than the first one: "), F.substring(value, 1, 80)))
+    cells = F.when(foreign, wrong.cast(_struct(names))).otherwise(_cells(value, names, head.delimiter))
+    for delimiter in others:
+        cells = F.when(F.col("delimiter") == delimiter, _cells(value, names, delimiter)).otherwise(cells)
+    rows = lines.select(cells.alias("r")).select(*(F.col(f"r.{n}") for n in names))
+    return trim_column_names(rows.toDF(*head.names))
 
 
 def read_sensor_file(
@@ -156,7 +203,7 @@ def read_skip_rows(
     spark: SparkSession, path: str, skip_rows: int = S.PREAMBLE_LINES,
     na_tokens: Sequence[str] = S.STRICT_NA_TOKENS + S.COMMON_NA_TOKENS,
 ) -> DataFrame:
-    """The same for files with a fixed number of lines before the header."""
+    """The same for files with a fixed number of lines before the header, whatever they hold."""
     return to_numeric(nullify_tokens(read_preamble_text(spark, path, skip_rows), na_tokens))
 
 

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline import schema as S
+from faultline.operators import monitor
 from faultline.session import scratch_path
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
-    """A parquet path (it holds a slash) or a catalog table, whole."""
+    """A parquet path (it holds a slash), or a catalog table or view, whole."""
     return spark.read.parquet(name) if "/" in name else spark.table(name)
 
 
@@ -26,15 +27,6 @@ def read_column(df: DataFrame, column: str = S.CLASS) -> DataFrame:
     return df.select(column)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan with fewer splits than cores, ahead of costly row work.
-
-    A large table has more splits than that and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_stage(df: DataFrame, path: str) -> DataFrame:
     """Write a stage and continue from what was written: lineage is cut, types are kept."""
     df.write.mode("overwrite").parquet(path)
@@ -60,7 +52,7 @@ def write_small(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def append_metrics(
     metrics: DataFrame, path: str, *, run_id: str, model: str, dataset: str, train_rows: int, features: int,
 ) -> None:
-    """One run's scores, a row per metric, appended to the run history.
+    """One run's scores, a row per metric, in the run history; writing a run again replaces it.
 
     ``metrics`` is the one-row frame of the evaluation; its ``test_rows`` is kept.
     """
@@ -72,8 +64,23 @@ def append_metrics(
         F.inline(F.array(*(
             F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in measures))),
     )
-    rows.write.mode("append").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.METRICS).parquet(path)
+    return spark.read.schema(S.METRICS).parquet(path).select(*S.METRICS.names)
+
+
+def register_views(predictions: DataFrame) -> tuple[str, ...]:
+    """The monitoring views over the stored predictions, for SQL: summary, risks, priorities, actions, dashboard.
+
+    They live as long as the session and read the table whenever they are queried.
+    """
+    views = {
+        "APS_FAILURE_MONITORING_SUMMARY": monitor.monitoring_summary, "APS_FAILURE_RISK_DISTRIBUTION": monitor.risk_distribution,
+        "APS_FAILURE_HIGH_RISK": monitor.high_risk, "APS_FAILURE_MAINTENANCE_PRIORITY": monitor.maintenance_priority,
+        "APS_FAILURE_MAINTENANCE_ACTIONS": monitor.maintenance_actions, "APS_FAILURE_DASHBOARD": monitor.dashboard_summary,
+    }
+    for name, frame in views.items():
+        frame(predictions).createOrReplaceTempView(name)
+    return tuple(views)

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators import monitor
 from faultline.plans.models import batch_score
+from faultline.sources.models import load_model
 
 
 def score_stream(
@@ -15,10 +16,13 @@ def score_stream(
     """Run the batch job on every micro-batch.
 
     The micro-batch number is the batch id, and storing a batch id again replaces that
-    batch: a micro-batch repeated after a failure leaves no duplicates.
+    batch: a micro-batch repeated after a failure leaves no duplicates. The model is loaded
+    once, when the stream starts.
     """
+    model = load_model(model_path)
+
     def store(rows: DataFrame, epoch: int) -> None:
-        batch_score(rows, model_path, table_path, f"{name}-{epoch:012d}")
+        batch_score(rows, model, table_path, f"{name}-{epoch:012d}")
 
     writer = source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

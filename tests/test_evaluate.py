@@ -38,11 +38,16 @@ def _scored(spark, n=700, hot=0.33):
     return p, y, spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, label int")
 
 
-@pytest.mark.parametrize("bucket_rows", [1_000_000, 40])
-def test_areas(spark, bucket_rows):
+@pytest.mark.parametrize("ranges", ["1", "8", "30"])
+def test_areas(spark, ranges):
     p, y, df = _scored(spark)
     auc, ap = _brute(p, y)
-    row = evaluate.model_metrics(df, "p", bucket_rows=bucket_rows).collect()[0]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        row = evaluate.model_metrics(df, "p").collect()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert row["roc_auc"] == pytest.approx(auc, abs=1e-12) and row["average_precision"] == pytest.approx(ap, abs=1e-12)
     assert row["true_positives"] == np.sum((p >= 0.5) & (y == 1))
 

@@ -22,9 +22,7 @@ def _columns(n=4001):
             "none": np.full(n, np.nan), "even": np.concatenate([rng.normal(size=n - 1), [np.nan]])}
 
 
-@pytest.mark.parametrize("options", [
-    {}, {"median_cells": 0}, {"median_cells": 0, "ranked_values": 20, "accuracy": 50},
-    {"median_cells": 0, "ranked_values": 1, "accuracy": 10}])
+@pytest.mark.parametrize("options", [{}, {"accuracy": 50}, {"accuracy": 10}, {"accuracy": 2}])
 def test_median_is_exact(spark, options):
     columns = _columns()
     have = impute.fit_medians(_frame(spark, columns), list(columns), **options).medians
@@ -33,6 +31,13 @@ def test_median_is_exact(spark, options):
         assert have[c] == (float(np.median(known)) if len(known) else None), c
 
 
+def test_values_a_sketch_cannot_narrow(spark):
+    columns = _columns()
+    brackets = {c: impute._Bracket(((n + 1) // 2, n // 2 + 1), inside=n) for c in columns if (n := int((~np.isnan(columns[c])).sum()))}
+    have = impute._medians_by_bisection(_frame(spark, columns), brackets)
+    assert have == {c: float(np.nanmedian(columns[c])) for c in brackets}
+
+
 def test_even_and_odd(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (4.0, 10.0), (None, 20.0)], "odd double, even double")
     assert dict(impute.fit_medians(df, ["odd", "even"]).medians) == {"odd": 2.0, "even": 6.0}

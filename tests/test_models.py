@@ -110,6 +110,29 @@ def test_contributions_add_up_to_the_log_odds(frame, boosted):
         assert r["base_value"] + sum(r[explain.PHI]) == pytest.approx(math.log(p / (1 - p)), abs=1e-9)
 
 
+def test_contributions_follow_infinite_cells_and_refuse_missing_ones(spark, frame, boosted):
+    rows = spark.createDataFrame(
+        [("low", float("-inf"), 1.0, 2.0), ("high", float("inf"), float("inf"), 0.0), ("both", float("-inf"), float("inf"), 1.0)],
+        "row_key string, a double, b double, c double")
+    scored = scoring.score(boosted, rows)
+    for r in explain.tree_shap(boosted, scored, ["failure_probability"]).collect():
+        p = r["failure_probability"]
+        assert r["base_value"] + sum(r[explain.PHI]) == pytest.approx(math.log(p / (1 - p)), abs=1e-9)
+    with pytest.raises(Exception, match="a feature is missing"):
+        explain.tree_shap(boosted, rows.withColumn("b", F.lit(None).cast("double"))).collect()
+
+
+def test_the_tree_table_of_a_large_model_is_quick(frame):
+    import time
+
+    model = scoring.train_boosted(frame, FEATURES, params=scoring.BoostParams(rounds=3, depth=5, bins=16))
+    table = explain.tree_table(model)
+    large = explain.TreeTable(table.trees * 100, table.base, table.features)
+    start = time.perf_counter()
+    explain._contributions(large, np.random.default_rng(1).normal(size=(1000, 3)))
+    assert time.perf_counter() - start < 20 and sum(map(len, large.trees)) > 1000
+
+
 def test_explanation_tables(frame, boosted):
     result = plans.explain_model(boosted, frame, n=200)
     ranks = [r["rank"] for r in result.importance.collect()]
@@ -145,7 +168,9 @@ def test_batches_and_reruns(spark, frame, boosted):
     store.save_model(boosted, root + "/model")
     source = frame.drop("label").selectExpr("row_key", "cast(a as string) as A", "if(b > 2, 'na', cast(b as string)) as B", "c as C")
     for batch in ("one", "two", "two"):
-        stored = plans.batch_score(source, root + "/model", root + "/table", batch)
+        done = plans.batch_score(source, root + "/model", root + "/table", batch)
+    stored = done.stored
+    assert done.rows == frame.count() and done.filled_cells == frame.filter("b > 2").count()
     everything = predictions_store.read_predictions(spark, root + "/table")
     assert [f.name for f in everything.schema] == [f.name for f in S.PREDICTIONS]
     n = frame.count()
@@ -158,7 +183,7 @@ def test_batches_and_reruns(spark, frame, boosted):
 def test_metrics_history(spark):
     path = tempfile.mkdtemp(prefix="run-") + "/metrics"
     one = spark.createDataFrame([(10, 0.5, 0.25)], "test_rows long, precision double, recall double")
-    for run in ("a", "b"):
+    for run in ("a", "b", "a"):
         tables.append_metrics(one, path, run_id=run, model="m", dataset="d", train_rows=40, features=3)
     rows = {(r["run_id"], r["metric"]): r["value"] for r in tables.read_metrics(spark, path).collect()}
     assert rows == {("a", "precision"): 0.5, ("a", "recall"): 0.25, ("b", "precision"): 0.5, ("b", "recall"): 0.25}

@@ -52,12 +52,16 @@ def test_far_header(spark):
 def test_errors(spark):
     with pytest.raises(ValueError, match="no header"):
         preamble.read_sensor_file(spark, _write(["nothing", "here"]))
+    folder = _write(["class,aa_000", "pos,1"])
+    with pytest.raises(Exception, match="no header line found in the first split of .*b.csv"):
+        preamble.read_sensor_file(spark, _write(["nothing", "here"], "b.csv", folder)).collect()
+    folder = _write(["class,aa_000", "pos,1"])
+    with pytest.raises(Exception, match="different columns"):
+        preamble.read_sensor_file(spark, _write(["class,ab_000", "pos,1"], "b.csv", folder)).collect()
     with pytest.raises(ValueError, match="no rows"):
         preamble.read_sensor_file(spark, _write(["class,aa_000"]))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         preamble.read_sensor_file(spark, "/tmp/run-no-such-folder/x")
-    with pytest.raises(ValueError, match="looks like a data row"):
-        preamble.read_sensor_file(spark, _write(["pos,1", "class,aa_000", "pos,1"]))
     with pytest.raises(Exception, match="too many fields"):
         preamble.read_sensor_file(spark, _write(["class,aa_000", "pos,1,2"])).collect()
 
@@ -74,3 +78,33 @@ def test_written_files_read_back(spark):
     assert len([f for f in os.listdir(path) if f.startswith("part-")]) == 3
     back = preamble.read_sensor_file(spark, path)
     assert back.count() == 500 and back.agg({"aa_000": "sum"}).collect()[0][0] == sum(range(500))
+
+
+def test_rows_equal_to_preamble_lines_are_kept(spark):
+    """The header is passed by position: no row is dropped for what it holds."""
+    folder = _write(["neg,bad,2", "pos,1,1", "class,aa_000,ab_000", "neg,bad,2", "pos,3,4", "pos,1,1", "neg,bad"])
+    rows = sorted((tuple(r) for r in preamble.read_sensor_file(spark, folder).collect()), key=str)
+    assert rows == sorted([("neg", None, 2.0), ("pos", 3.0, 4.0), ("pos", 1.0, 1.0), ("neg", None, None)], key=str)
+    fixed = _write(["1,2", "class,x_000", "class,aa_000", "pos,5", "class,aa_000", "1,2"])
+    rows = [tuple(r) for r in preamble.read_skip_rows(spark, fixed, 2).collect()]
+    assert rows == [("pos", 5.0), ("class", None), ("1", 2.0)]
+
+
+def test_large_files_are_read_by_several_tasks(spark):
+    lines = [f"neg,{i}" for i in range(30_000)]
+    folder = _write(DOC + ["class,aa_000"] + lines)
+    _write(["class,aa_000"] + lines, "b.csv", folder)
+    _write(["class;aa_000", "neg;-1"], "c.csv", folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = preamble.read_sensor_file(spark, folder)
+        assert df.rdd.getNumPartitions() > 20
+        total = df.agg({"aa_000": "sum", "class": "count"}).collect()[0]
+        assert sorted(total) == [60_001, 2 * sum(range(30_000)) - 1]
+        _write(["class;aa_000"] + [line.replace(",", ";") for line in lines], "d.csv", folder)
+        with pytest.raises(Exception, match="another delimiter"):
+            preamble.read_sensor_file(spark, folder).count()
+            preamble.read_sensor_file(spark, folder).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -22,7 +22,8 @@ def _rank(rows, c, seed=42):
 def levels(request, monkeypatch):
     if request.param == "deep":
         monkeypatch.setattr(sample, "_DIGITS", 1)
-        monkeypatch.setattr(sample, "_BUCKET_ROWS", 3)
+        monkeypatch.setattr(sample, "_RANK_ROWS", 3)
+        monkeypatch.setattr(sample, "_CHUNK", 7)
 
 
 def test_first_rows_follow_the_hash(spark, levels):
@@ -67,10 +68,14 @@ def test_one_key_with_different_rows(spark, levels):
     assert both == {i: 40 for i in range(50)}
 
 
-def test_shares_of_the_published_split():
-    assert sample.stratified_quota({"neg": 59000, "pos": 1000}) == {"neg": 47200, "pos": 800}
-    odd = sample.stratified_quota({"a": 5, "b": 5, "c": 1})
-    assert sum(odd.values()) == 8
+def _quota(spark, counts):
+    frame = spark.createDataFrame([(c, n) for c, n in counts.items()], "by string, n bigint")
+    return {r["by"]: r["wanted"] for r in sample.stratified()(frame).collect()}
+
+
+def test_shares_of_the_published_split(spark):
+    assert _quota(spark, {"neg": 59000, "pos": 1000}) == {"neg": 47200, "pos": 800}
+    assert sum(_quota(spark, {"a": 5, "b": 5, "c": 1}).values()) == 8
 
 
 def test_balance_keeps_all_when_few(spark):
@@ -80,15 +85,37 @@ def test_balance_keeps_all_when_few(spark):
     assert {r[0]: r[1] for r in few.groupBy("class").count().collect()} == {"pos": 30, "neg": 5}
 
 
-def test_small_and_large_samples_agree(spark, monkeypatch):
-    df = _frame(spark, _rows(2000))
-    small = {tuple(r) for r in sample.sample_n(df, 150).collect()}
-    monkeypatch.setattr(sample, "_TOP_K", 10)
-    assert {tuple(r) for r in sample.sample_n(df, 150).collect()} == small
-    assert sample.sample_n(df, 99999).count() == 2000
+def test_samples_of_any_size(spark):
+    rows = _rows(2000)
+    df = _frame(spark, rows)
+    order = sorted(rows, key=lambda r: hashlib.md5(f"42{r[0]}".encode()).hexdigest())
+    for n in (1, 150, 1999, 99999):
+        assert {tuple(r) for r in sample.sample_n(df, n).collect()} == set(order[:n])
+
+
+def test_a_shared_key_gives_one_sample_under_any_partitioning(spark):
+    rows = [("same", "neg", i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_key string, class string, v int")
+    picks = [sorted(r["v"] for r in sample.sample_n(d, 5).collect()) for d in (
+        df.repartition(1), df.repartition(7), df.orderBy(F.rand(3)))]
+    assert len(picks[0]) == 5 and picks[0] == picks[1] == picks[2]
+
+
+def test_many_classes(spark):
+    df = spark.range(3000).selectExpr("cast(id as string) as row_key", "cast(id % 500 as string) as class", "1 as v")
+    assert sample.first_per_class(df, 2).groupBy("class").count().where("count = 2").count() == 500
+
+
+def test_ranks(spark, levels):
+    rows = _rows(900) + [("same", "neg", 5)] * 40
+    ranked = sample.row_number_per_class(_frame(spark, rows), 120).collect()
+    for c in ("pos", "neg", None):
+        part = sorted((r["row_number"], r["row_key"], r["v"]) for r in ranked if r["class"] == c)
+        want = _rank(rows, c)[:120]
+        assert part == [(i + 1, r[0], r[2]) for i, r in enumerate(want)]
 
 
-def test_too_many_classes(spark):
-    df = spark.range(200).selectExpr("cast(id as string) as row_key", "cast(id as string) as class", "1 as v")
-    with pytest.raises(ValueError, match="classes"):
-        sample.first_per_class(df, 1)
+def test_empty(spark):
+    none = _frame(spark, _rows(5)).where("false")
+    assert sample.sample_n(none, 3).count() == 0 and sample.exact_stratified_split(none).count() == 0
+    assert sample.row_number_per_class(none, 3).count() == 0

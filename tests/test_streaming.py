@@ -3,7 +3,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from faultline import fixtures
-from faultline.operators import monitor
+from faultline.operators import monitor, scoring
+from faultline.sources import models as store_model
 from faultline.streaming import scoring as streaming
 
 
@@ -26,7 +27,11 @@ def test_two_arrivals_are_two_batches(spark, sf):
 
     root = tempfile.mkdtemp(prefix="run-")
     rows = fixtures.sensor_raw(spark, sf, key=True, wide=True).withColumn("n", F.crc32("row_key") % 2)
-    model = queries._saved(spark, sf, "boosted")
+    path = root + "/model"
+    features = list(queries.MODEL_FEATURES)
+    store_model.save_model(scoring.train_boosted(
+        queries._complete(spark, sf), features, params=scoring.BoostParams(rounds=2, depth=3)), path)
+    model = path
     for part in (0, 1):
         rows.filter(F.col("n") == part).drop("n").coalesce(1).write.mode("append").parquet(root + "/in")
         stream = spark.readStream.schema(rows.drop("n").schema).parquet(root + "/in")

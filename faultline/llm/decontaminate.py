@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WINDOW = 10
 INDEX_CHARS = 32_000_000
@@ -28,7 +28,11 @@ INDEX_CHARS = 32_000_000
 #: which ``lower`` changes A-Z only, it finds the same words as on characters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-SCAN_SCHEMA = "n_words bigint, hits array<struct<first:int,last:int>>, items array<string>"
+SCAN_SCHEMA = T.StructType([
+    T.StructField("n_words", T.LongType()),
+    T.StructField("hits", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))),
+    T.StructField("items", T.ArrayType(T.StringType())),
+])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -187,7 +191,7 @@ def without_runs(text: str | None, runs: list[tuple[int, int]]) -> str | None:
     if not text or not runs:
         return text
     raw = text.encode()
-    spans = [m.span() for m in WORD.finditer(raw)]
+    spans = [m.span() for m in WORD.finditer(raw.lower())]
     out, at = [], 0
     for first, last in runs:
         out.append(raw[at:spans[first][0]])

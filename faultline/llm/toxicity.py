@@ -167,7 +167,8 @@ def _term_counts(rows: DataFrame) -> DataFrame:
             if len(toxic) + len(clean) > 500_000:
                 yield frame(toxic, clean)
                 toxic, clean = Counter(), Counter()
-        yield frame(toxic, clean)
+        if toxic or clean:
+            yield frame(toxic, clean)
 
     def frame(toxic: Counter, clean: Counter) -> pd.DataFrame:
         names = list(toxic.keys() | clean.keys())
@@ -200,7 +201,7 @@ def _chosen(rows: DataFrame, weight: dict[int, float]) -> Terms:
     @F.pandas_udf("array<int>")
     def present(texts: pd.Series) -> pd.Series:
         lexicon = Lexicon(names)
-        return pd.Series([sorted(lexicon.found(t)) for t in texts.fillna("")])
+        return pd.Series([sorted(lexicon.found(t)) for t in texts.fillna("")], dtype="object")
 
     toxic = [r["f"] for r in rows.where(F.col("toxic") == 1).select(present("text").alias("f")).collect()]
     holds = np.zeros((len(toxic), len(names)), np.float32)
@@ -256,8 +257,9 @@ def label_model(counts: dict[int, int], prior: float, seen: dict[tuple[int, int]
     rates = np.clip(rates, 1e-4, 1 - 1e-4)
     d = rates[:, 0] - rates[:, 1]
     within = cov - spread * np.outer(d, d)
-    scale = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-    shared = np.clip(within / np.outer(scale, scale), 0, 1)
+    speaks = mean * (1 - mean) > 1e-9
+    scale = np.sqrt(np.where(speaks, mean * (1 - mean), 1.0))
+    shared = np.clip(within / np.outer(scale, scale), 0, 1) * np.outer(speaks, speaks)
     np.fill_diagonal(shared, 0)
     return rates, 1 / (1 + shared.sum(axis=1))
 
@@ -305,11 +307,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         rows.join(F.broadcast(sample), "_key").select("text", F.col("_toxic").alias("toxic")), path)
     terms = _chosen(rows, weight)
 
-    @F.pandas_udf("struct<found:array<int>,votes:int>")
-    def seen(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<int>")
+    def seen(texts: pd.Series) -> pd.Series:
         features = Features(terms)
-        found = [features.of(t) for t in texts.fillna("")]
-        return pd.DataFrame({"found": found, "votes": [features.votes(f) for f in found]})
+        return pd.Series([features.of(t) for t in texts.fillna("")], dtype="object")
 
     @F.pandas_udf("int")
     def votes(texts: pd.Series) -> pd.Series:
@@ -318,7 +319,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     counted = docs.where(~held_out(F.col(key))).select(votes(F.col(text)).alias("votes")).groupBy("votes").count()
     counts = {r["votes"]: r["count"] for r in counted.collect()}
-    sampled = [(r["s"]["found"], r["s"]["votes"], r["toxic"]) for r in rows.select(seen("text").alias("s"), "toxic").collect()]
+    features = Features(terms)
+    sampled = [(r["f"], features.votes(r["f"]), r["toxic"]) for r in rows.select(seen("text").alias("f"), "toxic").collect()]
     remove_path(spark, path)
     by_label: Counter = Counter()
     for _, pattern, y in sampled:

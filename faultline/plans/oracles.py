@@ -281,7 +281,7 @@ ORACLES: dict[str, str] = {
     "verify_predictions": f"""WITH p AS ({PREDICTIONS})
         SELECT 'total_rows' AS part, 'all' AS key, count(*) AS value FROM p UNION ALL
         SELECT 'risk_counts', risk_level, count(*) FROM p GROUP BY risk_level UNION ALL
-        SELECT 'latest', CAST(count(*) OVER () - i AS VARCHAR), 1 FROM p, range(0, 10) t(i) QUALIFY row_number() OVER (PARTITION BY i) = 1""",
+        SELECT 'latest', CAST((SELECT count(*) FROM p) - i AS VARCHAR), 1 FROM range(0, 10) t(i)""",
     # Projections, filters and cleaning
     "trim_column_names": RAW_KEYED,
     "upper_column_names": "SELECT " + ", ".join(f'{c} AS "{c.upper()}"' for c in ["row_key", "class", *SENSORS]) + f" FROM ({RAW_KEYED}) r",

@@ -12,8 +12,8 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         usable AS (
             SELECT vec_id, e FROM v
-            WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(e, x -> x <> 0)) > 0),
+            WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(e, lambda x: x <> 0)) > 0),
         links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM usable a, usable b
             WHERE a.vec_id <> b.vec_id

@@ -76,6 +76,7 @@ def register_views(predictions: DataFrame) -> tuple[str, ...]:
 
     They live as long as the session and read the table whenever they are queried.
     """
+    # The names that existing SQL reads.
     views = {
         "APS_FAILURE_MONITORING_SUMMARY": monitor.monitoring_summary, "APS_FAILURE_RISK_DISTRIBUTION": monitor.risk_distribution,
         "APS_FAILURE_HIGH_RISK": monitor.high_risk, "APS_FAILURE_MAINTENANCE_PRIORITY": monitor.maintenance_priority,

@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.llm import decontaminate, ngram_join, pieces, toxicity
-from faultline.sources.tables import stage
+from faultline.session import remove_path, scratch_path, scratch_scope
+from faultline.sources.tables import write_stage
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -54,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """All stages in order. What a stage leaves in the scratch folder goes when its result is written."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope(spark):
+            docs = write_stage(apply(spark, docs, sf_dir), path)
+        if before is not None:
+            remove_path(spark, before)
+        before = path
     return docs

@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.llm.blocks import Method, Pairs, linked_classes, with_links
-from faultline.sources.tables import stage
+from faultline.session import scratch_path, scratch_scope
+from faultline.sources.tables import stage, write_stage
 
 WORDS, THRESHOLD = 5, (4, 5)
 BANDS, BAND_VALUES, STEP = 16, 4, 16
@@ -31,7 +32,7 @@ TOLERANCE = 1e-7
 
 _WORD = re.compile(r"\w+")
 _KNOWN: dict[str, int] = {}
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 200_000
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -189,6 +190,12 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows are rows of their own. A row with a null id takes part; it is nobody's ``rep`` unless
     all ids of its class are null.
     """
+    path = scratch_path(docs.sparkSession, "ngram-joined")
+    with scratch_scope(docs.sparkSession):
+        return write_stage(_joined(docs, key, text), path)
+
+
+def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = sketched(docs, key, text)
     classes = rows.where(F.col("content").isNotNull()).groupBy("content").agg(
         _first("mark").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
@@ -215,7 +222,7 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     Rows that repeat the kept one leave one. Columns and their values are kept.
     """
-    found = stage(joined(docs, key, text), "ngram-joined")
+    found = joined(docs, key, text)
     worded = found.where(F.col("content").isNotNull())
     first = worded.groupBy("component").agg(_first("mark").alias("row")).select("component", "row.id", "row.mark")
     same = worded.join(

@@ -20,10 +20,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MARK = "▁"
-TABLE_CHARS = 2_000_000
+TABLE_CHARS = 1_500_000
+ROWS_OUT = 256
 
 _CHUNKS = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 _FINE_CHUNKS = re.compile(rf"{MARK}*(?:\w+|[^\w{MARK}\n]+)|\n|{MARK}+")
@@ -281,15 +283,28 @@ def _framed(vocab: Vocabulary, texts: Iterable[str]) -> Iterator[bytes]:
 def with_ids(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """Add input_ids (with begin and end) and n_tokens; exactly the library's ids.
 
-    Null and empty texts are a begin and an end. Columns of these names are replaced.
+    Null and empty texts are a begin and an end. Columns of these names are replaced. Ids
+    leave a task in parts of ``ROWS_OUT`` rows, so a batch of texts never has all its ids in
+    memory.
     """
-    @F.pandas_udf("input_ids array<int>, n_tokens bigint")
-    def coded(texts: pd.Series) -> pd.DataFrame:
-        codes = list(_framed(vocabulary(model), texts.fillna("")))
-        return pd.DataFrame({
-            "input_ids": [np.frombuffer(c, "<i4") for c in codes], "n_tokens": [len(c) // 4 for c in codes]})
+    kept = [c for c in docs.columns if c not in ("input_ids", "n_tokens")]
+    rows = docs.select(*kept, F.col(text).alias("_text"))
 
-    return _unpacked(docs, coded(F.col(text)), ("input_ids", "n_tokens"))
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(start, ROWS_OUT)
+                texts = (t or "" for t in part.column(part.num_columns - 1).to_pylist())
+                codes = list(_framed(vocab, texts))
+                sizes = np.array([len(c) // 4 for c in codes], np.int64)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(codes), "<i4"), pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], ids, pa.array(sizes)], names=[*kept, "input_ids", "n_tokens"])
+
+    schema = T.StructType([*rows.drop("_text").schema.fields, T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    return rows.mapInArrow(coded, schema)
 
 
 def with_round_trip(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:

@@ -6,8 +6,9 @@
 2. A code is cut into ``TABLES`` substrings, one per table. Codes that differ in fewer bits
    than there are tables agree on a substring at least. Substrings are as long as buckets of
    about ``BUCKET`` random vectors want, so buckets stay small however many vectors there are.
-3. Pairs that share a bucket pass if their codes are within ``RADIUS`` of the bits, and are
-   then compared by the cosine of the original vectors in double precision.
+3. Pairs that share a bucket pass if their codes are within a Hamming radius, and are then
+   compared by the cosine of the original vectors in double precision. The radius is the
+   share of bits that a pair at the threshold differs in, plus five standard deviations.
 
 Equal vectors are one class. What moves per table is a code; vectors move only for rows that
 passed, in the groups where they passed (``blocks``).
@@ -25,10 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.llm.blocks import Method, Pairs, linked_classes, with_links
-from faultline.sources.tables import stage
+from faultline.session import scratch_path, scratch_scope
+from faultline.sources.tables import stage, write_stage
 
 THRESHOLD = 0.9
-TABLES, BUCKET, RADIUS = 24, 16, 0.27
+TABLES, BUCKET, DEVIATIONS = 24, 16, 5
 #: Vectors per dimension that the rotations are learnt on.
 SAMPLE = 20_000
 ROUNDS = 30
@@ -47,7 +49,7 @@ def rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray
     if not axes.shape[1]:
         axes = np.eye(sample.shape[1])
     spread = centred @ axes
-    found = []
+    found = [np.zeros((sample.shape[1], 0))]
     while sum(f.shape[1] for f in found) < bits:
         size = axes.shape[1]
         rotation = np.linalg.qr(draw.normal(size=(size, size)))[0]
@@ -71,9 +73,15 @@ class Codes:
 
     def of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Packed codes, a byte run per table, and the substrings as numbers."""
-        signs = (unit @ self.directions > self.medians).reshape(len(unit), -1, self.bits)
+        signs = (unit @ self.directions > self.medians).reshape(len(unit), TABLES, self.bits)
         numbers = signs @ (1 << np.arange(self.bits, dtype=np.int64))
-        return np.packbits(signs, axis=2).reshape(len(unit), -1), numbers
+        return np.packbits(signs, axis=2).reshape(len(unit), TABLES * ((self.bits + 7) // 8)), numbers
+
+
+def radius(bits: int) -> float:
+    """Differing bits, of so many, up to which a pair passes."""
+    share = math.acos(THRESHOLD) / math.pi
+    return share * bits + DEVIATIONS * math.sqrt(share * (1 - share) * bits)
 
 
 def usable(vector) -> bool:
@@ -91,12 +99,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _screen(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> Pairs:
-    """Pairs within the Hamming radius that share no earlier table; sketches end in two bytes: bits of a table."""
+    """Pairs within the Hamming radius that share no earlier table; the last byte of a sketch is the bits of a table."""
     bits = int(left[0, -1])
     width = (bits + 7) // 8
     a, b = left[i, :-1], right[j, :-1]
     differ = a ^ b
-    stay = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= RADIUS * TABLES * bits
+    stay = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= radius(TABLES * bits)
     if table:
         earlier = differ[:, :table * width].reshape(len(i), table, width).any(axis=2)
         stay &= earlier.all(axis=1)
@@ -142,7 +150,7 @@ def learnt(classes: DataFrame) -> dict[int, Codes]:
         rows = classes.where((F.col("size") == size) & (
             F.pmod(F.xxhash64("content"), F.lit(1_000_000)) < math.ceil(share * 1e6))).select("payload").collect()
         sample = unit(np.array([np.frombuffer(r["payload"], "<f8") for r in rows]))
-        bits = max(4, min(56, round(math.log2(max(2, count / BUCKET)))))
+        bits = max(0, min(56, round(math.log2(count / BUCKET))))
         directions, medians = rotations(sample, TABLES * bits)
         out[size] = Codes(directions, medians, bits)
     return out
@@ -156,6 +164,12 @@ def joined(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     ``n_links`` counts the other rows linked directly, ``component_rep`` is the smallest id
     that links reach. Repeated rows are rows of their own and link with each other.
     """
+    path = scratch_path(vectors.sparkSession, "vectors-joined")
+    with scratch_scope(vectors.sparkSession):
+        return write_stage(_joined(vectors, key, vector), path)
+
+
+def _joined(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     rows = _contents(vectors, key, vector)
     classes = rows.where(F.col("content").isNotNull()).groupBy("content").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("payload").alias("payload"),

@@ -50,14 +50,19 @@ LEXICON = (
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"\b[^\W\d_]\*{2,}[^\W\d_]*")
-_ADDRESS = re.compile(r"\b(?:you|you're|du|ihr|tu|vous|tú)\b[^.!?\n]{0,40}!{2,}")
+_ADDRESSED = frozenset(("you", "du", "ihr", "tu", "vous", "tú"))
+_ADDRESS = re.compile(rf"\b(?:{'|'.join(sorted(_ADDRESSED))})\b[^.!?\n]{{0,40}}!{{2,}}")
 
 Terms = tuple[str, ...]
 
 
+def words_of(text: str | None) -> set[str]:
+    return set(_WORD.findall(text.lower())) if text else set()
+
+
 def terms_of(text: str | None) -> set[str]:
     """Distinct words of a text and their beginnings, as ``begi*``."""
-    words = set(_WORD.findall(text.lower())) if text else set()
+    words = words_of(text)
     return words.union(*({f"{w[:n]}*" for w in words if len(w) >= n} for n in PREFIXES))
 
 
@@ -73,16 +78,19 @@ class Lexicon:
                 self.starts.setdefault(len(t) - 1, {})[t[:-1]] = i
 
     def found(self, text: str) -> set[int]:
-        words = set(_WORD.findall(text.lower()))
+        return self.among(words_of(text))
+
+    def among(self, words: set[str]) -> set[int]:
         hits = {self.words[w] for w in words & self.words.keys()}
         for n, table in self.starts.items():
             hits.update(table[s] for s in {w[:n] for w in words} & table.keys())
         return hits
 
 
-def patterns(text: str) -> tuple[bool, bool]:
-    """Masked words, and an address that ends in a shout."""
-    return bool(_MASKED.search(text)), bool(_ADDRESS.search(text.lower()))
+def patterns(text: str, words: set[str]) -> tuple[bool, bool]:
+    """Masked words, and an address that ends in a shout; sought only where their signs occur."""
+    masked = "**" in text and _MASKED.search(text) is not None
+    return masked, "!!" in text and not words.isdisjoint(_ADDRESSED) and _ADDRESS.search(text.lower()) is not None
 
 
 @dataclass(frozen=True)
@@ -120,13 +128,14 @@ class Features:
     """The positions of a text's features among terms, general lexicon and patterns."""
 
     def __init__(self, terms: Terms):
-        self.lexicon, self.general, self.size = Lexicon(terms), Lexicon(LEXICON), len(terms) + 3
+        self.lexicon, self.general, self.size = Lexicon(terms), frozenset(LEXICON), len(terms) + 3
 
     def of(self, text: str) -> list[int]:
         base = self.lexicon.size
-        masked, address = patterns(text)
-        out = sorted(self.lexicon.found(text))
-        out += [base] * bool(self.general.found(text)) + [base + 1] * masked + [base + 2] * address
+        words = words_of(text)
+        masked, address = patterns(text, words)
+        out = sorted(self.lexicon.among(words))
+        out += [base] * (not words.isdisjoint(self.general)) + [base + 1] * masked + [base + 2] * address
         return out
 
     def votes(self, found: list[int]) -> int:

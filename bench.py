@@ -23,9 +23,9 @@ HEADLINE = (
     "dashboard_summary", "monitoring_summary", "risk_distribution", "top_actions",
     "to_numeric", "missing_profile", "duplicate_rows", "median_impute",
     "preprocess_dataset", "warehouse_features",
-    "balance_classes", "exact_stratified_split", "standardize",
+    "balance_classes", "exact_stratified_split", "model_tables", "standardize",
     "roc_auc", "model_metrics", "threshold_sweep",
-    "model_tables", "train_logreg_balanced", "tree_shap", "shap_importance_ranked",
+    "train_logreg_balanced", "tree_shap", "shap_importance_ranked",
     "src_preamble_csv",
 )
 #: Boosted training is 300 rounds of Spark jobs; named here it is timed as any other query.

@@ -12,6 +12,7 @@ from faultline import schema as S
 # also take "NaN", "1d" and "1.5f". Text that passes and still is no number ("--")
 # fails the cast; testing first is also faster, a failing cast raises inside the JVM.
 NUMBER = r"^([-+0-9.eE]+|[-+]?[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+_PADDED_NUMBER = rf"^\s*{NUMBER[1:-1]}\s*$"
 #: What is trimmed: blank, tab, line feed, vertical tab, form feed, carriage return.
 _EDGE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -32,9 +33,13 @@ def na_to_null(c: Column | str, tokens: Iterable[str] = S.INGEST_NA_TOKENS) -> C
 
 
 def to_double(c: Column | str) -> Column:
-    """Text to double; whatever is not a plain number becomes null, never NaN."""
-    text = strip(c)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    """Text to double; whatever is not a plain number becomes null, never NaN.
+
+    White space around a number is let through by the pattern and skipped by the cast, which
+    costs less than trimming every cell.
+    """
+    text = _col(c)
+    return F.when(text.rlike(_PADDED_NUMBER), text.try_cast("double"))
 
 
 def to_number(c: Column | str, scale: int | None = 0, tokens: Sequence[str] = S.STRICT_NA_TOKENS) -> Column:

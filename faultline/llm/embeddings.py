@@ -1,11 +1,13 @@
-"""Near copies among embeddings: iterative quantisation, multi-index Hamming tables, exact rerank.
-
-1. On a bounded sample a rotation of the principal axes is learnt that brings vectors close
-   to the corners of a cube (iterative quantisation); each axis is cut at its median, so the
-   bits are balanced. Several rotations give codes as long as the tables need.
-2. A code is cut into ``TABLES`` substrings, one per table. Codes that differ in fewer bits
-   than there are tables agree on a substring at least. Substrings are as long as buckets of
-   about ``BUCKET`` random vectors want, so buckets stay small however many vectors there are.
+"""Near copies among embeddings: Hamming tables of a stated recall, exact rerank.
+
+1. A bit of a code is the side of a random plane through the origin. Such a plane parts two
+   vectors with probability angle / pi, whatever the data are: a common direction of all
+   vectors costs larger buckets, never links.
+2. A code is cut into substrings of equal length, one per table. There are as many tables as
+   a pair at the threshold needs to agree on a substring at least with probability
+   1 - ``MISS``, so recall does not fall with the number of vectors. The length is the one
+   that costs least for so many vectors, by the angles of a bounded sample; few vectors have
+   substrings of no bits, that is, all pairs are compared.
 3. Pairs that share a bucket pass if their codes are within a Hamming radius, and are then
    compared by the cosine of the original vectors in double precision. The radius is the
    share of bits that a pair at the threshold differs in, plus five standard deviations.
@@ -20,19 +22,28 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.blocks import Method, Pairs, linked_classes, with_links
+from faultline.llm.blocks import BLOCK_ROWS, Method, Pairs, linked_classes, with_links
 from faultline.session import scratch_path, scratch_scope
 from faultline.sources.tables import stage, write_stage
 
 THRESHOLD = 0.9
-TABLES, BUCKET, DEVIATIONS = 24, 16, 5
-#: Vectors per dimension that the rotations are learnt on.
-SAMPLE = 20_000
+#: A pair at the threshold shares no table with probability ``MISS``.
+MISS, DEVIATIONS = 1e-5, 5
+#: Share of bits that such a pair differs in.
+SHARE = math.acos(THRESHOLD) / math.pi
+MAX_BITS = 56
+#: Vectors per dimension whose angles choose the length of the substrings.
+SAMPLE = 2_000
+#: What moving a row costs, in comparisons of two codes.
+ROW_COST = 100
+#: Bits by which most pairs of a bucket are told apart, and pairs compared at a time.
+FIRST_BITS, PAIRS_AT_ONCE = 512, 32_768
 ROUNDS = 30
 
 
@@ -41,6 +52,7 @@ def rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray
 
     Each rotation alternates: corners are the signs of the rotated vectors, the rotation is
     the one that brings the vectors closest to them. Rotations differ in where they start.
+    The join does not use them: no recall holds for learnt cuts on all data.
     """
     draw = np.random.default_rng(seed)
     centred = sample - sample.mean(axis=0)
@@ -63,25 +75,53 @@ def rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray
     return directions, np.median(sample @ directions, axis=0)
 
 
+def tables(bits: int) -> int:
+    """Tables of so many bits after which a pair at the threshold is missed with probability ``MISS`` at most."""
+    return math.ceil(math.log(MISS) / math.log1p(-(1 - SHARE) ** bits)) if bits else 1
+
+
+@lru_cache(maxsize=4)
+def planes(size: int, bits: int, seed: int = 11) -> np.ndarray:
+    """Normals of random planes through the origin; the same in every worker."""
+    return np.random.default_rng(seed).normal(size=(size, bits))
+
+
 @dataclass(frozen=True)
 class Codes:
-    """Codes of one dimension: directions, medians, bits of a table."""
+    """Codes of one dimension: components of a vector, bits of a table."""
 
-    directions: np.ndarray
-    medians: np.ndarray
+    size: int
     bits: int
 
+    @property
+    def tables(self) -> int:
+        return tables(self.bits)
+
     def of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Packed codes, a byte run per table, and the substrings as numbers."""
-        signs = (unit @ self.directions > self.medians).reshape(len(unit), TABLES, self.bits)
+        signs = (unit @ planes(self.size, self.tables * self.bits) > 0).reshape(len(unit), self.tables, self.bits)
         numbers = signs @ (1 << np.arange(self.bits, dtype=np.int64))
-        return np.packbits(signs, axis=2).reshape(len(unit), TABLES * ((self.bits + 7) // 8)), numbers
+        return np.packbits(signs, axis=2).reshape(len(unit), self.tables * ((self.bits + 7) // 8)), numbers
+
+
+def chosen(sample: np.ndarray, count: int) -> Codes:
+    """The codes that cost least for ``count`` vectors with the angles of the unit vectors in ``sample``."""
+    i, j = np.triu_indices(len(sample), 1)
+    angles = np.arccos(np.clip((sample @ sample.T)[i, j], -1, 1))
+    seen, edges = np.histogram(1 - angles / math.pi, bins=1_000, range=(0, 1))
+    same, seen = edges[1:], seen / max(1, len(angles))
+
+    def cost(bits: int) -> float:
+        bucket = count * float(seen @ same ** bits)
+        row = ROW_COST + tables(bits) * bits / 64
+        return tables(bits) * (row * max(1.0, bucket / BLOCK_ROWS) + bucket / 2)
+
+    return Codes(sample.shape[1], min(range(MAX_BITS + 1), key=cost))
 
 
 def radius(bits: int) -> float:
     """Differing bits, of so many, up to which a pair passes."""
-    share = math.acos(THRESHOLD) / math.pi
-    return share * bits + DEVIATIONS * math.sqrt(share * (1 - share) * bits)
+    return SHARE * bits + DEVIATIONS * math.sqrt(SHARE * (1 - SHARE) * bits)
 
 
 def usable(vector) -> bool:
@@ -99,16 +139,28 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _screen(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> Pairs:
-    """Pairs within the Hamming radius that share no earlier table; the last byte of a sketch is the bits of a table."""
+    """Pairs within the Hamming radius that share no earlier table; the last byte of a sketch is the bits of a table.
+
+    The first bits alone, by their own radius, tell most pairs apart.
+    """
     bits = int(left[0, -1])
+    if not bits:
+        return i, j
     width = (bits + 7) // 8
-    a, b = left[i, :-1], right[j, :-1]
-    differ = a ^ b
-    stay = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= radius(TABLES * bits)
-    if table:
-        earlier = differ[:, :table * width].reshape(len(i), table, width).any(axis=2)
-        stay &= earlier.all(axis=1)
-    return i[stay], j[stay]
+    count = (left.shape[1] - 1) // width
+    first = min(count, math.ceil(FIRST_BITS / bits))
+    out = []
+    for start in range(0, len(i), PAIRS_AT_ONCE):
+        a, b = i[start:start + PAIRS_AT_ONCE], j[start:start + PAIRS_AT_ONCE]
+        for end in sorted({first, count}):
+            differ = left[a, :end * width] ^ right[b, :end * width]
+            stay = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= radius(end * bits)
+            a, b, differ = a[stay], b[stay], differ[stay]
+        if table:
+            earlier = differ[:, :table * width].reshape(len(a), table, width).any(axis=2).all(axis=1)
+            a, b = a[earlier], b[earlier]
+        out.append((a, b))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
 def _verify(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -141,18 +193,15 @@ def _contents(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         "id", "made.payload", "made.content", (F.length("made.payload") / 8).cast("int").alias("size")), "vectors")
 
 
-def learnt(classes: DataFrame) -> dict[int, Codes]:
-    """Codes for each dimension that two classes share, from a bounded sample of each."""
+def planned(classes: DataFrame) -> dict[int, Codes]:
+    """Codes for each dimension that two classes share, chosen by a bounded sample of each."""
     out = {}
     for row in classes.groupBy("size").count().where(F.col("count") > 1).collect():
         size, count = row["size"], row["count"]
         share = min(1.0, SAMPLE / count)
         rows = classes.where((F.col("size") == size) & (
-            F.pmod(F.xxhash64("content"), F.lit(1_000_000)) < math.ceil(share * 1e6))).select("payload").collect()
-        sample = unit(np.array([np.frombuffer(r["payload"], "<f8") for r in rows]))
-        bits = max(0, min(56, round(math.log2(count / BUCKET))))
-        directions, medians = rotations(sample, TABLES * bits)
-        out[size] = Codes(directions, medians, bits)
+            F.pmod(F.xxhash64("content"), F.lit(1_000_000_000)) < math.ceil(share * 1e9))).select("payload").collect()
+        out[size] = chosen(unit(np.array([np.frombuffer(r["payload"], "<f8") for r in rows]).reshape(-1, size)), count)
     return out
 
 
@@ -175,7 +224,7 @@ def _joined(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("payload").alias("payload"),
         F.first("size").alias("size"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    codes = learnt(classes)
+    codes = planned(classes)
     rows = rows.drop("payload", "size")
     if not codes:
         classes = classes.drop("payload", "size")
@@ -186,13 +235,15 @@ def _joined(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         for batch in batches:
             for size, part in batch.groupby("size"):
                 known = codes[size]
-                raw = unit(np.frombuffer(b"".join(part["payload"]), "<f8").reshape(len(part), -1))
-                packed, numbers = known.of(raw)
                 end = bytes([known.bits])
-                yield pd.DataFrame({
-                    "cid": part["cid"], "copies": part["copies"], "size": part["size"],
-                    "sketch": [p.tobytes() + end for p in packed], "numbers": list(numbers),
-                })
+                for start in range(0, len(part), 1_024):
+                    some = part.iloc[start:start + 1_024]
+                    raw = unit(np.frombuffer(b"".join(some["payload"]), "<f8").reshape(len(some), -1))
+                    packed, numbers = known.of(raw)
+                    yield pd.DataFrame({
+                        "cid": some["cid"], "copies": some["copies"], "size": some["size"],
+                        "sketch": [p.tobytes() + end for p in packed], "numbers": list(numbers),
+                    })
 
     coded = stage(
         classes.where(F.col("size").isin(*codes)).select("cid", "copies", "size", "payload")

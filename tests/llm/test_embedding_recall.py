@@ -23,7 +23,7 @@ def _partners(draw, vectors):
     return near * vectors + np.sqrt(1 - near ** 2) * aside
 
 
-@pytest.mark.parametrize("common", [0.0])
+@pytest.mark.parametrize("common", [0.0, 1.0])
 @pytest.mark.parametrize("count", [2_000, 100_000, 10_000_000])
 def test_recall_does_not_fall_with_count(count, common):
     draw = np.random.default_rng(5)
@@ -45,7 +45,7 @@ def test_tables_follow_the_missed_share():
 
 
 @pytest.mark.parametrize("bits", [None, 10])
-@pytest.mark.parametrize("common", [0.0])
+@pytest.mark.parametrize("common", [0.0, 1.0])
 def test_join_near_the_threshold(spark, common, bits, monkeypatch):
     if bits:
         monkeypatch.setattr(embeddings, "chosen", lambda sample, count: embeddings.Codes(SIZE, bits))

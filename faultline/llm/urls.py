@@ -21,9 +21,15 @@ ALLOW, BLOCK = "allow", "block"
 
 Rule = tuple[str, str, str]  # host, path, allow or block
 
-_TAG = r"""(?is)<{tag}\b(?=[^>]*\b{name}\s*=\s*["']?\s*{value}\b)[^>]*\b{target}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_CANONICAL = _TAG.format(tag="link", name="rel", value="canonical", target="href")
-_REFRESH = _TAG.format(tag="meta", name="http-equiv", value="refresh", target="content")
+#: Comments and elements whose content is text, not tags.
+_HIDDEN = (
+    r"""(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>])"""
+    r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1(?=[\s/>])|\z)""")
+_TAGS = r"""(?i)<(?:link|meta|base)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+#: A name, and a value if there is one; read in order, so that no value is taken for a name.
+_ATTRIBUTE = r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
+_REFRESH = r"""(?is)^\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]+)|'([^']+)|([^"'].*))"""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -68,25 +74,71 @@ def resource(url: Column) -> Column:
         F.substr(bare, at + 3 + F.length(host)))).otherwise(bare)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from its root on without the segments ``.`` and ``..``."""
+    return F.aggregate(
+        F.split(F.regexp_replace(path, r"(/\.{1,2})$", "$1/"), "/"), F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+        .when(part == ".", done).otherwise(F.concat(done, F.array(part))),
+        lambda done: F.array_join(done, "/"))
+
+
 def resolved(target: Column, base: Column) -> Column:
-    """An absolute url of a link target; null for targets that are none and have no base."""
-    target = F.trim(F.replace(target, F.lit("&amp;"), F.lit("&")))
-    origin = F.regexp_extract(base, "^[^:/?#]+://[^/?#]*", 0)
-    return (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(target.startswith("//"), F.concat(F.regexp_extract(base, "^[^:/?#]+:", 0), target))
-        .when(target.startswith("/") & (origin != ""), F.concat(origin, target)))
+    """An absolute url of a link target; null for schemes without ``//`` and for targets that need a base and have none."""
+    def whole(link: Column) -> Column:
+        to, page, origin, own = (link[k] for k in ("to", "page", "origin", "own"))
+        path = F.regexp_extract(F.substr(page, F.length(origin) + 1), "^[^?#]*", 0)
+        behind = F.substr(to, F.length(own) + 1)
+        folder = F.concat(F.lit("/"), F.regexp_extract(path, "(?s)^/(.*/)", 1))
+        rooted = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+        return (
+            F.when(to.rlike(_SCHEME), F.when(to.rlike(_SCHEME + "//"), to))
+            .when(to.startswith("//"), F.concat(F.regexp_extract(page, "^[^:/?#]+:", 0), to))
+            .when(origin == "", None)
+            .when(to.startswith("#"), F.concat(F.regexp_extract(page, "(?s)^[^#]*", 0), to))
+            .when(own == "", F.concat(origin, F.when(path == "", "/").otherwise(path), behind))
+            .otherwise(F.concat(origin, _without_dots(rooted), behind)))
+
+    def parts(link: Column) -> Column:
+        return F.named_struct(
+            F.lit("to"), link["to"], F.lit("page"), link["page"],
+            F.lit("origin"), F.regexp_extract(link["page"], "^[^:/?#]+://[^/?#]*", 0),
+            F.lit("own"), F.regexp_extract(link["to"], "^[^?#]*", 0))
+
+    link = F.named_struct(
+        F.lit("to"), F.trim(F.replace(target, F.lit("&amp;"), F.lit("&"))), F.lit("page"), base)
+    return F.get(F.transform(F.transform(F.array(link), parts), whole), F.lit(0))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of the first attribute of that name, without quotes; null where there is none."""
+    inner = F.regexp_replace(tag, r"^<[^\s/>]*", "")
+    names = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    at = F.array_position(names, name)
+    value = F.get(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(2)), (at - 1).cast("int"))
+    return F.when(at > 0, F.trim(F.regexp_replace(value, r"""^["']|["']$""", "")))
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (source, target) from canonical links and meta refreshes in the pages."""
-    first = lambda pattern: F.coalesce(*(
-        F.nullif(F.regexp_extract(F.col(html), pattern, k), F.lit("")) for k in (1, 2, 3)))
-    refresh = F.nullif(F.trim(F.regexp_extract(first(_REFRESH), r"""(?is)url\s*=\s*["']?([^"']+)""", 1)), F.lit(""))
-    targets = pages.where(F.col(html).rlike(r"(?i)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b")).select(
-        F.col(url).alias("source"), F.explode(F.array(first(_CANONICAL), refresh)).alias("target"))
-    return targets.select("source", resolved(F.col("target"), F.col("source")).alias("target")).where(
-        F.col("source").isNotNull() & F.col("target").isNotNull())
+    """Edges (source, target) from all canonical links and meta refreshes in the pages.
+
+    Targets are resolved against the page's url, or its base element. Comments, scripts and
+    other text-only elements have no tags.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(F.col(html), _HIDDEN, " "), F.lit(_TAGS), F.lit(0))
+    read = pages.where(F.col(url).isNotNull() & F.col(html).rlike("(?i)canonical|refresh")).select(
+        F.col(url).alias("source"), tags.alias("tags"))
+    stated = _attribute(F.get(F.filter("tags", lambda t: t.rlike(r"(?is)^<base\s.*\bhref\s*=")), F.lit(0)), "href")
+    read = read.select("source", F.coalesce(resolved(stated, F.col("source")), F.col("source")).alias("base"), F.explode("tags").alias("tag"))
+    tag = F.col("tag")
+    link, meta = tag.rlike(r"(?i)^<link"), tag.rlike(r"(?i)^<meta")
+    canonical = link & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    content = _attribute(tag, "content")
+    refresh = F.coalesce(*(F.nullif(F.regexp_extract(content, _REFRESH, k), F.lit("")) for k in (1, 2, 3)))
+    target = F.when(canonical, _attribute(tag, "href")).when(
+        meta & (F.lower(_attribute(tag, "http-equiv")) == "refresh"), refresh)
+    targets = read.select("source", "base", F.nullif(F.trim(target), F.lit("")).alias("target"))
+    return targets.select("source", resolved(F.col("target"), F.col("base")).alias("target")).where(F.col("target").isNotNull())
 
 
 def judged(urls: DataFrame, rules: Sequence[Rule], edges: DataFrame, url: str = "url") -> DataFrame:

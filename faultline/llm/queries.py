@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import chat, decontaminate, embeddings, html_text, ngram_join, pieces, toxicity, urls, warc
+from faultline.llm import chat, decontaminate, embeddings, html_text, ngram_join, pieces, runs, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +127,21 @@ def op10_warc(spark, sf_dir):
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op13_periodic_runs(spark, sf_dir):
+    """Runs of repeated words in every document, after a tenth of them got a periodic tail; texts without the repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.with_runs(docs.withColumn("text", runs.with_planted_tail(F.col("text"), F.col("doc_id"))))
+    best = runs.longest()
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 @query
 def pipeline(spark, sf_dir):
     """The cleaning pipeline over all documents."""

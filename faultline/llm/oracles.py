@@ -114,4 +114,49 @@ ORACLES: dict[str, str] = {
             CASE WHEN f < page_id THEN f END AS refers_to
         FROM p LEFT JOIN firsts ON d = payload_digest
     """,
+    "op11_suffix_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        starts AS (
+            SELECT r, s, md5(substr(h, 2 * s + 1, 800)) AS k
+            FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399)) AS s FROM d WHERE len(h) >= 800)),
+        hit AS (SELECT r, s FROM starts WHERE k IN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1)),
+        numbered AS (
+            SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS g FROM (
+                SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 400 THEN 0 ELSE 1 END AS fresh FROM hit)),
+        spans AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM numbered GROUP BY r, g),
+        between_ AS (
+            SELECT r, b AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS b FROM spans
+            UNION ALL SELECT r, 0, min(a) FROM spans GROUP BY r),
+        kept AS (
+            SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS h
+            FROM between_ JOIN d USING (r) GROUP BY r),
+        totals AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+        SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+            coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+        FROM d LEFT JOIN totals USING (r) LEFT JOIN kept USING (r)
+    """,
+    "op12_ranked_search": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(text, {_ASCII}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+        live AS (SELECT * FROM d WHERE len(w) > 0),
+        corpus AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM live),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(text, {_ASCII}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        tf AS (
+            SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM live)
+            WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+        df AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, corpus GROUP BY t),
+        scored AS (
+            SELECT item_id, r, doc_id, CAST(sum(
+                w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+            FROM q JOIN tf USING (t) JOIN df USING (t), corpus GROUP BY ALL),
+        ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+                doc_id, score FROM scored WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
 }

@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import chat, decontaminate, embeddings, html_text, ngram_join, pieces, runs, toxicity, urls, warc
+from faultline.llm import chat, decontaminate, embeddings, html_text, ngram_join, pieces, runs, search, suffixes, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,6 +127,22 @@ def op10_warc(spark, sf_dir):
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_suffix_dedup(spark, sf_dir):
+    """Every document without the bytes of 400-byte strings that also start elsewhere."""
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    """The ten best documents for every benchmark item."""
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_periodic_runs(spark, sf_dir):
     """Runs of repeated words in every document, after a tenth of them got a periodic tail; texts without the repeats."""

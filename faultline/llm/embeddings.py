@@ -1,19 +1,27 @@
-"""Near copies among embeddings: Hamming tables of a stated recall, exact rerank.
-
-1. A bit of a code is the side of a random plane through the origin. Such a plane parts two
-   vectors with probability angle / pi, whatever the data are: a common direction of all
-   vectors costs larger buckets, never links.
-2. A code is cut into substrings of equal length, one per table. There are as many tables as
-   a pair at the threshold needs to agree on a substring at least with probability
-   1 - ``MISS``, so recall does not fall with the number of vectors. The length is the one
-   that costs least for so many vectors, by the angles of a bounded sample; few vectors have
-   substrings of no bits, that is, all pairs are compared.
-3. Pairs that share a bucket pass if their codes are within a Hamming radius, and are then
-   compared by the cosine of the original vectors in double precision. The radius is the
-   share of bits that a pair at the threshold differs in, plus five standard deviations.
-
-Equal vectors are one class. What moves per table is a code; vectors move only for rows that
-passed, in the groups where they passed (``blocks``).
+"""Near copies among embeddings: iterative quantisation, multi-index Hamming tables, exact rerank.
+
+1. Iterative quantisation, on a bounded sample: vectors are turned to their main axes, then a
+   rotation is learnt in turns, corners as the signs of the rotated vectors and the rotation
+   that brings the vectors closest to them. A bit is the side of the median, so codes are
+   balanced. More bits than dimensions come from further rotations, each from a start of its
+   own.
+2. A code is cut into substrings of equal length, one per table, and vectors with an equal
+   substring meet. How many bits a pair at the threshold differs in is measured under the
+   learnt code, on partners made around the sample's vectors, aside from them in any direction
+   and along the data's own differences. There are as many tables as the harder kind needs to
+   meet at least once but for a share of ``MISS``, so recall does not fall with the number of
+   vectors or with a common direction. The length of a substring is the one that costs least
+   for so many vectors; it is ``LEAST_BITS`` at least, however few they are. Substrings with
+   flipped bits are not probed: more tables of equal ones take fewer rows. Where no number of
+   tables will do (two vectors of a dimension, or all on one line: any balanced bit parts
+   near ones) all vectors of that dimension meet in one table, in blocks like any hot key.
+3. Pairs that meet pass if the first ``CODE_BITS`` of their codes are within a Hamming radius,
+   five deviations above the measured mean. Those are compared by the cosine of the original
+   vectors in double precision.
+
+Equal vectors are one class. Per class and table a row of eight numbers moves, two of which
+are the first bits of the code; whole codes and vectors move for rows that passed only, in the
+groups where they passed. Finding the classes moves every vector once.
 """
 
 from __future__ import annotations
@@ -22,29 +30,33 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.blocks import BLOCK_ROWS, Method, Pairs, linked_classes, with_links
+from faultline.llm import blocks
+from faultline.llm.blocks import GROUP, sorted_runs, with_links
+from faultline.llm.components import components
 from faultline.session import scratch_path, scratch_scope
 from faultline.sources.tables import stage, write_stage
 
 THRESHOLD = 0.9
-#: A pair at the threshold shares no table with probability ``MISS``.
+#: A pair at the threshold shares no table, or is outside the radius, with about this probability.
 MISS, DEVIATIONS = 1e-5, 5
-#: Share of bits that such a pair differs in.
-SHARE = math.acos(THRESHOLD) / math.pi
-MAX_BITS = 56
-#: Vectors per dimension whose angles choose the length of the substrings.
+LEAST_BITS, MAX_BITS = 4, 48
+#: Bits of the code that tell pairs of a bucket apart, in two numbers.
+CODE_BITS = 128
+#: Vectors per dimension that the rotation is learnt on and the partners are made around.
 SAMPLE = 2_000
+#: Bits that angles and partners are measured on.
+MEASURED_BITS = 1_024
+#: Bits beyond which a code is of no use.
+CODE_LIMIT = 1 << 17
 #: What moving a row costs, in comparisons of two codes.
 ROW_COST = 100
-#: Bits by which most pairs of a bucket are told apart, and pairs compared at a time.
-FIRST_BITS, PAIRS_AT_ONCE = 512, 32_768
-ROUNDS = 30
+PAIRS_AT_ONCE = 65_536
+ROUNDS = 15
 
 
 def rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +64,6 @@ def rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray
 
     Each rotation alternates: corners are the signs of the rotated vectors, the rotation is
     the one that brings the vectors closest to them. Rotations differ in where they start.
-    The join does not use them: no recall holds for learnt cuts on all data.
     """
     draw = np.random.default_rng(seed)
     centred = sample - sample.mean(axis=0)
@@ -75,53 +86,89 @@ def rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray
     return directions, np.median(sample @ directions, axis=0)
 
 
-def tables(bits: int) -> int:
-    """Tables of so many bits after which a pair at the threshold is missed with probability ``MISS`` at most."""
-    return math.ceil(math.log(MISS) / math.log1p(-(1 - SHARE) ** bits)) if bits else 1
-
-
-@lru_cache(maxsize=4)
-def planes(size: int, bits: int, seed: int = 11) -> np.ndarray:
-    """Normals of random planes through the origin; the same in every worker."""
-    return np.random.default_rng(seed).normal(size=(size, bits))
-
-
 @dataclass(frozen=True)
 class Codes:
-    """Codes of one dimension: components of a vector, bits of a table."""
+    """The learnt code of one dimension: directions, medians, bits of a substring, Hamming radius of the first bits."""
 
-    size: int
+    directions: np.ndarray
+    medians: np.ndarray
     bits: int
+    radius: float
 
     @property
     def tables(self) -> int:
-        return tables(self.bits)
+        return len(self.medians) // self.bits if self.bits else 1
+
+    def signs(self, unit: np.ndarray) -> np.ndarray:
+        return unit @ self.directions > self.medians
 
     def of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Packed codes, a byte run per table, and the substrings as numbers."""
-        signs = (unit @ planes(self.size, self.tables * self.bits) > 0).reshape(len(unit), self.tables, self.bits)
-        numbers = signs @ (1 << np.arange(self.bits, dtype=np.int64))
-        return np.packbits(signs, axis=2).reshape(len(unit), self.tables * ((self.bits + 7) // 8)), numbers
+        """The first bits as two numbers, and the substring of each table as a number."""
+        signs = self.signs(unit)
+        first = np.zeros((len(unit), CODE_BITS), bool)
+        first[:, :min(CODE_BITS, signs.shape[1])] = signs[:, :CODE_BITS]
+        code = np.packbits(first, axis=1).view(np.int64)
+        return code, signs.reshape(len(unit), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
-def chosen(sample: np.ndarray, count: int) -> Codes:
-    """The codes that cost least for ``count`` vectors with the angles of the unit vectors in ``sample``."""
+def partners(sample: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit vector two at the threshold: aside in any direction, and along the data's differences."""
+    draw = np.random.default_rng(seed)
+    out = []
+    for aside in (draw.normal(size=sample.shape), sample[draw.permutation(len(sample))] - sample[draw.permutation(len(sample))]):
+        aside = aside - (aside * sample).sum(axis=1, keepdims=True) * sample
+        size = np.linalg.norm(aside, axis=1, keepdims=True)
+        aside = np.divide(aside, size, out=np.zeros_like(aside), where=size > 1e-9)
+        out.append(THRESHOLD * sample + math.sqrt(1 - THRESHOLD ** 2) * aside)
+    return out[0], out[1]
+
+
+def missed(shares: np.ndarray, bits: int, tables: int) -> float:
+    """How often pairs that differ in these shares of bits share no substring of any table."""
+    return float(np.mean((1 - (1 - shares) ** bits) ** tables))
+
+
+def needed(kinds: list[np.ndarray], bits: int) -> int:
+    """Tables after which pairs of every kind are missed with probability ``MISS`` at most."""
+    low, high = 1, 1
+    while max(missed(s, bits, high) for s in kinds) > MISS:
+        low, high = high, 2 * high
+        if high * bits > CODE_LIMIT:
+            return high
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if max(missed(s, bits, middle) for s in kinds) <= MISS else (middle + 1, high)
+    return high
+
+
+def learnt(sample: np.ndarray, count: int) -> Codes:
+    """The code for ``count`` vectors, learnt on the unit vectors in ``sample``."""
+    directions, medians = rotations(sample, MEASURED_BITS)
+    signs = sample @ directions > medians
+    # Few vectors get several partners each.
+    around = np.arange(max(len(sample), SAMPLE)) % len(sample)
+    differ = [(p @ directions > medians) != signs[around] for p in partners(sample[around])]
+    kinds = [d.mean(axis=1) for d in differ]
+    packed = np.packbits(signs, axis=1)
     i, j = np.triu_indices(len(sample), 1)
-    angles = np.arccos(np.clip((sample @ sample.T)[i, j], -1, 1))
-    seen, edges = np.histogram(1 - angles / math.pi, bins=1_000, range=(0, 1))
-    same, seen = edges[1:], seen / max(1, len(angles))
+    if len(i) > 200_000:
+        some = np.random.default_rng(3).integers(0, len(i), 200_000)
+        i, j = i[some], j[some]
+    apart = np.bitwise_count(packed[i] ^ packed[j]).sum(axis=1) / MEASURED_BITS
 
     def cost(bits: int) -> float:
-        bucket = count * float(seen @ same ** bits)
-        row = ROW_COST + tables(bits) * bits / 64
-        return tables(bits) * (row * max(1.0, bucket / BLOCK_ROWS) + bucket / 2)
-
-    return Codes(sample.shape[1], min(range(MAX_BITS + 1), key=cost))
-
+        bucket = count * float(np.mean((1 - apart) ** bits))
+        return needed(kinds, bits) * (ROW_COST * max(1.0, bucket / blocks.BLOCK_ROWS) + bucket / 2)
 
-def radius(bits: int) -> float:
-    """Differing bits, of so many, up to which a pair passes."""
-    return SHARE * bits + DEVIATIONS * math.sqrt(SHARE * (1 - SHARE) * bits)
+    bits = min(range(LEAST_BITS, MAX_BITS + 1), key=cost)
+    total = bits * needed(kinds, bits)
+    if total > CODE_LIMIT:
+        return Codes(directions[:, :0], medians[:0], 0, 0.0)
+    if total > MEASURED_BITS:
+        directions, medians = rotations(sample, total)
+    first = [d[:, :min(CODE_BITS, total)].sum(axis=1) for d in differ]
+    radius = max(float(f.mean() + DEVIATIONS * f.std()) for f in first)
+    return Codes(directions[:, :total], medians[:total], bits, radius)
 
 
 def usable(vector) -> bool:
@@ -138,46 +185,6 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _screen(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> Pairs:
-    """Pairs within the Hamming radius that share no earlier table; the last byte of a sketch is the bits of a table.
-
-    The first bits alone, by their own radius, tell most pairs apart.
-    """
-    bits = int(left[0, -1])
-    if not bits:
-        return i, j
-    width = (bits + 7) // 8
-    count = (left.shape[1] - 1) // width
-    first = min(count, math.ceil(FIRST_BITS / bits))
-    out = []
-    for start in range(0, len(i), PAIRS_AT_ONCE):
-        a, b = i[start:start + PAIRS_AT_ONCE], j[start:start + PAIRS_AT_ONCE]
-        for end in sorted({first, count}):
-            differ = left[a, :end * width] ^ right[b, :end * width]
-            stay = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= radius(end * bits)
-            a, b, differ = a[stay], b[stay], differ[stay]
-        if table:
-            earlier = differ[:, :table * width].reshape(len(a), table, width).any(axis=2).all(axis=1)
-            a, b = a[earlier], b[earlier]
-        out.append((a, b))
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-
-
-def _verify(left: list[bytes], right: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    if len(left[0]) != len(right[0]):
-        return np.zeros(len(i), bool)
-    a = unit(np.frombuffer(b"".join(left), "<f8").reshape(len(left), -1))
-    b = unit(np.frombuffer(b"".join(right), "<f8").reshape(len(right), -1))
-    good = np.zeros(len(i), bool)
-    for start in range(0, len(i), 65_536):
-        part = slice(start, start + 65_536)
-        good[part] = np.einsum("ij,ij->i", a[i[part]], b[j[part]]) >= THRESHOLD
-    return good
-
-
-METHOD = Method(_screen, _verify)
-
-
 def _contents(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """Per row: id, content (digest of the components, null for vectors that link with nothing), payload, size."""
     @F.pandas_udf("payload binary, content string")
@@ -194,15 +201,17 @@ def _contents(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def planned(classes: DataFrame) -> dict[int, Codes]:
-    """Codes for each dimension that two classes share, chosen by a bounded sample of each."""
-    out = {}
-    for row in classes.groupBy("size").count().where(F.col("count") > 1).collect():
-        size, count = row["size"], row["count"]
-        share = min(1.0, SAMPLE / count)
-        rows = classes.where((F.col("size") == size) & (
-            F.pmod(F.xxhash64("content"), F.lit(1_000_000_000)) < math.ceil(share * 1e9))).select("payload").collect()
-        out[size] = chosen(unit(np.array([np.frombuffer(r["payload"], "<f8") for r in rows]).reshape(-1, size)), count)
-    return out
+    """The code of each dimension that two classes share, learnt on a bounded sample of each in one job."""
+    sizes = classes.groupBy("size").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
+    counts = {r["size"]: r["count"] for r in sizes.collect()}
+    if not counts:
+        return {}
+    drawn = F.pmod(F.xxhash64("content"), F.lit(1_000_000_000)) < F.ceil(F.lit(SAMPLE * 1e9) / F.col("count"))
+    rows = classes.join(sizes, "size").where(drawn).select("size", "payload", "content").collect()
+    samples: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: r["content"]):
+        samples.setdefault(r["size"], []).append(np.frombuffer(r["payload"], "<f8"))
+    return {size: learnt(unit(np.array(found)), counts[size]) for size, found in samples.items()}
 
 
 def joined(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -226,33 +235,135 @@ def _joined(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     codes = planned(classes)
     rows = rows.drop("payload", "size")
-    if not codes:
-        classes = classes.drop("payload", "size")
-        nothing = classes.where(F.lit(False)).select("cid", F.lit(0).cast("bigint").alias("links"), F.col("cid").alias("component"))
-        return with_links(rows, classes, nothing, F.col("id"))
+    nothing = classes.where(F.lit(False)).select("cid", F.lit(0).cast("bigint").alias("links"), F.col("cid").alias("component"))
+    linked = _linked(classes, codes) if codes else nothing
+    return with_links(rows, classes.drop("payload", "size"), linked, F.col("id"))
+
+
+def _linked(classes: DataFrame, codes: dict[int, Codes]) -> DataFrame:
+    """Per class with links: cid, links (copies of other classes), component (smallest cid)."""
+    shared = classes.sparkSession.sparkContext.broadcast(codes)
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, part in batch.groupby("size"):
-                known = codes[size]
-                end = bytes([known.bits])
-                for start in range(0, len(part), 1_024):
+                known = shared.value.get(size)
+                for start in range(0, len(part) if known else 0, 1_024):
                     some = part.iloc[start:start + 1_024]
-                    raw = unit(np.frombuffer(b"".join(some["payload"]), "<f8").reshape(len(some), -1))
-                    packed, numbers = known.of(raw)
+                    code, numbers = known.of(unit(np.frombuffer(b"".join(some["payload"]), "<f8").reshape(len(some), -1)))
                     yield pd.DataFrame({
-                        "cid": some["cid"], "copies": some["copies"], "size": some["size"],
-                        "sketch": [p.tobytes() + end for p in packed], "numbers": list(numbers),
-                    })
-
-    coded = stage(
-        classes.where(F.col("size").isin(*codes)).select("cid", "copies", "size", "payload")
-        .mapInPandas(code, "cid bigint, copies bigint, size int, sketch binary, numbers array<bigint>"), "vector-codes")
-    keys = coded.select("cid", "size", F.posexplode("numbers").alias("table", "number")).select(
-        "cid", "table", F.xxhash64("size", "table", "number").alias("key"))
-
-    def payloads(survivors: DataFrame) -> DataFrame:
-        return survivors.join(classes.select("cid", "payload"), "cid")
-
-    linked = linked_classes(coded, keys, payloads, METHOD)
-    return with_links(rows, classes.drop("payload", "size"), linked, F.col("id"))
+                        "cid": some["cid"].to_numpy(), "size": size, "left": code[:, 0], "right": code[:, 1], "numbers": list(numbers)})
+
+    known = classes.where(F.col("size").isin(*codes)).select("cid", "size", "payload").mapInPandas(
+        coded, "cid bigint, size int, left bigint, right bigint, numbers array<bigint>")
+    known = stage(known, "vector-codes")
+    keys = known.select("cid", "left", "right", "size", F.posexplode("numbers").alias("place", "number")).select(
+        "cid", "left", "right", "place", F.xxhash64("size", "place", "number").alias("key"))
+    radii = {size: c.radius for size, c in codes.items()}
+    # Vectors of one length meet under keys of their own, so the widest radius loses none.
+    survivors = stage(_passed(_grouped(keys), max(radii.values())), "vector-passed")
+    dressed = survivors.join(classes.select("cid", "copies", "payload"), "cid").join(
+        known.select("cid", "numbers"), "cid")
+    links = stage(_verified(dressed, shared), "vector-links")
+    groups = components(links, "cid", "root", "cid", "component")
+    totals = links.groupBy("cid").agg(F.sum("links").alias("links"))
+    return stage(totals.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "vector-linked")
+
+
+def _grouped(keys: DataFrame) -> DataFrame:
+    """Of (cid, left, right, place, key) the rows by group: a key, or a pair of blocks of a key with many rows."""
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > blocks.BLOCK_ROWS)
+    many = stage(counts.select("key", F.ceil(F.col("size") / blocks.BLOCK_ROWS).cast("int").alias("blocks")), "vector-keys")
+    rows = keys.join(many, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(
+        "cid", "left", "right", "place", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *GROUP).sortWithinPartitions(*GROUP)
+
+
+def _near(run: pd.DataFrame, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group (positions in it) within the radius, some at a time; of two blocks one of each."""
+    lo, hi = run["lo"].iat[0], run["hi"].iat[0]
+    mine = run["mine"].to_numpy()
+    first = np.flatnonzero(mine == lo)
+    second = np.flatnonzero(mine == hi)
+    left, right = (run[c].to_numpy().view(np.uint64) for c in ("left", "right"))
+    step = max(1, PAIRS_AT_ONCE // max(1, len(second)))
+    for start in range(0, len(first), step):
+        a = first[start:start + step, None]
+        b = second[None, :]
+        differ = np.bitwise_count(left[a] ^ left[b]) + np.bitwise_count(right[a] ^ right[b])
+        stay = differ <= radius
+        if lo == hi:
+            stay &= a < b
+        i, j = np.nonzero(stay)
+        if len(i):
+            yield first[start + i], second[j]
+
+
+def _passed(rows: DataFrame, radius: float) -> DataFrame:
+    """The rows that are within the radius of some row of their group."""
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, waiting = [], 0
+        for run in sorted_runs(batches, GROUP):
+            if len(run) < 2:
+                continue
+            met = np.zeros(len(run), bool)
+            for i, j in _near(run, radius):
+                met[i] = met[j] = True
+            if met.any():
+                out.append(run[met])
+                waiting += len(out[-1])
+            if waiting > 5_000:
+                yield pd.concat(out)
+                out, waiting = [], 0
+        if out:
+            yield pd.concat(out)
+
+    return _dealt(rows).mapInPandas(passed, "cid bigint, left bigint, right bigint, place int, key bigint, lo int, hi int, mine int")
+
+
+def _verified(rows: DataFrame, shared) -> DataFrame:
+    """Per group and class its links and a root of its connected part there: cid, links, root.
+
+    A pair that meets in several tables counts in the first one, which its codes tell.
+    """
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        radius = max(c.radius for c in shared.value.values())
+        for run in sorted_runs(batches, GROUP):
+            run = run.drop_duplicates("cid")
+            for _, part in run.groupby(run["payload"].map(len)):
+                if len(part) < 2:
+                    continue
+                units = unit(np.frombuffer(b"".join(part["payload"]), "<f8").reshape(len(part), -1))
+                numbers = np.stack(part["numbers"].to_numpy())
+                cid, copies, table = part["cid"].to_numpy(), part["copies"].to_numpy(), int(part["place"].iat[0])
+                links, pairs = np.zeros(len(part), np.int64), []
+                for i, j in _near(part, radius):
+                    good = np.einsum("ij,ij->i", units[i], units[j]) >= THRESHOLD
+                    i, j = i[good], j[good]
+                    good = _first_here(numbers, i, j, table)
+                    i, j = i[good], j[good]
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+                    pairs.append((i, j))
+                met = links > 0
+                if met.any():
+                    roots = blocks._roots(len(part), np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs]))
+                    yield pd.DataFrame({"cid": cid[met], "links": links[met], "root": cid[roots][met]})
+
+    return _dealt(rows).mapInPandas(verified, "cid bigint, links bigint, root bigint")
+
+
+def _first_here(numbers: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
+    """Which pairs share no earlier table than this one."""
+    out = np.ones(len(i), bool)
+    for start in range(0, len(i) if table else 0, 4_096):
+        part = slice(start, start + 4_096)
+        out[part] = ~(numbers[i[part], :table] == numbers[j[part], :table]).any(axis=1)
+    return out

@@ -23,32 +23,67 @@ def _partners(draw, vectors):
     return near * vectors + np.sqrt(1 - near ** 2) * aside
 
 
+def _found(codes, vectors, others):
+    """Which pairs share a table and are within the radius."""
+    (a, left), (b, right) = codes.of(vectors), codes.of(others)
+    near = np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1) <= codes.radius
+    return near & (left == right).any(axis=1)
+
+
 @pytest.mark.parametrize("common", [0.0, 1.0])
-@pytest.mark.parametrize("count", [2_000, 100_000, 10_000_000])
+@pytest.mark.parametrize("count", [500, 2_000, 100_000, 10_000_000])
 def test_recall_does_not_fall_with_count(count, common):
     draw = np.random.default_rng(5)
     vectors = _vectors(draw, 2_000, common)
-    codes = embeddings.chosen(vectors, count)
-    a, left = codes.of(vectors)
-    b, right = codes.of(_partners(draw, vectors))
-    end = np.full((len(a), 1), codes.bits, np.uint8)
-    i = np.arange(len(a))
-    stay, _ = embeddings._screen(np.hstack((a, end)), np.hstack((b, end)), i, i, 0)
-    assert (left == right).any(axis=1)[stay].sum() >= len(vectors) - 1
+    codes = embeddings.learnt(vectors, count)
+    assert codes.bits >= embeddings.LEAST_BITS
+    unseen = _vectors(draw, 4_000, common)
+    for some in (vectors, unseen):
+        assert _found(codes, some, _partners(draw, some)).sum() >= len(some) - 2
+
+
+def test_clustered_vectors_keep_their_links():
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(20, SIZE))
+    vectors = embeddings.unit(centres[draw.integers(0, 20, 3_000)] + 0.3 * draw.normal(size=(3_000, SIZE)))
+    codes = embeddings.learnt(vectors[:2_000], 50_000)
+    assert _found(codes, vectors, _partners(draw, vectors)).sum() >= len(vectors) - 2
 
 
 def test_tables_follow_the_missed_share():
+    shares = [np.full(100, 0.144), np.linspace(0.1, 0.2, 100)]
     for bits in (1, 8, 16, 24):
-        missed = (1 - (1 - embeddings.SHARE) ** bits) ** embeddings.tables(bits)
-        assert embeddings.MISS / 10 < missed <= embeddings.MISS
-    assert embeddings.tables(0) == 1
+        tables = embeddings.needed(shares, bits)
+        assert max(embeddings.missed(s, bits, tables) for s in shares) <= embeddings.MISS
+        assert tables == 1 or max(embeddings.missed(s, bits, tables - 1) for s in shares) > embeddings.MISS
+
+
+def test_codes_are_balanced_and_of_the_stated_length():
+    vectors = _vectors(np.random.default_rng(3), 2_000, 0.5)
+    codes = embeddings.learnt(vectors, 100_000)
+    signs = codes.signs(vectors)
+    assert signs.shape[1] == codes.bits * codes.tables and np.abs(signs.mean(axis=0) - 0.5).max() < 0.01
+
+
+def test_learning_brings_vectors_closer_to_the_corners():
+    """The rotation that is learnt on vectors with few main directions fits its corners better than a random one."""
+    draw = np.random.default_rng(4)
+    vectors = embeddings.unit(draw.normal(size=(1_500, 24)) * np.linspace(3, 0.3, 24))
+    directions, medians = embeddings.rotations(vectors, 24)
+    centred = vectors - vectors.mean(axis=0)
+    turned = centred @ np.linalg.qr(draw.normal(size=(24, 24)))[0]
+
+    def loss(x):
+        return ((np.where(x > np.median(x, axis=0), 1, -1) - x) ** 2).sum()
+
+    assert loss(centred @ directions) < loss(turned)
 
 
-@pytest.mark.parametrize("bits", [None, 10])
+@pytest.mark.parametrize("bits", [None, 12])
 @pytest.mark.parametrize("common", [0.0, 1.0])
 def test_join_near_the_threshold(spark, common, bits, monkeypatch):
     if bits:
-        monkeypatch.setattr(embeddings, "chosen", lambda sample, count: embeddings.Codes(SIZE, bits))
+        monkeypatch.setattr(embeddings, "LEAST_BITS", bits)
     draw = np.random.default_rng(6)
     vectors = _vectors(draw, 2_000, common)
     vectors = np.concatenate((vectors, _partners(draw, vectors[:800])))

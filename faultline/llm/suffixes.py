@@ -16,10 +16,12 @@ groups of at least two.
    leaves. Steps repeated as a whole are done, as before.
 4. Last digit: single windows.
 
-Every pass is an aggregate of 128-bit hashes, merged before the shuffle, and a join with those
-that occur twice or more. No group is ever gathered, so one passage in a third of all texts is
-a hot key of a plain join at most. A text is known by its digest: its rows need no numbering,
-and copies share their spans. Texts move twice to be cut up and once to be cleaned, by digest.
+Every pass is an aggregate of hashes, merged before the shuffle, and a join with those that
+occur twice or more: 64 bits for digits, which only prune, 128 bits for what is repeated. No
+group is ever gathered, so one passage in a third of all texts is a hot key of a plain join at
+most. A text is known by its digest: its rows need no numbering, and copies share their spans.
+Texts move compressed, twice to be cut up and once to be cleaned, by digest. What a pass wrote
+is deleted when its spans and open rows are written.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from faultline.session import scratch_path, scratch_scope
@@ -44,13 +47,13 @@ PIECE = 1 << 20
 
 _PLACE = np.uint64((1 << 21) - 1)
 _BASE = 0x9E3779B97F4A7C15
-ROWS = "digest binary, place int, low int, high int, whole binary, digit binary"
+ROWS = "digest binary, place int, low int, high int, whole binary, digit bigint"
 FOUND = T.StructType([
     T.StructField("n_bytes", T.LongType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))),
     T.StructField("kept", T.BinaryType())])
 
-Row = tuple[int, int, int, bytes, bytes]
+Row = tuple[int, int, int, bytes, int]
 
 
 @lru_cache(maxsize=1)
@@ -101,39 +104,40 @@ def anchored(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> Iterator[tup
         yield from zip(place[starts].tolist(), (starts + first).tolist(), (ends + first).tolist())
 
 
+def _digit(raw: bytes, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63)
+
+
 def first_rows(raw: bytes, window: int = WINDOW) -> Iterator[Row]:
     """First digit: every run of a text, its distances to the gram, its own bytes and the gram."""
-    digest = xxhash.xxh3_128_digest
     for place, start, last in anchored(raw, window):
-        yield place, place - last, place - start, digest(raw[start:last + window]), digest(raw[place:place + GRAM])
+        yield place, place - last, place - start, xxhash.xxh3_128_digest(raw[start:last + window]), _digit(raw[place:place + GRAM])
 
 
 def step_rows(raw: bytes, place: int, low: int, high: int, window: int = WINDOW) -> Iterator[Row]:
     """Next digit: the steps of an open run, and the bytes that all windows of a step share."""
-    digest = xxhash.xxh3_128_digest
     for at in range(low // STEP * STEP, high + 1, STEP):
         a, b = max(low, at), min(high, at + STEP - 1)
         shared = raw[place - at:place - at - STEP + 1 + window]
-        yield place, a, b, digest(raw[place - b:place - a + window]), digest(shared, seed=at)
+        yield place, a, b, xxhash.xxh3_128_digest(raw[place - b:place - a + window]), _digit(shared, at)
 
 
 def last_rows(raw: bytes, place: int, low: int, high: int, window: int = WINDOW) -> Iterator[Row]:
     """Last digit: single windows."""
     for at in range(low, high + 1):
-        key = xxhash.xxh3_128_digest(raw[place - at:place - at + window])
-        yield place, at, at, key, key
+        yield place, at, at, xxhash.xxh3_128_digest(raw[place - at:place - at + window]), 0
 
 
 def _batch(digests: list[bytes], rows: list[Row]) -> pa.RecordBatch:
     place, low, high, whole, digit = zip(*rows)
     return pa.RecordBatch.from_arrays([
         pa.array(digests, pa.binary()), *(pa.array(c, pa.int32()) for c in (place, low, high)),
-        pa.array(whole, pa.binary()), pa.array(digit, pa.binary())],
+        pa.array(whole, pa.binary()), pa.array(digit, pa.int64())],
         names=["digest", "place", "low", "high", "whole", "digit"])
 
 
 def _cut(texts: DataFrame, rows_of: Callable[[bytes, list | None], Iterator[Row]], copies: int) -> DataFrame:
-    """Rows of texts (digest, text, and the open rows of the text if there is a third column).
+    """Rows of texts (digest, text, and the open rows of the text if there is a third column, text compressed then).
 
     A task cuts up so many copies of a text at most: whether something stands there once or
     more than once is all that counts.
@@ -148,7 +152,7 @@ def _cut(texts: DataFrame, rows_of: Callable[[bytes, list | None], Iterator[Row]
                 if met[digest] > copies:
                     continue
                 before = len(rows)
-                rows.extend(rows_of(text.encode(), own))
+                rows.extend(rows_of(text.encode() if own is None else zstandard.decompress(text), own))
                 digests.extend([digest] * (len(rows) - before))
                 if len(rows) > 100_000:
                     yield _batch(digests, rows)
@@ -159,6 +163,19 @@ def _cut(texts: DataFrame, rows_of: Callable[[bytes, list | None], Iterator[Row]
     return texts.mapInArrow(cut, ROWS)
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """The last column, a text, compressed; a null stays one."""
+    schema = T.StructType([*texts.schema.fields[:-1], T.StructField(texts.columns[-1], T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            made = [None if t is None else compress(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=schema.names)
+
+    return texts.mapInArrow(pack, schema)
+
+
 def _more_than_once(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") > 1).select(column)
 
@@ -179,32 +196,39 @@ def sorted_out(rows: DataFrame, window: int, last: bool) -> tuple[DataFrame, Dat
     place = ("digest", "place", "low", "high")
     beside = repeated.join(stage(partly.select("digit").distinct(), "suffix-open"), "digit", "left_semi")
     one = beside.groupBy("whole").agg(F.min(F.struct(*place)).alias("one")).select("one.*")
-    return _spans(repeated, window), stage(partly.select(*place).unionByName(one), "suffix-opened")
+    return _spans(repeated, window), partly.select(*place).unionByName(one)
 
 
 def _spans(rows: DataFrame, window: int) -> DataFrame:
     """Spans of the texts, each once; copies of a text have the same ones."""
-    return stage(rows.select(
+    return rows.select(
         "digest", (F.col("place") - F.col("high")).alias("first"),
-        (F.col("place") - F.col("low") + window).alias("end")).distinct(), "suffix-spans")
+        (F.col("place") - F.col("low") + window).alias("end")).distinct()
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """Of texts (digest, text; one row per document) the spans (digest, first, end) of windows that start twice or more."""
     if window < 2 * GRAM:
         raise ValueError(f"windows have at least {2 * GRAM} bytes")
+    spark = texts.sparkSession
     texts = texts.where(F.octet_length("text") >= window)
-    rows = stage(_cut(texts, lambda raw, _: first_rows(raw, window), 2), "suffix-runs")
-    spans, opened = sorted_out(rows, window, False)
-    for rows_of, last in ((step_rows, False), (last_rows, True)):
-        def finer(raw: bytes, own: list, rows_of=rows_of) -> Iterator[Row]:
-            for r in own:
-                yield from rows_of(raw, r["place"], r["low"], r["high"], window)
-
-        own = opened.groupBy("digest").agg(F.collect_list(F.struct("place", "low", "high")).alias("opened"))
-        rows = stage(_cut(texts.join(own, "digest").select("digest", "text", "opened"), finer, 1), "suffix-steps")
-        more, opened = sorted_out(rows, window, last)
-        spans = spans.unionByName(more)
+    spans, opened = None, None
+    for rows_of in (None, step_rows, last_rows):
+        found_path, open_path = scratch_path(spark, "suffix-spans"), scratch_path(spark, "suffix-opened")
+        with scratch_scope(spark):
+            if rows_of is None:
+                cut = _cut(texts, lambda raw, _: first_rows(raw, window), 2)
+            else:
+                def finer(raw: bytes, own: list, rows_of=rows_of) -> Iterator[Row]:
+                    for r in own:
+                        yield from rows_of(raw, r["place"], r["low"], r["high"], window)
+
+                own = opened.groupBy("digest").agg(F.collect_list(F.struct("place", "low", "high")).alias("opened"))
+                cut = _cut(_packed(texts).join(own, "digest").select("digest", "text", "opened"), finer, 1)
+            found, left = sorted_out(stage(cut, "suffix-rows"), window, rows_of is last_rows)
+            found = write_stage(found, found_path)
+            opened = left and write_stage(left, open_path)
+        spans = found if spans is None else spans.unionByName(found)
     return spans
 
 
@@ -226,37 +250,43 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     document, the same one included; where they overlap counts too. All occurrences go, as
     windows are judged on the input. Null and empty texts and those shorter than a window
     keep all. Columns of these names are replaced, others kept; repeated rows are documents
-    of their own, so a long text that stands twice goes whole.
+    of their own, so a long text that stands twice goes whole. The spans of all texts are
+    written to scratch at once; the texts are cleaned when the result is read.
     """
     spark = docs.sparkSession
     added = [f.name for f in FOUND]
     kept = [c for c in docs.columns if c not in added]
-    digest, content = F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))), F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    path = scratch_path(spark, "without-repeats")
+    others = [c for c in kept if c != text]
+    content = F.col(f"`{text}`").cast("string")
+    digest = F.unhex(F.md5(content.cast("binary")))
+    own_path = scratch_path(spark, "suffix-texts")
     with scratch_scope(spark):
         spans = repeated_spans(docs.select(digest.alias("digest"), content.alias("text")), window)
-        own = stage(spans.groupBy(F.col("digest").alias("__digest")).agg(F.collect_list(F.struct("first", "end")).alias("__spans")), "suffix-texts")
-        rows = docs.select(
-            digest.alias("__digest"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), content.alias("__text"))
-        return write_stage(_cleaned(rows.join(own, "__digest", "left"), kept), path)
+        own = write_stage(spans.groupBy(F.col("digest").alias("__digest")).agg(
+            F.collect_list(F.struct("first", "end")).alias("__spans")), own_path)
+    rows = _packed(docs.select(
+        digest.alias("__digest"), F.struct(F.lit(True).alias("__"), *(F.col(f"`{c}`") for c in others)).alias("__row"),
+        content.alias("__text")))
+    return _cleaned(rows.join(own, "__digest", "left"), text).select(*(F.col(f"`{c}`") for c in (*kept, *added)))
 
 
-def _cleaned(rows: DataFrame, kept: list[str]) -> DataFrame:
-    schema = T.StructType([*rows.schema["__row"].dataType.fields, *FOUND])
+def _cleaned(rows: DataFrame, text: str) -> DataFrame:
+    schema = T.StructType([*rows.schema["__row"].dataType.fields, T.StructField(text, T.StringType()), *FOUND])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, spans, left = [], [], []
-            for text, own in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()):
-                raw = text.encode()
+            texts, sizes, spans, left = [], [], [], []
+            for packed, own in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()):
+                raw = b"" if packed is None else zstandard.decompress(packed)
                 gone = merged([(s["first"], s["end"]) for s in own or ()])
                 edges = [0, *(x for span in gone for x in span), len(raw)]
+                texts.append(None if packed is None else raw.decode())
                 sizes.append(len(raw))
                 spans.append([{"first": a, "end": b} for a, b in gone])
                 left.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
             spans = pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.column("__row").flatten(), pa.array(sizes, pa.int64()), spans, pa.array(left, pa.binary())],
-                names=schema.names)
+                [*batch.column("__row").flatten(), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), spans,
+                 pa.array(left, pa.binary())], names=schema.names)
 
     return rows.select("__row", "__text", "__spans").mapInArrow(clean, schema)

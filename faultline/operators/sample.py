@@ -6,6 +6,10 @@ of the order find the prefix at which rank k falls, a few digits deeper each tim
 split is then a plain filter. Rows that are equal in every column share their place; they
 are interchangeable, so only their number matters.
 
+The input is read twice: once its key and class alone, whose places are written, and once
+whole, by the split. All counting is done on the written places. Only where rows of equal
+keys stand on both sides of a cutoff is their content read as well.
+
 The cutoffs are a table with a row per class, joined to the data by class: one way for any
 number of rows and classes, and the result does not depend on the partitioning.
 """
@@ -29,10 +33,14 @@ _RANK_ROWS = 100_000   # ranked rows per class and prefix, about
 Quota = Callable[[DataFrame], DataFrame]
 
 
+def _place(seed: int, key: str) -> Column:
+    """A row's place by its key: 32 hex digits."""
+    return F.rpad(F.coalesce(X.order_hash(key, seed), F.lit("")), _HASH_DIGITS, "0")
+
+
 def _order(df: DataFrame, seed: int, key: str, prefix: Column) -> Column:
     """As many digits of a row's place as ``prefix`` has; the content enters only where the hash is equal."""
-    place = F.coalesce(X.order_hash(key, seed), F.lit(""))
-    place = F.rpad(place, _HASH_DIGITS, "0")
+    place = _place(seed, key)
     deeper = (F.length(prefix) > _HASH_DIGITS) & (place == F.substring(prefix, 1, _HASH_DIGITS))
     return F.when(deeper, F.concat(place, X.row_fingerprint(df.columns))).otherwise(place)
 
@@ -77,15 +85,19 @@ def cutoffs(df: DataFrame, by: str, quota: Quota, seed: int = S.SEED, key: str =
     Rows whose place begins below ``at`` are first rows, and of the ``n`` rows that begin
     with it the first ``wanted``: all of them, unless they are equal rows.
     """
-    wanted = stage(quota(totals(df, by)).select("by", "n", F.col("wanted").cast("bigint").alias("wanted")), "sample-quota")
+    places = stage(df.select(F.col(by).alias("by"), _place(seed, key).alias("place")), "sample-places")
+    wanted = stage(quota(totals(places, "by")).select("by", "n", F.col("wanted").cast("bigint").alias("wanted")), "sample-quota")
     inside = (F.col("wanted") > 0) & (F.col("wanted") < F.col("n"))
     # "" is a prefix of every place: all rows of the class begin with it.
     clamped = F.least(F.greatest("wanted", F.lit(0)), F.col("n"))
     done = [wanted.where(~inside).select("by", F.lit("").alias("at"), clamped.alias("wanted"), "n")]
     pending = wanted.where(inside).select("by", F.lit("").alias("at"), "wanted")
-    keyed = df.select("*", F.col(by).alias("__by"))
     while not pending.isEmpty():
-        found = stage(_deeper(keyed, df, pending, seed, key), "sample-cutoffs")
+        found = _deeper(places, pending.where(F.length("at") < _HASH_DIGITS))
+        tied = pending.where(F.length("at") >= _HASH_DIGITS)
+        if not tied.isEmpty():
+            found = found.unionByName(_deeper(_tied(df, by, tied, seed, key), tied))
+        found = stage(found, "sample-cutoffs")
         closed = (F.col("wanted") == F.col("n")) | (F.length("at") >= 2 * _HASH_DIGITS)
         done.append(found.where(closed).select("by", "at", "wanted", "n"))
         pending = found.where(~closed).select("by", "at", "wanted")
@@ -95,15 +107,19 @@ def cutoffs(df: DataFrame, by: str, quota: Quota, seed: int = S.SEED, key: str =
     return stage(out, "sample-cutoffs")
 
 
-def _deeper(keyed: DataFrame, df: DataFrame, pending: DataFrame, seed: int, key: str) -> DataFrame:
+def _tied(df: DataFrame, by: str, pending: DataFrame, seed: int, key: str) -> DataFrame:
+    """The rows whose keys stand at a cutoff, with their content behind the place."""
+    at = pending.select(F.col("by").alias("__b"), F.col("at").alias("__at"))
+    rows = df.select("*", F.col(by).alias("__by")).join(
+        at, F.col("__by").eqNullSafe(F.col("__b")) & (_place(seed, key) == F.substring("__at", 1, _HASH_DIGITS)))
+    return rows.select(F.col("__b").alias("by"), F.concat(_place(seed, key), X.row_fingerprint(df.columns)).alias("place"))
+
+
+def _deeper(places: DataFrame, pending: DataFrame) -> DataFrame:
     """Per pending class the longer prefix that holds its rank: (by, at, wanted, n)."""
-    at = F.col("__at")
-    base = F.when(F.length(at) >= _HASH_DIGITS, F.rpad(at, _HASH_DIGITS + 1, "~")).otherwise(at)
-    pending = pending.select(F.col("by").alias("__b"), F.col("at").alias("__at"), F.col("wanted").alias("__wanted"))
-    rows = keyed.join(pending, F.col("__by").eqNullSafe(F.col("__b"))).select(
-        F.col("__b").alias("by"), at.alias("at"), F.col("__wanted").alias("wanted"), _order(df, seed, key, base).alias("place"))
-    rows = rows.where(F.col("place").startswith(F.col("at")))
-    counts = rows.groupBy("by", "at", "wanted", F.expr(f"left(place, length(at) + {_DIGITS})").alias("prefix")).agg(
+    pending = pending.select(F.col("by").alias("__b"), "at", "wanted")
+    rows = places.join(pending, F.col("by").eqNullSafe(F.col("__b")) & F.col("place").startswith(F.col("at")))
+    counts = rows.groupBy(F.col("__b").alias("by"), "at", "wanted", F.expr(f"left(place, length(at) + {_DIGITS})").alias("prefix")).agg(
         F.count(F.lit(1)).alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"))
     upto = W.partitionBy("by").orderBy("prefix")
     ranked = counts.withColumn("upto", F.sum("n").over(upto))

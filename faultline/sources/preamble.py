@@ -1,9 +1,10 @@
 """Sensor files: documentation lines, then a header line, then comma rows.
 
-A file is read once. Within a task Spark hands over the lines of a file in order, and the
-first split of a file starts with its first line; so a pass over the lines drops everything
-up to the header by position, whatever those lines hold. No file is opened by a job of its
-own, and no line is compared by value.
+Within a task Spark hands over the lines of a file in order, and the first split of a file
+starts with its first line; so a pass over the first splits drops everything up to the header
+by position, whatever those lines hold. Only first splits meet Python: the lines of later
+splits stay in the JVM, in a scan of their own. No file is opened by a job of its own, and no
+line is compared by value.
 """
 
 from __future__ import annotations
@@ -111,35 +112,33 @@ def _data_lines(lines: DataFrame, names: tuple[str, ...], skip_rows: int | None)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _FileState(names, skip_rows)
         for batch in batches:
-            paths, starts = batch.column("path"), batch.column("start")
+            paths = batch.column("path")
             at = 0
             while at < batch.num_rows:
-                path, start = paths[at].as_py(), starts[at].as_py()
+                path = paths[at].as_py()
                 end = at + 1
-                # The lines of a split are neighbours: find the end of the run by halving.
+                # The lines of a file are neighbours: find the end of the run by halving.
                 step = batch.num_rows - at
                 while step:
-                    if end + step <= batch.num_rows and paths[end + step - 1].as_py() == path and starts[end + step - 1].as_py() == start:
+                    if end + step <= batch.num_rows and paths[end + step - 1].as_py() == path:
                         end += step
                     else:
                         step //= 2
-                delimiter = None
-                if start == 0:
-                    if path != state.path:
-                        state.enter(path)
-                    if state.delimiter is None:
-                        at += state.rows_before_data(batch.column("value").slice(at, end - at).to_pylist())
-                    delimiter = state.delimiter
+                if path != state.path:
+                    state.enter(path)
+                if state.delimiter is None:
+                    at += state.rows_before_data(batch.column("value").slice(at, end - at).to_pylist())
                 if at < end:
                     yield pa.RecordBatch.from_arrays([
-                        batch.column("value").slice(at, end - at), pa.array([delimiter] * (end - at), pa.string())],
+                        batch.column("value").slice(at, end - at), pa.array([state.delimiter] * (end - at), pa.string())],
                         names=["value", "delimiter"])
                 at = end
         state.leave()
 
-    columns = lines.select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    return columns.mapInArrow(cut, "value string, delimiter string")
+    start = F.col("_metadata.file_block_start")
+    first = lines.where(start == 0).select("value", F.col("_metadata.file_path").alias("path"))
+    later = lines.where(start != 0).select("value", F.lit(None).cast("string").alias("delimiter"))
+    return first.mapInArrow(cut, "value string, delimiter string").unionByName(later)
 
 
 def _width(value: Column, delimiter: str) -> Column:

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.operators.clean import feature_columns
+from faultline.sources.tables import stage
 
 _ACCURACY = 10_000
 _LARGEST = sys.float_info.max
@@ -157,8 +158,16 @@ def _medians_by_bisection(df: DataFrame, brackets: Mapping[str, _Bracket]) -> di
 
 
 def median_impute(df: DataFrame, features: Sequence[str] | None = None, fit_on: DataFrame | None = None) -> DataFrame:
-    """Fill with medians of ``fit_on`` (the frame itself unless given)."""
-    return fit_medians(fit_on if fit_on is not None else df, features or feature_columns(df)).apply(df)
+    """Fill with medians of ``fit_on`` (the frame itself unless given).
+
+    The frame that is fitted on is written first: the fit passes over it several times, and
+    what made it runs once.
+    """
+    if fit_on is None:
+        df = fit_on = stage(df, "median-rows")
+    else:
+        fit_on = stage(fit_on.select(*(F.col(f"`{c}`") for c in features or feature_columns(df))), "median-rows")
+    return fit_medians(fit_on, features or feature_columns(df)).apply(df)
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str] | None = None) -> ScalerModel:

@@ -84,9 +84,9 @@ def risk_counts(predictions: DataFrame) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, key: str, count_name: str = "row_count", digits: int = 2) -> DataFrame:
-    """Rows per key and their share; the open window runs over grouped rows only."""
+    """Rows per key and their share of all rows, whose number is a scalar beside the groups."""
     counts = df.groupBy(key).agg(F.count("*").alias(count_name))
-    whole = F.sum(count_name).over(W.partitionBy())
+    whole = counts.agg(F.sum(count_name)).scalar()
     return counts.withColumn("percentage", X.percent(F.col(count_name), whole, digits))
 
 

@@ -10,8 +10,6 @@ from faultline import schema as S
 from faultline.operators import monitor
 from faultline.session import scratch_path, scratch_scope
 
-_LEDGER = "_ledger"
-
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """The whole table, batch partitions included."""
@@ -49,50 +47,24 @@ class Range:
     batch_id: str
 
 
-def read_ledger(spark: SparkSession, path: str) -> list[Range]:
-    """The id ranges that were handed out, in order; one small entry per batch."""
+def id_range(spark: SparkSession, path: str, batch_id: str, rows: int) -> Range:
+    """The ids of the next write of a batch: those it is stored under if it has as many rows, else new ones.
+
+    New ids start behind the largest stored one. One aggregate over the id column of the
+    stored table says all of that. Writers of one table take turns, or the table's format
+    sees to conflicts: two writers at once would get the same ids.
+    """
     from pyspark.errors import AnalysisException
 
     try:
-        entries = spark.read.text(f"{path}/{_LEDGER}", wholetext=True).collect()
+        stored = read_predictions(spark, path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return []
+            return Range(1, rows, batch_id)
         raise
-    # An entry that another writer is just writing may still be empty.
-    parts = [entry["value"].split("\n", 2) for entry in entries]
-    found = [Range(int(p[0]), int(p[1]), p[2]) for p in parts if len(p) == 3]
-    return sorted(found, key=lambda r: (r.first, r.rows))
-
-
-def reserve(spark: SparkSession, path: str, batch_id: str, rows: int) -> Range:
-    """The batch's id range: that of its last write if it had as many rows, else a new one.
-
-    A new range starts behind the last one. Its entry is a file named by the first id, made
-    only if there is no such file; of two writers at once one takes the next range. (Stores
-    without an exclusive create, such as plain object stores, need one writer at a time.)
-    """
-    from py4j.protocol import Py4JJavaError
-
-    context = spark.sparkContext
-    while True:
-        known = read_ledger(spark, path)
-        own = [r for r in known if r.batch_id == batch_id]
-        if own and own[-1].rows == rows:
-            return own[-1]
-        first = max((r.first + r.rows for r in known), default=1)
-        name = f"{first:020d}" if rows else f"{first:020d}-empty-{len(known)}"
-        entry = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{_LEDGER}/{name}")
-        system = entry.getFileSystem(context._jsc.hadoopConfiguration())
-        try:
-            out = system.create(entry, False)
-        except Py4JJavaError:
-            if system.exists(entry):
-                continue
-            raise
-        out.write(f"{first}\n{rows}\n{batch_id}".encode())
-        out.close()
-        return Range(first, rows, batch_id)
+    own = F.when(F.col("batch_id") == batch_id, F.col("prediction_id"))
+    last, first, count = stored.agg(F.max("prediction_id"), F.min(own), F.count(own)).first()
+    return Range(first if count and count == rows else (last or 0) + 1, rows, batch_id)
 
 
 @dataclass(frozen=True)
@@ -129,7 +101,7 @@ def store_batch(
         ).write.parquet(staged_path)
         staged = spark.read.parquet(staged_path)
         rows, cells = staged.agg(F.count(F.lit(1)), F.coalesce(F.sum("__filled"), F.lit(0))).collect()[0]
-        ids = reserve(spark, path, batch_id, rows)
+        ids = id_range(spark, path, batch_id, rows)
         stamp = created_at if created_at is not None else F.localtimestamp()
         numbered = dense_ids(staged.drop("__filled"), ids.first - 1)
         out = numbered.withColumn("created_at", stamp.cast("timestamp_ntz")).withColumn("batch_id", F.lit(batch_id))

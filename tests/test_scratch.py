@@ -74,17 +74,15 @@ def test_reruns_keep_their_ids(spark):
     assert tuple(moved) == (301, 350)
 
 
-def test_two_writers_take_different_ranges(spark, monkeypatch):
+def test_id_ranges_come_from_the_stored_table(spark):
     path = tempfile.mkdtemp(prefix="run-") + "/table"
-    first = predictions.reserve(spark, path, "a", 10)
-    real, calls = predictions.read_ledger, []
-
-    def late(*args):
-        calls.append(1)
-        return [] if len(calls) == 1 else real(*args)  # the first look misses the other writer
-
-    monkeypatch.setattr(predictions, "read_ledger", late)
-    assert predictions.reserve(spark, path, "b", 5).first == 11 and first.first == 1 and len(calls) == 2
+    assert predictions.id_range(spark, path, "a", 10) == predictions.Range(1, 10, "a")
+    rows = spark.range(30).selectExpr(
+        "1 as prediction", "'FAILURE' as prediction_label", "0.9 as failure_probability", "'HIGH' as risk_level")
+    for batch in ("a", "b"):
+        predictions.append_predictions(rows, path, batch)
+    first = {(b, n): predictions.id_range(spark, path, b, n).first for b in ("a", "b", "c") for n in (0, 30, 31)}
+    assert first == {(b, n): {("a", 30): 1, ("b", 30): 31}.get((b, n), 61) for b in ("a", "b", "c") for n in (0, 30, 31)}
 
 
 def test_a_stored_batch_is_checked(spark):

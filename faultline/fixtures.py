@@ -90,6 +90,17 @@ PREDICTIONS = [
 ]
 
 
+# Two sides of a drift comparison, by date of shipping.
+SIDES = [
+    ("earlier", "l_shipdate < CAST('1995-06-17' AS DATE)"),
+    ("quantity", "CAST(l_quantity AS DOUBLE)"), ("price", "CAST(l_extendedprice AS DOUBLE)"), ("tax", "CAST(l_tax AS DOUBLE)"),
+    ("moved", "CASE WHEN l_shipdate < CAST('1995-06-17' AS DATE) THEN l_extendedprice ELSE l_extendedprice * 1.5 END"),
+    ("thinned", "CASE WHEN l_shipdate >= CAST('1995-06-17' AS DATE) AND l_partkey % 3 = 0 THEN NULL ELSE l_discount END"),
+    ("constant", "CAST(7 AS DOUBLE)"), ("empty", "CAST(NULL AS DOUBLE)"),
+]
+DRIFT_FEATURES = tuple(name for name, _ in SIDES[1:])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,6 +120,10 @@ def sensor_raw(spark: SparkSession, sf_dir: str, key: bool = False, wide: bool =
     return _project(table(spark, sf_dir, "lineitem"), pairs)
 
 
+def sensor_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(table(spark, sf_dir, "lineitem"), SIDES)
+
+
 def sensor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide sensors as a stream over the table's files."""
     schema = table(spark, sf_dir, "lineitem").schema

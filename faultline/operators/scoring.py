@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline import schema as S
 from faultline.functions import expressions as X
+from faultline.operators import boosting
+from faultline.operators.boosting import BoostedTrees
 from faultline.operators.clean import feature_columns
 from faultline.session import ensure_checkpoint_dir
 
@@ -158,16 +160,37 @@ def train_boosted_weighted(
     return train_boosted(df, features, label, params, weighted=True)
 
 
-def model_features(model: PipelineModel) -> list[str]:
+def train_second_order(
+    df: DataFrame, features: Sequence[str], label: str = "label", params: boosting.Params = boosting.Params(), weighted: bool = False,
+    key: str | None = None,
+) -> BoostedTrees:
+    """Boosted trees on gradient and hessian sums, with every penalty of the reference's settings."""
+    weight = fit_class_weights(df, label).scaled(label) if weighted else None
+    return boosting.fit(df, features, label, params, weight, key)
+
+
+def train_second_order_weighted(
+    df: DataFrame, features: Sequence[str], label: str = "label", params: boosting.Params = boosting.WEIGHTED, key: str | None = None,
+) -> BoostedTrees:
+    return train_second_order(df, features, label, params, weighted=True, key=key)
+
+
+def model_features(model: PipelineModel | BoostedTrees) -> list[str]:
     """Feature order of a fitted model, read from its assembler."""
+    if isinstance(model, BoostedTrees):
+        return list(model.features)
     for stage in getattr(model, "stages", []):
         if isinstance(stage, VectorAssembler):
             return stage.getInputCols()
     raise ValueError("the model has no feature order: no VectorAssembler among its stages")
 
 
-def score(model: PipelineModel, df: DataFrame, threshold: float = S.CLASS_CUTOFF) -> DataFrame:
+def score(model: PipelineModel | BoostedTrees, df: DataFrame, threshold: float = S.CLASS_CUTOFF) -> DataFrame:
     """Input columns plus ``failure_probability`` and the class ``prediction``."""
+    if isinstance(model, BoostedTrees):
+        kept = [F.col(f"`{c}`") for c in df.columns if c not in ("prediction", "failure_probability")]
+        return df.select(*kept, model.probability().alias("failure_probability")).withColumn(
+            "prediction", X.threshold_label("failure_probability", threshold))
     inner = ("features", "scaled", "rawPrediction", "probability", "prediction")
     clash = [c for c in inner if c in df.columns]
     scored = model.transform(df.drop(*clash))

@@ -112,3 +112,60 @@ def shapley_by_subsets(explained: DataFrame, model: PipelineModel, features: Seq
             yield pd.DataFrame({"distance": np.max(gaps, axis=0)})
 
     return explained.mapInPandas(compare, "distance double")
+
+
+def stored_trees(spark: SparkSession, path: str) -> list[dict[int, dict]]:
+    """Node rows by tree of a stored second-order model."""
+    out: dict[int, dict[int, dict]] = {}
+    for r in spark.read.parquet(f"{path}/nodes").collect():
+        out.setdefault(r["tree"], {})[r["node"]] = r.asDict()
+    return [out[t] for t in sorted(out)]
+
+
+def _reached(nodes: dict[int, dict], x: np.ndarray) -> np.ndarray:
+    """The leaf of each row."""
+    at = np.zeros(len(x), int)
+    for node in sorted(nodes):
+        if nodes[node]["left"] >= 0:
+            here = at == node
+            low = x[:, nodes[node]["feature"]] <= nodes[node]["cut"]
+            at[here & low], at[here & ~low] = nodes[node]["left"], nodes[node]["right"]
+    return at
+
+
+def second_order_margins(df: DataFrame, trees: list[dict[int, dict]], features: Sequence[str], after: Sequence[int]) -> DataFrame:
+    """Add ``margins``: each row's log-odds after so many trees, from walking them."""
+    names, wanted = list(features), list(after)
+
+    @F.pandas_udf("array<double>")
+    def walked(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in columns])
+        total, out = np.zeros(len(x)), []
+        for t in range(max(wanted) + 1):
+            if t in wanted:
+                out.append(total.copy())
+            if t < len(trees):
+                total = total + _walk(trees[t], 0, x, None)
+        return pd.Series(list(np.column_stack(out)))
+
+    return df.withColumn("margins", walked(*(F.col(f).cast("double") for f in names)))
+
+
+def second_order_leaves(train: DataFrame, trees: list[dict[int, dict]], features: Sequence[str], weight: Column) -> DataFrame:
+    """Sums of gradient and hessian by tree and leaf: (tree, leaf, g, h)."""
+    names = list(features)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y, w = batch[names].to_numpy(float), batch["label"].to_numpy(float), batch["w"].to_numpy(float)
+            total = np.zeros(len(x))
+            for t, nodes in enumerate(trees):
+                p = 1 / (1 + np.exp(-total))
+                leaf = _reached(nodes, x)
+                yield pd.DataFrame({"tree": t, "leaf": leaf, "g": w * (p - y), "h": w * p * (1 - p)}).groupby(
+                    ["tree", "leaf"], as_index=False).sum()
+                total = total + _walk(nodes, 0, x, None)
+
+    rows = train.select(*(F.col(f).cast("double").alias(f) for f in names), F.col("label").cast("double"), weight.alias("w"))
+    return rows.mapInPandas(sums, "tree int, leaf int, g double, h double").groupBy("tree", "leaf").agg(
+        F.sum("g").alias("g"), F.sum("h").alias("h"))

@@ -437,6 +437,10 @@ ORACLES: dict[str, str] = {
     "train_logreg_balanced": _LOGREG,
     "train_boosted": _BOOSTED,
     "train_boosted_weighted": _BOOSTED,
+    "train_second_order_weighted": """SELECT count(*) AS row_count, count(*) AS equal_scores, TRUE AS loss_falls,
+        CAST(300 AS BIGINT) AS trees, TRUE AS depth_kept FROM lineitem""",
+    "second_order_leaves": """SELECT CAST(3 AS BIGINT) AS trees, TRUE AS leaves_at_minimum, TRUE AS covers_equal,
+        TRUE AS children_weigh_enough, TRUE AS trees_grew""",
     "training_route": f"""SELECT test AS test_rows, CAST(17 AS BIGINT) AS thresholds, CAST(1 AS BIGINT) AS chosen,
         CAST(0 AS BIGINT) AS better_ones FROM {_PARTS} n""",
     "score_proba": f"SELECT row_key, TRUE AS follows_formula FROM ({RAW_KEYED}) r",
@@ -472,4 +476,52 @@ ORACLES: dict[str, str] = {
     "explain_row": f"""WITH top AS ({TOP_LINE}), e AS ({EXPLAINED})
         SELECT feature, feature_value, round(phi, 9) AS shap_value, round(abs(phi), 9) AS absolute_shap,
         CAST(row_number() OVER (ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank, round(p, 9) AS risk_probability FROM e""",
+    "drift_scores": f"""WITH t AS ({fixtures.as_sql(fixtures.SIDES, "lineitem")}),
+        long AS ({_unions(f"SELECT earlier, '{f}' AS f, CAST({f} AS DOUBLE) AS v FROM t" for f in fixtures.DRIFT_FEATURES)}),
+        ranks AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS rn, count(*) OVER (PARTITION BY f) AS n,
+            max(v) OVER (PARTITION BY f) AS m FROM long WHERE earlier AND v IS NOT NULL),
+        cuts AS (SELECT DISTINCT f, v FROM ranks, range(1, 20) i(i) WHERE rn = CAST(ceil(i / 20.0::DOUBLE * n) AS BIGINT) AND v < m),
+        names AS (SELECT DISTINCT f FROM long),
+        edges AS (SELECT names.f, coalesce(list(v ORDER BY v) FILTER (v IS NOT NULL), []) AS es FROM names LEFT JOIN cuts ON cuts.f = names.f GROUP BY 1),
+        placed AS (SELECT long.f, earlier, CASE WHEN v IS NULL THEN -1 ELSE len(list_filter(es, lambda e: e < v)) END AS bucket
+            FROM long JOIN edges ON edges.f = long.f),
+        counts AS (SELECT f, bucket, count(*) FILTER (earlier) AS a, count(*) FILTER (NOT earlier) AS b FROM placed GROUP BY f, bucket),
+        grid AS (SELECT f, len(es) + 2 AS k, unnest(range(-1, len(es) + 1)) AS bucket FROM edges),
+        filled AS (SELECT g.f, g.k, g.bucket, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM grid g LEFT JOIN counts c ON c.f = g.f AND c.bucket = g.bucket),
+        sums AS (SELECT *, sum(a) OVER (PARTITION BY f) AS a_all, sum(b) OVER (PARTITION BY f) AS b_all,
+            sum(a) FILTER (bucket >= 0) OVER (PARTITION BY f) AS a_p, sum(b) FILTER (bucket >= 0) OVER (PARTITION BY f) AS b_p,
+            coalesce(sum(a) FILTER (bucket >= 0) OVER (PARTITION BY f ORDER BY bucket), 0) AS a_u,
+            coalesce(sum(b) FILTER (bucket >= 0) OVER (PARTITION BY f ORDER BY bucket), 0) AS b_u FROM filled),
+        shares AS (SELECT *, (a + 0.5::DOUBLE) / (a_all + 0.5::DOUBLE * k) AS x, (b + 0.5::DOUBLE) / (b_all + 0.5::DOUBLE * k) AS y FROM sums),
+        done AS (SELECT f AS feature, sum((y - x) * ln(y / x)) AS psi,
+            max(abs(a_u / nullif(CAST(a_p AS DOUBLE), 0) - b_u / nullif(CAST(b_p AS DOUBLE), 0))) AS max_distance,
+            CAST(max(a_all) AS BIGINT) AS reference_rows, CAST(max(b_all) AS BIGINT) AS current_rows,
+            CAST(max(a_all) - max(a_p) AS BIGINT) AS reference_missing, CAST(max(b_all) - max(b_p) AS BIGINT) AS current_missing
+            FROM shares GROUP BY f)
+        SELECT feature, round(psi, 9) AS psi, round(max_distance, 9) AS max_distance, reference_rows, current_rows, reference_missing,
+            current_missing, CASE WHEN psi >= 0.25 THEN 'shifted' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS level FROM done""",
+    "late_label_performance": f"""WITH p AS ({PREDICTIONS}),
+        l AS (SELECT event_id, ts + to_hours(CAST(event_id % 72 AS INTEGER)) AS labelled_at, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y
+            FROM events WHERE event_id % 5 <> 0),
+        j AS (SELECT p.created_at, p.failure_probability AS q, p.prediction AS g, l.y FROM p LEFT JOIN l
+            ON l.event_id = p.prediction_id - 1 AND labelled_at >= created_at AND labelled_at <= created_at + INTERVAL 2 DAY),
+        c AS (SELECT date_trunc('day', created_at) AS d, count(*) AS n, count(y) AS known, count(*) FILTER (g = 1 AND y = 1) AS tp,
+            count(*) FILTER (g = 1 AND y = 0) AS fp, count(*) FILTER (g = 0 AND y = 1) AS fn, count(*) FILTER (g = 0 AND y = 0) AS tn,
+            avg((q - y) * (q - y)) AS brier FROM j GROUP BY 1)
+        SELECT CAST(d AS TIMESTAMP) AS period_start, CAST(d AS TIMESTAMP) + INTERVAL 1 DAY AS period_end, n AS predictions, known AS labelled,
+            n - known AS unlabelled, tp AS true_positives, fp AS false_positives, fn AS false_negatives, tn AS true_negatives,
+            round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 9) AS "precision", round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 9) AS recall,
+            round(brier, 9) AS brier FROM c""",
+    "alert_episodes": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS machine, ts AS seen_at, max(value / 150.0) AS p, count(*) AS n FROM events GROUP BY ALL),
+        s AS (SELECT *, coalesce(last_value(CASE WHEN p >= 0.7 THEN 1 WHEN p < 0.5 THEN 0 END IGNORE NULLS) OVER (
+            PARTITION BY machine ORDER BY seen_at ROWS UNBOUNDED PRECEDING), 0) AS st FROM r),
+        t AS (SELECT *, coalesce(lag(st) OVER (PARTITION BY machine ORDER BY seen_at), 0) AS earlier FROM s),
+        o AS (SELECT *, last_value(CASE WHEN st = 1 AND earlier = 0 THEN seen_at END IGNORE NULLS) OVER (
+            PARTITION BY machine ORDER BY seen_at ROWS UNBOUNDED PRECEDING) AS stretch FROM t),
+        k AS (SELECT machine, stretch, max(p) FILTER (st = 1) AS peak, sum(n) FILTER (st = 1) AS n, min(seen_at) FILTER (st = 0 AND earlier = 1) AS closed
+            FROM o WHERE st = 1 OR earlier = 1 GROUP BY machine, stretch),
+        f AS (SELECT *, CASE WHEN stretch <= lag(closed) OVER (PARTITION BY machine ORDER BY stretch) + INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM k),
+        e AS (SELECT *, sum(fresh) OVER (PARTITION BY machine ORDER BY stretch) AS episode FROM f)
+        SELECT machine, CAST(min(stretch) AS TIMESTAMP) AS opened_at, CAST((list(closed ORDER BY stretch))[count(*)] AS TIMESTAMP) AS closed_at,
+            round(max(peak), 9) AS peak, CAST(sum(n) AS BIGINT) AS rows, count(*) - 1 AS reopened FROM e GROUP BY machine, episode""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -9,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline import fixtures, schema as S
 from faultline.functions import expressions as X
-from faultline.operators import clean, evaluate, explain, impute, monitor, profile, sample, scoring
+from faultline.operators import boosting, clean, drift, evaluate, explain, impute, monitor, profile, sample, scoring
 from faultline.plans import checks, models as model_plans, preprocess as preprocess_plan, warehouse
 from faultline.session import scratch_path
-from faultline.streaming import scoring as stream_scoring
+from faultline.streaming import alerts, performance, scoring as stream_scoring
 from faultline.sources import models as model_store, predictions as store, preamble, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -568,6 +569,38 @@ def prediction_trends(spark, sf):
     return monitor.prediction_trends(_predictions(spark, sf))
 
 
+@query
+def drift_scores(spark, sf):
+    """Lines shipped after a date against those before it; one feature is moved, one thinned out, one constant."""
+    lines = fixtures.sensor_sides(spark, sf)
+    reference = drift.fit_reference(lines.where("earlier"), fixtures.DRIFT_FEATURES, accuracy=10_000_000)
+    path = scratch_path(spark, "drift-reference")
+    drift.save_reference(reference, path)
+    found = drift.drift(drift.load_reference(spark, path), lines.where("NOT earlier"))
+    return _rounded(found, 9, "psi", "max_distance")
+
+
+@query
+def late_label_performance(spark, sf):
+    """Measures per day of prediction where labels come up to 71 hours later, or never; two days are waited for."""
+    events = fixtures.table(spark, sf, "events")
+    labels = events.where("event_id % 5 <> 0").select(
+        F.col("event_id").cast("string").alias(S.ROW_KEY), F.expr("ts + make_interval(0, 0, 0, 0, CAST(event_id % 72 AS INT))").alias("labelled_at"),
+        F.expr("CASE WHEN event_type = 'error' THEN 1 ELSE 0 END").alias("label"))
+    made = _predictions(spark, sf).withColumn(S.ROW_KEY, (F.col("prediction_id") - 1).cast("string"))
+    found = performance.performance(performance.with_late_labels(made, labels))
+    return _rounded(found, 9, "precision", "recall", "brier")
+
+
+@query
+def alert_episodes(spark, sf):
+    """Alert episodes of each user's events, with hysteresis and a cool-down of a day."""
+    events = fixtures.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias(S.ROW_KEY), F.col("ts").alias("created_at"), (F.col("value") / 150.0).alias(_P))
+    found = alerts.episodes(events, cool_down=86_400)
+    return _rounded(found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened_at", "closed_at")}), 9, "peak")
+
+
 @query
 def share_of_total(spark, sf):
     return monitor.share_of_total(fixtures.table(spark, sf, "events"), "event_type")
@@ -601,6 +634,7 @@ _MODELS: dict[tuple[str, str, str], str] = {}
 _TRAINERS = {
     "logreg": scoring.train_logreg, "logreg_balanced": scoring.train_logreg_balanced,
     "boosted": scoring.train_boosted, "boosted_weighted": scoring.train_boosted_weighted,
+    "second_order_weighted": scoring.train_second_order_weighted,
 }
 
 
@@ -699,6 +733,51 @@ def train_boosted(spark, sf):
     return _boosted_facts(spark, sf, "boosted", scoring.BoostParams())
 
 
+@query
+def train_second_order_weighted(spark, sf):
+    """All rounds and penalties of the reference's settings: scores follow from the stored nodes, and the loss falls."""
+    model = _train(spark, sf, "second_order_weighted")
+    trees = checks.stored_trees(spark, _saved(spark, sf, "second_order_weighted"))
+    params = boosting.WEIGHTED
+    after = [0, *(params.rounds * k // 3 for k in (1, 2, 3))]
+    train = _split(spark, sf).filter("split = 'train'")
+    weight = scoring.fit_class_weights(train).scaled()
+    scored = checks.second_order_margins(scoring.score(model, _split(spark, sf)), trees, MODEL_FEATURES, after)
+    signed = [F.when(F.col("label") == 1, -F.col("margins")[k]).otherwise(F.col("margins")[k]) for k in range(4)]
+    losses = [F.sum(F.when(F.col("split") == "train", weight * F.log1p(F.exp(m)))) for m in signed]
+    follows = F.abs(F.col(_P) - 1 / (1 + F.exp(-F.col("margins")[3]))) < 1e-9
+    row = scored.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(follows).alias("equal_scores"),
+        ((losses[0] > losses[1]) & (losses[1] > losses[2]) & (losses[2] > losses[3])).alias("loss_falls"))
+    depth = max((_depth(t, 0) for t in trees), default=0)
+    return row.withColumn("trees", F.lit(len(trees)).cast("bigint")).withColumn("depth_kept", F.lit(depth <= params.depth))
+
+
+def _depth(nodes: dict[int, dict], at: int) -> int:
+    node = nodes[at]
+    return 0 if node["left"] < 0 else 1 + max(_depth(nodes, node["left"]), _depth(nodes, node["right"]))
+
+
+@query
+def second_order_leaves(spark, sf):
+    """Three trees over all rows and features: every leaf is the minimum of the penalised loss over its rows."""
+    train = _split(spark, sf).filter("split = 'train'")
+    params = dataclasses.replace(boosting.WEIGHTED, rounds=3, row_share=1.0, feature_share=1.0)
+    model = scoring.train_second_order_weighted(train, list(MODEL_FEATURES), params=params, key=S.ROW_KEY)
+    path = scratch_path(spark, "second-order")
+    model_store.save_model(model, path)
+    weight = scoring.fit_class_weights(train).scaled()
+    sums = checks.second_order_leaves(train, checks.stored_trees(spark, path), MODEL_FEATURES, weight)
+    nodes = spark.read.parquet(f"{path}/nodes").where("left < 0")
+    shrunk = F.signum("g") * F.greatest(F.abs("g") - params.alpha, F.lit(0.0))
+    best = -params.step * shrunk / (F.col("h") + params.lambda_)
+    both = nodes.join(sums.withColumnRenamed("leaf", "node"), ["tree", "node"], "left")
+    return both.agg(
+        F.countDistinct("tree").alias("trees"), F.bool_and(F.abs(F.col("value") - best) < 1e-9).alias("leaves_at_minimum"),
+        F.bool_and(F.abs(F.col("cover") - F.col("h")) < 1e-6).alias("covers_equal"),
+        (F.min("cover") >= params.child_weight).alias("children_weigh_enough"), (F.count(F.lit(1)) > 6).alias("trees_grew"))
+
+
 @query
 def training_route(spark, sf):
     """Split, train, score, measure, sweep, choose: the chosen threshold is the best of its own sweep."""

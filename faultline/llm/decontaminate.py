@@ -1,28 +1,32 @@
 """Benchmark decontamination: test windows in a broadcast hash set, scanned over training texts.
 
-The benchmark is the side with a proven bound: its items are counted and measured before
-anything is collected. Beyond ``INDEX_CHARS`` characters the items are split by hash into
-slices that each keep the bound, the texts are scanned once per slice, and the hits are
-merged per document, so a larger benchmark changes the cost and never the result.
-
-Texts stay where they are: no document is shuffled. A window is found by its hash and then
-compared word by word, so a hash collision adds nothing.
+The benchmark is the side with a bound: its characters are counted before anything is
+collected. Up to ``INDEX_CHARS`` of them are broadcast as one buffer of words; a worker keeps
+the windows as sorted 64-bit hashes with places in that buffer, at most some 60 bytes a word
+while it sorts them, so under 130 MB for a slice of one-letter words. Beyond the bound the items
+are dealt by hash into slices. Each slice is a scan and a job of its own, and its broadcast goes
+when the job has ended, so a larger benchmark costs time and no memory.
+
+Texts stay where they are for one slice. For several the rows are written once with a number,
+the slices' hits are merged by it, and texts move only if the hits are too many to broadcast.
+A window is found by its hash and then compared word by word, so a collision adds nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from faultline.sources.tables import stage
+
 WINDOW = 10
-INDEX_CHARS = 32_000_000
+INDEX_CHARS = 4_000_000
 
 #: Fixed value of the contract: what a word is, once A-Z are lower-cased. On UTF-8 bytes, of
 #: which ``lower`` changes A-Z only, it finds the same words as on characters.
@@ -39,58 +43,81 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
-def _mixed(ids: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``width`` ids."""
-    size = len(ids) - width + 1
+def _hashes(found: list[bytes]) -> np.ndarray:
+    """Hashes of words, the same within one process only."""
+    return np.fromiter(map(hash, found), np.int64, len(found)).view(np.uint64)
+
+
+def _mixed(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``width`` words."""
+    size = len(hashes) - width + 1
     out = np.zeros(size, np.uint64)
     for k in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k:k + size]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + size]
         out ^= out >> np.uint64(29)
     return out
 
 
-@dataclass
 class Index:
-    """The windows of a bounded set of items, by width."""
+    """The windows of a bounded set of items. What travels is the words; hashes are made where they are used."""
 
-    vocabulary: dict[bytes, int]
-    hashes: dict[int, np.ndarray]
-    windows: dict[int, dict[tuple[int, ...], list[str]]]
+    def __init__(self, items: list[tuple[str, str]], width: int):
+        self.width = width
+        self.items = [item for item, _ in items]
+        found = [words(text) for _, text in items]
+        self.first = np.cumsum([0, *map(len, found)])
+        flat = [w for own in found for w in own]
+        self.buffer = b" ".join(flat)
+        self.ends = np.cumsum([len(w) + 1 for w in flat], dtype=np.int64) - 1
 
     @classmethod
     def of(cls, items: list[tuple[str, str]], width: int) -> "Index":
-        vocabulary: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], list[str]]] = {}
-        for item, text in items:
-            ids = tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text))
-            size = min(width, len(ids))
-            for window in {ids[i:i + size] for i in range(len(ids) - size + 1)} if ids else ():
-                windows.setdefault(size, {}).setdefault(window, []).append(item)
-        hashes = {
-            size: np.unique(_mixed(np.array(list(found), np.uint64).ravel(), size)[::size])
-            for size, found in windows.items()}
-        return cls(vocabulary, hashes, windows)
+        return cls(items, width)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "windows"}
+
+    def words(self, place: int, width: int) -> list[bytes]:
+        start = int(self.ends[place - 1]) + 1 if place else 0
+        return self.buffer[start:int(self.ends[place + width - 1])].split(b" ")
+
+    @cached_property
+    def windows(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By width the sorted hashes of the windows and the place of each in the words."""
+        hashes = _hashes(self.buffer.split(b" ")) if len(self.ends) else np.zeros(0, np.uint64)
+        sizes = np.minimum(np.diff(self.first), self.width)
+        out = {}
+        for width in np.unique(sizes[sizes > 0]).tolist():
+            inside = np.zeros(len(hashes) - width + 1, bool)
+            for item in np.flatnonzero(sizes == width):
+                inside[self.first[item]:self.first[item + 1] - width + 1] = True
+            places = np.flatnonzero(inside)
+            mixed = _mixed(hashes, width)[places]
+            order = np.argsort(mixed, kind="stable")
+            out[width] = mixed[order], places[order]
+        return out
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Words of a text, the merged runs of hit words (first, last), the items that occur."""
-        found_words = words(text)
-        total = len(found_words)
-        known = self.vocabulary.get
-        ids = np.array([known(w, 0) for w in found_words], np.uint64)
+        found = words(text)
+        total = len(found)
         hit, items = [], set()
-        if ids.any():
-            for width, wanted in self.hashes.items():
-                if width > total:
-                    continue
-                hashes = _mixed(ids, width)
-                at = np.searchsorted(wanted, hashes)
-                at[at == len(wanted)] = 0
-                windows = self.windows[width]
-                for start in np.flatnonzero(wanted[at] == hashes).tolist():
-                    owners = windows.get(tuple(ids[start:start + width].tolist()))
-                    if owners:
-                        hit.append((start, start + width - 1))
-                        items.update(owners)
+        hashes = _hashes(found) if total else None
+        for width, (wanted, places) in self.windows.items():
+            if width > total:
+                continue
+            mixed = _mixed(hashes, width)
+            at = np.searchsorted(wanted, mixed)
+            at[at == len(wanted)] = 0
+            for start in np.flatnonzero(wanted[at] == mixed).tolist():
+                window, k, met = found[start:start + width], int(at[start]), False
+                while k < len(wanted) and wanted[k] == mixed[start]:
+                    if self.words(int(places[k]), width) == window:
+                        met = True
+                        items.add(self.items[int(np.searchsorted(self.first, places[k], side="right")) - 1])
+                    k += 1
+                if met:
+                    hit.append((start, start + width - 1))
         return total, merged(hit), items
 
 
@@ -105,15 +132,19 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str]]]:
-    """The items in slices of at most about ``INDEX_CHARS`` characters; the size is measured first."""
+def _slices(benchmark: DataFrame, item: str, text: str) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many slices of at most about ``INDEX_CHARS`` characters there are, and the items of each."""
     items = benchmark.select(
         F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     count = max(1, math.ceil(chars / INDEX_CHARS))
-    for k in range(count):
-        part = items if count == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
+
+    def parts() -> Iterator[list[tuple[str, str]]]:
+        for k in range(count):
+            part = items if count == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
+            yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
+
+    return count, parts()
 
 
 def with_hits(
@@ -128,19 +159,29 @@ def with_hits(
     with the same id count once. Columns of these names are replaced, others kept.
     """
     kept = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    frame = docs.select(*kept)
-    names = []
-    for k, items in enumerate(_slices(benchmark, item, item_text)):
-        spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast(Index.of(items, width))
-        names.append(f"_scan{k}")
-        frame = frame.withColumn(names[-1], _scanner(shared)(F.col(text)))
-    runs = F.flatten(F.array(*(F.col(f"{n}.hits") for n in names)))
-    if len(names) > 1:
-        runs = _merge(runs)
-    return frame.select(
-        *kept, F.col(f"{names[0]}.n_words").alias("n_words"), runs.alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"{n}.items") for n in names))))).alias("items"))
+    names = [F.col(f"`{c}`") for c in kept]
+    context = docs.sparkSession.sparkContext
+    count, slices = _slices(benchmark, item, item_text)
+    if count == 1:
+        shared = context.broadcast(Index(next(slices), width))
+        return docs.select(*names, _scanner(shared)(F.col(f"`{text}`")).alias("__scan")).select(
+            *names, F.col("__scan.n_words").alias("n_words"), F.col("__scan.hits").alias("hits"), F.col("__scan.items").alias("items"))
+    rows = stage(docs.select(*names, F.monotonically_increasing_id().alias("__id")), "scanned-rows")
+    found = None
+    for items in slices:
+        shared = context.broadcast(Index(items, width))
+        part = rows.select("__id", _scanner(shared)(F.col(f"`{text}`")).alias("__scan"))
+        part = stage(part.where(F.size("__scan.hits") > 0).select("__id", "__scan.hits", "__scan.items"), "scanned-slice")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("__id").agg(
+        F.flatten(F.collect_list("hits")).alias("__hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
+    nothing = _scanner(context.broadcast(Index([], width)))
+    whole = rows.select("*", nothing(F.col(f"`{text}`")).alias("__scan")).join(stage(found, "scanned-hits"), "__id", "left")
+    return whole.select(
+        *names, F.col("__scan.n_words").alias("n_words"), _merge(F.coalesce("__hits", F.col("__scan.hits"))).alias("hits"),
+        F.coalesce("__items", F.col("__scan.items")).alias("items"))
 
 
 def _scanner(shared):
@@ -202,8 +243,3 @@ def without_runs(text: str | None, runs: list[tuple[int, int]]) -> str | None:
 def items_digest(items: str = "items") -> Column:
     """Lower-case hex SHA-256 of the comma-joined item ids."""
     return F.sha2(F.array_join(F.col(items), ",").cast("binary"), 256)
-
-
-def digest_of(items: list[str]) -> str:
-    """The same in Python, for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

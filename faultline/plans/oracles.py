@@ -466,6 +466,12 @@ ORACLES: dict[str, str] = {
         SELECT mm.model, {", ".join(f'round(mm."{m}", 4) AS "{m}"' for m in _SIX[:5])},
         {", ".join(f'round((mm."{m}" - b."{m}") * 100, 2) AS {m}_points' for m in _SIX[:5])},
         mm.f1 = (SELECT max(f1) FROM mm) AS is_best FROM mm CROSS JOIN b""",
+    "benchmark_models": f"""WITH {_metrics(TWO_MODELS)},
+        v AS (SELECT model, 'roc_auc' AS measure, roc_auc AS v FROM mm UNION ALL SELECT model, 'average_precision', average_precision FROM mm),
+        d AS (SELECT model, measure, 'value' AS kind, v AS e FROM v
+            UNION ALL SELECT c.model, c.measure, 'difference', c.v - b.v FROM v c JOIN v b ON b.measure = c.measure AND b.model = 'baseline'
+            WHERE c.model = 'challenger')
+        SELECT model, measure, kind, round(e, 9) AS estimate, TRUE AS inside, TRUE AS spread, CAST(200 AS BIGINT) AS replicates FROM d""",
     # Explanation tables on given contributions
     "shap_importance": f"SELECT feature, round(v, 9) AS mean_absolute_shap FROM ({IMPORTANCE}) i",
     "shap_importance_ranked": f"SELECT feature, round(v, 9) AS mean_abs_shap, rank FROM ({_RANKED}) k",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline import fixtures, schema as S
 from faultline.functions import expressions as X
-from faultline.operators import boosting, clean, drift, evaluate, explain, impute, monitor, profile, sample, scoring
+from faultline.operators import benchmark, boosting, clean, drift, evaluate, explain, impute, monitor, profile, sample, scoring
 from faultline.plans import checks, models as model_plans, preprocess as preprocess_plan, warehouse
 from faultline.session import scratch_path
 from faultline.streaming import alerts, performance, scoring as stream_scoring
@@ -949,6 +949,17 @@ def model_comparison(spark, sf):
     return evaluate.model_comparison(evaluate.long_metrics(metrics, ["model"]), "baseline")
 
 
+@query
+def benchmark_models(spark, sf):
+    """Two scores of the same events: exact areas and differences, and whether the bootstrap's interval holds them."""
+    events = _predictions(spark, sf).withColumnRenamed(_P, "baseline")
+    other = F.when(F.col("label") == 1, 1 - (1 - F.col("baseline")) / 2).otherwise(F.col("baseline"))
+    found = benchmark.benchmark(events.withColumn("challenger", other), ["baseline", "challenger"])
+    return found.select(
+        "model", "measure", "kind", F.round("estimate", 9).alias("estimate"),
+        F.col("estimate").between(F.col("low"), F.col("high")).alias("inside"), (F.col("low") < F.col("high")).alias("spread"), "replicates")
+
+
 # Explanation
 
 def _stand_in(spark, sf) -> DataFrame:

@@ -99,6 +99,7 @@ SIDES = [
     ("constant", "CAST(7 AS DOUBLE)"), ("empty", "CAST(NULL AS DOUBLE)"),
 ]
 DRIFT_FEATURES = tuple(name for name, _ in SIDES[1:])
+SIDES.append(("shipped", "CAST(l_shipdate AS DATE)"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

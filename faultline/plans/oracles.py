@@ -506,6 +506,10 @@ ORACLES: dict[str, str] = {
             FROM shares GROUP BY f)
         SELECT feature, round(psi, 9) AS psi, round(max_distance, 9) AS max_distance, reference_rows, current_rows, reference_missing,
             current_missing, CASE WHEN psi >= 0.25 THEN 'shifted' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS level FROM done""",
+    "quality_history": f"""WITH t AS ({fixtures.as_sql(fixtures.SIDES, "lineitem")}),
+        long AS ({_unions(f"SELECT '{f}' AS f, CAST({f} AS DOUBLE) AS v FROM t WHERE quarter(shipped) IN (1, 3)" for f in fixtures.DRIFT_FEATURES)})
+        SELECT f AS column_name, count(*) AS row_count, count(*) - count(v) AS missing_count, count(*) FILTER (v = 0) AS zero_count,
+            round(min(v), 6) AS minimum, round(max(v), 6) AS maximum, TRUE AS distinct_near FROM long GROUP BY f""",
     "late_label_performance": f"""WITH p AS ({PREDICTIONS}),
         l AS (SELECT event_id, ts + to_hours(CAST(event_id % 72 AS INTEGER)) AS labelled_at, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y
             FROM events WHERE event_id % 5 <> 0),

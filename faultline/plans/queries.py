@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline import fixtures, schema as S
 from faultline.functions import expressions as X
-from faultline.operators import benchmark, boosting, clean, drift, evaluate, explain, impute, monitor, profile, sample, scoring
+from faultline.operators import benchmark, boosting, clean, drift, evaluate, explain, impute, monitor, profile, quality, sample, scoring
 from faultline.plans import checks, models as model_plans, preprocess as preprocess_plan, warehouse
 from faultline.session import scratch_path
 from faultline.streaming import alerts, performance, scoring as stream_scoring
@@ -580,6 +580,25 @@ def drift_scores(spark, sf):
     return _rounded(found, 9, "psi", "max_distance")
 
 
+@query
+def quality_history(spark, sf):
+    """Lines by quarter of shipping as batches, the odd quarters merged from their states against a whole rescan."""
+    lines = fixtures.sensor_sides(spark, sf).withColumn("batch", F.concat(F.lit("q"), F.quarter("shipped")))
+    path = scratch_path(spark, "quality-states")
+    for k in (1, 2, 3, 4):
+        quality.store_state(quality.batch_state(lines.where(F.col("batch") == f"q{k}"), fixtures.DRIFT_FEATURES), path, f"q{k}")
+    states = quality.read_states(spark, path).where("batch_id IN ('q1', 'q3')")
+    found = quality.report(quality.merged(states)).alias("m")
+    rows = lines.where("batch IN ('q1', 'q3')")
+    values = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in fixtures.DRIFT_FEATURES))
+    exact = rows.select(F.inline(values)).groupBy("c").agg(F.countDistinct("v").alias("distinct"))
+    both = found.join(exact, F.col("column_name") == F.col("c"))
+    near = F.abs(F.col("distinct_count") - F.col("distinct")) <= 0.065 * F.col("distinct")
+    return both.select(
+        "column_name", "row_count", "missing_count", "zero_count", F.round("minimum", 6).alias("minimum"), F.round("maximum", 6).alias("maximum"),
+        near.alias("distinct_near"))
+
+
 @query
 def late_label_performance(spark, sf):
     """Measures per day of prediction where labels come up to 71 hours later, or never; two days are waited for."""

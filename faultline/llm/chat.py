@@ -1,8 +1,11 @@
 """Reply trees to conversations: root-to-leaf paths, ranked branches, one formatted text each.
 
-Built-in functions only. Paths come from self-joins that double in length each round, so the
-rounds grow with the logarithm of the deepest reply; only ids travel in them. Branches are
-ranked by score, and the texts meet the chosen paths once, at the end.
+Built-in functions only. Self-joins double the reach of each node's pointer to an ancestor, and
+with it the score and length of the branch above, so the rounds grow with the logarithm of the
+deepest reply and a round has a row of five numbers per node. Branches are ranked by score and
+length. Only for chosen leaves are paths listed: the pointers of all rounds, longest first, add
+the ancestors that are still missing, a row per node of the path. Texts meet the chosen paths
+once, at the end, where a conversation becomes one row.
 
 Template of a turn: ``### role: text</turn>`` and a line feed. A backslash in a role or text
 becomes ``\\-``, the turn end ``\\t``, the turn mark ``\\h`` and, in roles, a colon ``\\c``; so
@@ -46,13 +49,8 @@ def linear(messages: DataFrame, tree: str, order: str, role: str = "role", text:
     return rows.select("tree", "node", F.nullif(F.col("node") - 1, F.lit(0)).alias("parent"), "role", "text")
 
 
-def paths(messages: DataFrame, score: Column | None = None) -> DataFrame:
-    """Every root-to-leaf path: tree, leaf, path (node ids from the root), score (sum along it).
-
-    Takes tree, node, parent. A node without parent, with itself or with an unknown node as
-    parent is a root. Nodes on or below a cycle have no root and so no path. Repeated rows
-    of a node count once. Null scores count 0.
-    """
+def _pointers(messages: DataFrame, score: Column | None) -> tuple[DataFrame, list[str]]:
+    """Nodes that reach a root (tree, node, parent, score and size of the path), and where the pointers of each round are stored."""
     spark = messages.sparkSession
     nodes = messages.select(
         "tree", "node", "parent", F.coalesce((F.lit(0.0) if score is None else score).cast("double"), F.lit(0.0)).alias("score"))
@@ -63,23 +61,59 @@ def paths(messages: DataFrame, score: Column | None = None) -> DataFrame:
     rooted = nodes.join(
         known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")) & (F.col("parent") != F.col("node")), "left")
     state, path = _staged(rooted.select(
-        "tree", "node", F.col("n").alias("above"), F.col("n").alias("parent"), "score", F.array("node").alias("path")), "reply-paths")
+        "tree", "node", F.col("n").alias("above"), F.col("n").alias("parent"), "score", F.lit(1).cast("bigint").alias("size")), "reply-pointers")
+    stored = [path]
+    largest = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     remove_path(spark, first_path)
-    while not state.where(F.col("above").isNotNull()).isEmpty():
+    # After so many doublings only nodes on or below a cycle have an ancestor left.
+    while 2 ** (len(stored) - 1) <= largest and not state.where(F.col("above").isNotNull()).isEmpty():
         upper = state.select(
-            F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"),
-            F.col("score").alias("s"), F.col("path").alias("p"))
-        joined = state.where(F.col("above").isNotNull()).join(
-            upper, F.col("tree").eqNullSafe(F.col("t")) & (F.col("above") == F.col("n")))
-        longer = joined.select(
+            F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("score").alias("s"), F.col("size").alias("l"))
+        longer = state.where(F.col("above").isNotNull()).join(
+            upper, F.col("tree").eqNullSafe(F.col("t")) & (F.col("above") == F.col("n"))).select(
             "tree", "node", F.col("next").alias("above"), "parent", (F.col("score") + F.col("s")).alias("score"),
-            F.concat("p", "path").alias("path")).where(F.size(F.array_distinct("path")) == F.size("path"))
-        following, following_path = _staged(state.where(F.col("above").isNull()).unionByName(longer), "reply-paths")
-        remove_path(spark, path)
-        state, path = following, following_path
+            (F.col("size") + F.col("l")).alias("size"))
+        state, path = _staged(state.where(F.col("above").isNull()).unionByName(longer), "reply-pointers")
+        stored.append(path)
+    return state.where(F.col("above").isNull()).drop("above"), stored
+
+
+def _leaves(state: DataFrame) -> DataFrame:
+    """Nodes that nothing answers: tree, leaf, score, size."""
     parents = state.where(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
-    leaves = state.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
-    return leaves.select("tree", F.col("node").alias("leaf"), "path", "score")
+    return state.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select(
+        "tree", F.col("node").alias("leaf"), "score", "size")
+
+
+def _listed(leaves: DataFrame, stored: list[str]) -> DataFrame:
+    """Add path, the node ids from the root, to leaves; the stored pointers are deleted."""
+    spark = leaves.sparkSession
+    leaves, leaves_path = _staged(leaves, "reply-leaves")
+    steps, path = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("up")), None
+    for k in reversed(range(len(stored))):
+        jumps = spark.read.parquet(stored[k]).where(F.col("above").isNotNull()).select(
+            F.col("tree").alias("t"), F.col("node").alias("n"), "above")
+        more = steps.join(jumps, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select(
+            "tree", "leaf", F.col("above").alias("node"), (F.col("up") + 2 ** k).alias("up"))
+        before, (steps, path) = path, _staged(steps.unionByName(more), "reply-steps")
+        for old in (before, stored[k]):
+            if old is not None:
+                remove_path(spark, old)
+    ids = steps.groupBy(F.col("tree").alias("t"), F.col("leaf").alias("n")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("up"), "node"))).alias("steps"))
+    listed = leaves.join(ids, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("n")))
+    return listed.select(*leaves.columns, F.transform("steps", lambda s: s["node"]).alias("path"))
+
+
+def paths(messages: DataFrame, score: Column | None = None) -> DataFrame:
+    """Every root-to-leaf path: tree, leaf, path (node ids from the root), score (sum along it).
+
+    Takes tree, node, parent. A node without parent, with itself or with an unknown node as
+    parent is a root. Nodes on or below a cycle have no root and so no path. Repeated rows
+    of a node count once. Null scores count 0.
+    """
+    state, stored = _pointers(messages, score)
+    return _listed(_leaves(state), stored).select("tree", "leaf", "path", "score")
 
 
 def _staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -88,15 +122,20 @@ def _staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def best(branches: DataFrame, per_tree: int = 1) -> DataFrame:
-    """The best branches of each tree with their rank: higher score, then longer, then smaller leaf."""
-    order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.size("path").desc(), "leaf")
+    """The best branches of each tree with their rank: higher score, then longer, then smaller leaf.
+
+    Takes tree, leaf, score and path, or instead of the path its size.
+    """
+    size = F.col("size") if "size" in branches.columns else F.size("path")
+    order = Window.partitionBy("tree").orderBy(F.col("score").desc(), size.desc(), "leaf")
     return branches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree)
 
 
 def formatted(messages: DataFrame, chosen: DataFrame, learn: str = "assistant") -> DataFrame:
     """One row per chosen path: tree, rank, formatted, loss_spans (start from 0 and size, in code points).
 
-    Null roles and texts are empty. The loss covers the texts of the ``learn`` role only.
+    Null roles and texts are empty. The loss covers the texts of the ``learn`` role only. Of
+    repeated rows of a node the first by role and text is said, once.
     """
     steps = chosen.select("tree", "rank", F.posexplode("path").alias("at", "node"))
     texts = messages.where(F.col("node").isNotNull()).select(
@@ -106,7 +145,9 @@ def formatted(messages: DataFrame, chosen: DataFrame, learn: str = "assistant")
     turns = steps.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select(
         "tree", "rank", "at", F.concat(F.lit(MARK), escaped(F.col("role"), role=True), F.lit(SPLIT)).alias("head"),
         escaped(F.col("text")).alias("body"), (F.col("role") == learn).alias("learnt"))
-    before = Window.partitionBy("tree", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("tree", "rank").orderBy("at", "head", "body")
+    turns = turns.withColumn("last", F.lag("at").over(order)).where(~F.col("last").eqNullSafe(F.col("at"))).drop("last")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("turn", F.concat("head", "body", F.lit(END)))
     turns = turns.select(
         "tree", "rank", "at", "turn", "learnt", F.length("body").alias("size"),
@@ -123,7 +164,7 @@ def formatted(messages: DataFrame, chosen: DataFrame, learn: str = "assistant")
 def turns_of(text: Column) -> Column:
     """The turns in a formatted text: an array of role and text."""
     parts = F.filter(F.split(text, END, -1), lambda t: t != "")
-    head = lambda t: F.substring_index(t, F.lit(SPLIT) if False else SPLIT, 1)
+    head = lambda t: F.substring_index(t, SPLIT, 1)
     return F.transform(parts, lambda t: F.struct(
         unescaped(F.substr(head(t), F.lit(len(MARK) + 1)), role=True).alias("role"),
         unescaped(F.substr(t, F.length(head(t)) + len(SPLIT) + 1)).alias("text")))
@@ -136,5 +177,6 @@ def loss_text(text: Column, spans: Column) -> Column:
 
 
 def conversations(messages: DataFrame, score: Column | None = None, per_tree: int = 1, learn: str = "assistant") -> DataFrame:
-    """Tree table to formatted conversations: paths, ranks, texts."""
-    return formatted(messages, best(paths(messages, score), per_tree), learn)
+    """Tree table to formatted conversations: branches, ranks, paths of the chosen ones, texts."""
+    state, stored = _pointers(messages, score)
+    return formatted(messages, _listed(best(_leaves(state), per_tree), stored), learn)

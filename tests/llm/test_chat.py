@@ -89,3 +89,25 @@ def test_query(spark, sf):
         assert (r["n_turns"], r["loss_chars"]) == (len(turns), len(loss))
         assert r["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_a_repeated_node_is_said_once(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "yo", 0.0), (1, 2, 1, "assistant", "yo", 0.0), (1, 2, 1, "assistant", "zz", 0.0)]
+    out = chat.conversations(_tree(spark, rows), F.col("score"))
+    row = out.select(chat.turns_of(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t["role"], t["text"]) for t in row["turns"]] == [("user", "q"), ("assistant", "yo")] and row["loss"] == "yo"
+
+
+def test_a_very_long_thread_and_a_tree_with_most_rows(spark):
+    """Pointers and paths stay linear: 100,000 turns in a row, and a tree of 30,000 nodes of depth 15."""
+    long = spark.range(100_000).selectExpr(
+        "CAST(1 AS BIGINT) AS tree", "id + 1 AS node", "nullif(id, 0) AS parent", "if(id % 2 = 0, 'user', 'assistant') AS role",
+        "CAST(id AS STRING) AS text", "1.0D AS score")
+    wide = spark.range(30_000).selectExpr(
+        "CAST(2 AS BIGINT) AS tree", "id + 1 AS node", "nullif((id + 1) DIV 2, 0) AS parent", "'user' AS role", "'t' AS text", "CAST(id AS DOUBLE) AS score")
+    out = {r["tree"]: r for r in chat.conversations(long.unionByName(wide), F.col("score")).select(
+        "tree", F.size(chat.turns_of(F.col("formatted"))).alias("turns"), F.size("loss_spans").alias("spans")).collect()}
+    node, size = 30_000, 0
+    while node:
+        node, size = node // 2, size + 1
+    assert (out[1]["turns"], out[1]["spans"]) == (100_000, 50_000) and out[2]["turns"] == size

@@ -64,14 +64,44 @@ def translate_host(host: str) -> str:
     return host.translate(str.maketrans(UPPER, LOWER))
 
 
+def _percents(text: Column) -> Column:
+    """Percent escapes in capital letters; they are the same escapes."""
+    return F.array_join(F.transform(F.split(text, "%"), lambda p: F.when(
+        p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(p, 1, 2)), F.substr(p, F.lit(3)))).otherwise(p)), "%")
+
+
 def resource(url: Column) -> Column:
-    """The vertex of a url: without its fragment, scheme and host lower-cased."""
+    """The vertex of a url: without its fragment and the scheme's own port, scheme and host lower-cased, no path as ``/``."""
     host, _ = host_path(url)
     bare = F.regexp_extract(url, "(?s)^[^#]*", 0)
     at = F.instr(bare, "://")
-    return F.when(at > 0, F.concat(
-        F.translate(F.substr(bare, F.lit(1), at + 2), UPPER, LOWER), host,
-        F.substr(bare, at + 3 + F.length(host)))).otherwise(bare)
+    scheme = F.translate(F.substr(bare, F.lit(1), at + 2), UPPER, LOWER)
+    port = F.when(scheme == "http://", ":(80)?$").when(scheme == "https://", ":(443)?$").otherwise(":$")
+    rest = F.substr(bare, at + 3 + F.length(host))
+    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(at > 0, F.concat(scheme, F.regexp_replace(host, port, F.lit("")), _percents(rest))).otherwise(bare)
+
+
+#: Fixed values of HTML: the references that stand in urls, the ampersand's last.
+_REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&sol;", "/"), ("&colon;", ":"), ("&quest;", "?"),
+               ("&equals;", "="), ("&num;", "#"), ("&period;", "."), ("&amp;", "&"))
+
+
+def decoded(value: Column) -> Column:
+    """An attribute's value with its character references as characters (numbers up to U+FFFF, and the names above)."""
+    def one(part: Column) -> Column:
+        digits = F.regexp_extract(part, "^([xX][0-9a-fA-F]{1,4}|[0-9]{1,5});?", 1)
+        code = F.when(digits.rlike("^[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).cast("bigint")
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+        known = (digits != "") & code.between(1, 0xFFFF) & ~code.between(0xD800, 0xDFFF)
+        rest = F.regexp_replace(part, "^([xX][0-9a-fA-F]{1,4}|[0-9]{1,5});?", "")
+        return F.when(known, F.concat(sign, rest)).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(value, "&#")
+    out = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    for name, sign in _REFERENCES:
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return out
 
 
 def _without_dots(path: Column) -> Column:
@@ -84,7 +114,14 @@ def _without_dots(path: Column) -> Column:
 
 
 def resolved(target: Column, base: Column) -> Column:
-    """An absolute url of a link target; null for schemes without ``//`` and for targets that need a base and have none."""
+    """An absolute url of a link target as it stands in a page, references decoded.
+
+    Null for schemes without ``//`` and for targets that need a base and have none.
+    """
+    return _resolved(decoded(target), base)
+
+
+def _resolved(target: Column, base: Column) -> Column:
     def whole(link: Column) -> Column:
         to, page, origin, own = (link[k] for k in ("to", "page", "origin", "own"))
         path = F.regexp_extract(F.substr(page, F.length(origin) + 1), "^[^?#]*", 0)
@@ -106,17 +143,17 @@ def resolved(target: Column, base: Column) -> Column:
             F.lit("own"), F.regexp_extract(link["to"], "^[^?#]*", 0))
 
     link = F.named_struct(
-        F.lit("to"), F.trim(F.replace(target, F.lit("&amp;"), F.lit("&"))), F.lit("page"), base)
+        F.lit("to"), F.trim(target), F.lit("page"), base)
     return F.get(F.transform(F.transform(F.array(link), parts), whole), F.lit(0))
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """The value of the first attribute of that name, without quotes; null where there is none."""
+    """The value of the first attribute of that name, without quotes and decoded; null where there is none."""
     inner = F.regexp_replace(tag, r"^<[^\s/>]*", "")
     names = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
     at = F.array_position(names, name)
     value = F.get(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(2)), (at - 1).cast("int"))
-    return F.when(at > 0, F.trim(F.regexp_replace(value, r"""^["']|["']$""", "")))
+    return F.when(at > 0, F.trim(decoded(F.regexp_replace(value, r"""^["']|["']$""", ""))))
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -129,7 +166,7 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     read = pages.where(F.col(url).isNotNull() & F.col(html).rlike("(?i)canonical|refresh")).select(
         F.col(url).alias("source"), tags.alias("tags"))
     stated = _attribute(F.get(F.filter("tags", lambda t: t.rlike(r"(?is)^<base\s.*\bhref\s*=")), F.lit(0)), "href")
-    read = read.select("source", F.coalesce(resolved(stated, F.col("source")), F.col("source")).alias("base"), F.explode("tags").alias("tag"))
+    read = read.select("source", F.coalesce(_resolved(stated, F.col("source")), F.col("source")).alias("base"), F.explode("tags").alias("tag"))
     tag = F.col("tag")
     link, meta = tag.rlike(r"(?i)^<link"), tag.rlike(r"(?i)^<meta")
     canonical = link & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
@@ -138,7 +175,7 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     target = F.when(canonical, _attribute(tag, "href")).when(
         meta & (F.lower(_attribute(tag, "http-equiv")) == "refresh"), refresh)
     targets = read.select("source", "base", F.nullif(F.trim(target), F.lit("")).alias("target"))
-    return targets.select("source", resolved(F.col("target"), F.col("base")).alias("target")).where(F.col("target").isNotNull())
+    return targets.select("source", _resolved(F.col("target"), F.col("base")).alias("target")).where(F.col("target").isNotNull())
 
 
 def judged(urls: DataFrame, rules: Sequence[Rule], edges: DataFrame, url: str = "url") -> DataFrame:

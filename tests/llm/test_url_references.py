@@ -49,3 +49,37 @@ def test_blocks_reach_aliases_by_relative_links(spark):
     ], "page_id bigint, url string, html string")
     out = urls.judged(pages.select("page_id", "url"), URL_RULES, urls.page_edges(pages))
     assert [r["verdict"] for r in out.collect()] == ["block"] * 3
+
+
+@pytest.mark.parametrize("value, want", [
+    ("a&#47;b", "a/b"), ("a&#x2f;b&#X2F", "a/b/"), ("&#233;&#xe9;", "éé"), ("&#;&#xg;&#0;&#55296;", "&#;&#xg;&#0;&#55296;"),
+    ("x&amp;y&quot;&sol;", "x&y\"/"), ("&amp;#47;", "&#47;"), ("", ""), (None, None), ("&#8364", "€"),
+])
+def test_character_references(spark, value, want):
+    assert spark.createDataFrame([(value,)], "v string").select(urls.decoded(F.col("v"))).first()[0] == want
+
+
+@pytest.mark.parametrize("one, other", [
+    ("http://a.de", "http://a.de/"), ("HTTP://A.de:80/x", "http://a.de/x"), ("https://a.de:443", "https://a.de/#top"),
+    ("http://a.de?q", "http://a.de/?q"), ("http://a.de/%e4%2F", "http://a.de/%E4%2f"), ("http://a.de:/x", "http://a.de/x"),
+])
+def test_urls_of_one_resource(spark, one, other):
+    row = spark.createDataFrame([(one, other)], "a string, b string")
+    a, b = row.select(urls.resource(F.col("a")), urls.resource(F.col("b"))).first()
+    assert a == b
+
+
+@pytest.mark.parametrize("one, other", [
+    ("http://a.de:443/", "http://a.de/"), ("http://a.de/x", "http://a.de/X"), ("http://a.de/x", "https://a.de/x"), ("http://a.de/%zz", "http://a.de/%ZZ")])
+def test_urls_of_two_resources(spark, one, other):
+    row = spark.createDataFrame([(one, other)], "a string, b string")
+    a, b = row.select(urls.resource(F.col("a")), urls.resource(F.col("b"))).first()
+    assert a != b
+
+
+def test_an_alias_without_a_path_is_blocked(spark):
+    pages = spark.createDataFrame([
+        (1, "http://a.de", "<link rel=canonical href='http:&#47;&#47;bad.net/'>"), (2, "http://b.de/", "<link rel=canonical href='http://a.de/'>"),
+    ], "page_id bigint, url string, html string")
+    out = urls.judged(pages.select("page_id", "url"), URL_RULES, urls.page_edges(pages))
+    assert [r["verdict"] for r in out.collect()] == ["block"] * 2

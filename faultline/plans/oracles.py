@@ -250,7 +250,27 @@ _LOGREG = f"""SELECT train AS train_rows, test AS test_rows, total AS equal_scor
     FROM {_PARTS} n"""
 _BOOSTED = """SELECT count(*) AS row_count, count(*) AS equal_scores, CAST(300 AS BIGINT) AS trees, TRUE AS depth_kept
     FROM lineitem"""
+_EPISODES = """e AS (SELECT user_id AS unit, ts, event_type = 'error' AS failed FROM events),
+        s AS (SELECT unit, min(ts) AS first FROM e GROUP BY unit),
+        f AS (SELECT DISTINCT unit, ts FROM e WHERE failed),
+        x AS (SELECT f.unit, coalesce(lag(ts) OVER (PARTITION BY f.unit ORDER BY ts), s.first) AS a, ts AS b, TRUE AS failed FROM f JOIN s ON s.unit = f.unit
+            UNION ALL SELECT s.unit, coalesce(m, s.first), TIMESTAMP '2024-02-01', FALSE
+            FROM s LEFT JOIN (SELECT unit, max(ts) AS m FROM f GROUP BY unit) l ON l.unit = s.unit),
+        r AS (SELECT unit, unit % 3 AS fleet, CAST(floor(CAST(epoch_us(b) - epoch_us(a) AS DOUBLE) / 3600000000) AS BIGINT) AS duration, failed FROM x),
+        c AS (SELECT fleet, duration, count(*) FILTER (failed) AS failures, count(*) FILTER (NOT failed) AS censored FROM r GROUP BY ALL),
+        n AS (SELECT *, CAST(sum(failures + censored) OVER (PARTITION BY fleet ORDER BY duration DESC) AS BIGINT) AS at_risk FROM c),
+        curve AS (SELECT *, CAST(failures AS DOUBLE) / at_risk AS hazard, product(1 - CAST(failures AS DOUBLE) / at_risk) OVER (
+            PARTITION BY fleet ORDER BY duration) AS survival FROM n)"""
 ORACLES: dict[str, str] = {
+    "survival_curves": f"""WITH {_EPISODES} SELECT fleet, duration, at_risk, failures, censored, round(hazard, 9) AS hazard,
+        round(survival, 9) AS survival FROM curve""",
+    "remaining_life": f"""WITH {_EPISODES},
+        u AS (SELECT unit, fleet, duration AS age FROM r WHERE NOT failed),
+        reached AS (SELECT unit, u.fleet, age, coalesce(arg_max(survival, duration) FILTER (duration < age), 1.0) AS s,
+            arg_max(survival, duration) AS last FROM u JOIN curve USING (fleet) GROUP BY ALL)
+        SELECT q.unit, q.fleet, q.age, CASE WHEN s > 0 THEN round(last / s, 9) END AS survival_share,
+            CASE WHEN s > 0 THEN min(duration) FILTER (duration >= age AND survival <= s * 0.5 + 1e-12) - age END AS median_left
+        FROM reached q JOIN curve USING (fleet) GROUP BY q.unit, q.fleet, q.age, s, last""",
     # Sources and sinks
     "src_preamble_csv": TYPED_KEYED,
     "src_skip_rows_csv": TYPED_KEYED,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline import fixtures, schema as S
 from faultline.functions import expressions as X
-from faultline.operators import benchmark, boosting, clean, drift, evaluate, explain, impute, monitor, profile, quality, sample, scoring
+from faultline.operators import benchmark, boosting, clean, drift, evaluate, explain, impute, monitor, profile, quality, sample, scoring, survival
 from faultline.plans import checks, models as model_plans, preprocess as preprocess_plan, warehouse
 from faultline.session import scratch_path
 from faultline.streaming import alerts, performance, scoring as stream_scoring
@@ -620,6 +620,27 @@ def alert_episodes(spark, sf):
     return _rounded(found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened_at", "closed_at")}), 9, "peak")
 
 
+def _life_episodes(spark, sf) -> DataFrame:
+    events = fixtures.table(spark, sf, "events")
+    found = survival.episodes(
+        events, F.col("event_type") == "error", F.lit("2024-02-01 00:00:00"), unit="user_id", time="ts")
+    return found.withColumn("fleet", F.col("unit") % 3)
+
+
+@query
+def survival_curves(spark, sf):
+    """Product-limit survival in hours between errors, users as units in three fleets."""
+    return _rounded(survival.survival_curve(_life_episodes(spark, sf), ["fleet"]), 9, "hazard", "survival")
+
+
+@query
+def remaining_life(spark, sf):
+    """Hours left to half of those as old as each user's running episode."""
+    rows = _life_episodes(spark, sf)
+    units = rows.where("NOT failed").select("unit", "fleet", F.col("duration").alias("age"))
+    return _rounded(survival.remaining_life(units, survival.survival_curve(rows, ["fleet"]), ["fleet"]), 9, "survival_share")
+
+
 @query
 def share_of_total(spark, sf):
     return monitor.share_of_total(fixtures.table(spark, sf, "events"), "event_type")

@@ -2,6 +2,8 @@
 
 1. Terms (words and word beginnings) that mark toxic texts are mined from a bounded sample
    of labelled rows and dealt to lexicon voters; a fixed lexicon and text patterns vote too.
+   A term is taken for its support and precision alone, whatever the number of terms; each one
+   explains ``MIN_SUPPORT`` more sampled texts at least, so the sample bounds them.
    A voter says "toxic" or abstains; one more says "clean" where no lexicon speaks.
 2. The vote patterns of all rows outside the held-out fold are counted in Spark (at most
    2**MAX_VOTERS patterns). Their covariances give each voter's hit rates by the triplet
@@ -17,10 +19,11 @@ never shuffled: the sampled labels are broadcast, and their number is bounded.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +38,7 @@ FOLDS = 5
 SAMPLE_TOXIC, SAMPLE_CLEAN = 10_000, 20_000
 #: A term is a candidate from so many toxic texts on, where the lower bound of its precision is high enough.
 MIN_SUPPORT, MIN_PRECISION = 4, 0.5
-MAX_CANDIDATES, MAX_TERMS, LEXICON_VOTERS = 4_000, 256, 6
+LEXICON_VOTERS = 6
 PREFIXES = (4, 5, 6)
 MAX_VOTERS = LEXICON_VOTERS + 4
 DEFAULT_PRIOR = 0.1
@@ -160,8 +163,8 @@ def _sampled(labels: DataFrame, key: str, label: str) -> tuple[DataFrame, dict[i
     counts = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     limits = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
     share = {y: min(1.0, limits[y] / max(1, counts.get(y, 0))) for y in (0, 1)}
-    place = F.pmod(F.xxhash64("_key"), F.lit(1_000_000))
-    sample = known.where(place < F.when(F.col("_toxic") == 1, int(share[1] * 1e6)).otherwise(int(share[0] * 1e6)))
+    place = F.pmod(F.xxhash64("_key"), F.lit(1 << 52))
+    sample = known.where(place < F.when(F.col("_toxic") == 1, math.ceil(share[1] * 2.0 ** 52)).otherwise(math.ceil(share[0] * 2.0 ** 52)))
     total = sum(counts.values())
     return sample, {y: 1 / share[y] for y in (0, 1)}, counts.get(1, 0) / total if total else DEFAULT_PRIOR
 
@@ -201,10 +204,10 @@ def _chosen(rows: DataFrame, weight: dict[int, float]) -> Terms:
     candidates = _term_counts(rows).where(F.col("toxic") >= MIN_SUPPORT).select(
         "term", "toxic", lower_bound(F.col("toxic"), F.col("toxic") + clean).alias("bound")).where(
         F.col("bound") >= MIN_PRECISION)
-    best = candidates.orderBy((F.col("bound") * F.col("toxic")).desc(), "term").limit(MAX_CANDIDATES).collect()
+    best = candidates.orderBy((F.col("bound") * F.col("toxic")).desc(), "term").collect()
     if not best:
         return ()
-    bound = np.array([r["bound"] for r in best])
+    bound = [r["bound"] for r in best]
     names = tuple(r["term"] for r in best)
 
     @F.pandas_udf("array<int>")
@@ -213,17 +216,24 @@ def _chosen(rows: DataFrame, weight: dict[int, float]) -> Terms:
         return pd.Series([sorted(lexicon.found(t)) for t in texts.fillna("")], dtype="object")
 
     toxic = [r["f"] for r in rows.where(F.col("toxic") == 1).select(present("text").alias("f")).collect()]
-    holds = np.zeros((len(toxic), len(names)), np.float32)
+    holders: list[list[int]] = [[] for _ in names]
     for i, found in enumerate(toxic):
-        holds[i, found] = 1
-    open_rows, chosen = np.ones(len(toxic), np.float32), []
-    while len(chosen) < MAX_TERMS:
-        gain = open_rows @ holds
-        k = int(np.argmax(gain * bound))
-        if gain[k] < MIN_SUPPORT:
+        for k in found:
+            holders[k].append(i)
+    open_rows, chosen = np.ones(len(toxic), bool), []
+    # What a term explains only shrinks, so a value that is still the largest when renewed is the best one.
+    waiting = [(-len(own) * bound[k], k) for k, own in enumerate(holders)]
+    heapq.heapify(waiting)
+    while waiting:
+        value, k = heapq.heappop(waiting)
+        gain = int(open_rows[holders[k]].sum()) if holders[k] else 0
+        if -gain * bound[k] > value:
+            heapq.heappush(waiting, (-gain * bound[k], k))
+            continue
+        if gain < MIN_SUPPORT:
             break
         chosen.append(names[k])
-        open_rows[holds[:, k] > 0] = 0
+        open_rows[holders[k]] = False
     return tuple(chosen)
 
 
@@ -284,36 +294,58 @@ def posterior(pattern: int, prior: float, rates: np.ndarray, discounts: np.ndarr
 
 def _regression(rows: list[tuple[list[int], float, float]], size: int, ridge: float = 0.05) -> tuple[np.ndarray, float]:
     """Weighted logistic regression on soft labels by Newton's method; rows are features, label, weight."""
-    x = np.zeros((len(rows), size + 1))
-    x[:, size] = 1
-    for i, (found, _, _) in enumerate(rows):
-        x[i, found] = 1
+    owner = np.repeat(np.arange(len(rows)), [len(found) + 1 for found, _, _ in rows])
+    column = np.array([c for found, _, _ in rows for c in (*found, size)], np.int64)
     y, w = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     beta, keep = np.zeros(size + 1), np.append(np.full(size, ridge), 1e-6)
+
+    def across(v: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, v[column], len(rows))
+
+    def down(r: np.ndarray) -> np.ndarray:
+        return np.bincount(column, r[owner], size + 1)
+
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (w * (y - p)) - keep * beta
-        curve = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9)
-        step = np.linalg.solve(curve, slope)
+        p = 1 / (1 + np.exp(-np.clip(across(beta), -30, 30)))
+        slope, curve = down(w * (y - p)) - keep * beta, w * p * (1 - p)
+        step = _solved(lambda v: down(curve * across(v)) + (keep + 1e-9) * v, down(curve) + keep + 1e-9, slope)
         beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
     return beta[:size], float(beta[size])
 
 
+def _solved(times: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Conjugate gradients on a positive definite matrix that is known by its products, scaled by its diagonal."""
+    out, rest = np.zeros(len(wanted)), wanted.copy()
+    along = scaled = rest / diagonal
+    left = rest @ scaled
+    for _ in range(20 * len(wanted)):
+        if np.abs(rest).max() < 1e-10:
+            break
+        ahead = times(along)
+        size = left / (along @ ahead)
+        out, rest = out + size * along, rest - size * ahead
+        scaled = rest / diagonal
+        before, left = left, rest @ scaled
+        along = scaled + left / before * along
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Learn the model from the rows outside the held-out fold.
 
     Null ids and labels other than 0 and 1 are ignored; a document with several labels is
-    toxic if one says so. Without any labelled row the general lexicon decides.
+    toxic if one says so, and of several texts under a labelled id the first in order is learnt
+    from. Without any labelled row the general lexicon decides.
     """
     spark = docs.sparkSession
     sample, weight, prior = _sampled(labels, key, label)
     prior = min(max(prior, 0.01), 0.5)
     path = scratch_path(spark, "toxicity-sample")
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = write_stage(
-        rows.join(F.broadcast(sample), "_key").select("text", F.col("_toxic").alias("toxic")), path)
+    rows = rows.join(F.broadcast(sample), "_key").groupBy("_key").agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic"))
+    rows = write_stage(rows.select("text", "toxic"), path)
     terms = _chosen(rows, weight)
 
     @F.pandas_udf("array<int>")

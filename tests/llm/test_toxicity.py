@@ -107,3 +107,35 @@ def test_query(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.85
+
+
+def test_terms_are_taken_whatever_their_number(spark):
+    """400 insults, each in few texts: a model of a fixed number of terms would not know them all."""
+    insults = [f"zz{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + k * 7 % 26)}x" for k in range(400)]
+    docs = [(k, f"ba ti {insults[k % 400]} ro") for k in range(2_800)] + [(10_000 + k, f"ba ti ro ne {k}") for k in range(3_000)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 10_000).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    rows = model.apply(docs).collect()
+    assert np.mean([r["predicted"] == (r["doc_id"] < 10_000) for r in rows]) > 0.96  # some insults have under four texts to learn from
+
+
+def test_regression_equals_a_dense_solution():
+    draw = np.random.default_rng(5)
+    rows = [(sorted(draw.choice(12, draw.integers(0, 5), replace=False).tolist()), float(draw.random()), float(draw.integers(1, 4))) for _ in range(300)]
+    beta, intercept = toxicity._regression(rows, 12)
+    x = np.zeros((300, 13))
+    x[:, 12] = 1
+    for i, (found, _, _) in enumerate(rows):
+        x[i, found] = 1
+    y, w = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    whole = np.append(beta, intercept)
+    slope = x.T @ (w * (y - 1 / (1 + np.exp(-x @ whole)))) - np.append(np.full(12, 0.05), 1e-6) * whole
+    assert np.abs(slope).max() < 1e-5
+
+
+def test_a_repeated_id_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, "grobla")] * 3_000 + [(k, f"ba {k}") for k in range(2, 60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 60)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.terms == ()

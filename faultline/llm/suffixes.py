@@ -20,8 +20,9 @@ Every pass is an aggregate of hashes, merged before the shuffle, and a join with
 occur twice or more: 64 bits for digits, which only prune, 128 bits for what is repeated. No
 group is ever gathered, so one passage in a third of all texts is a hot key of a plain join at
 most. A text is known by its digest: its rows need no numbering, and copies share their spans.
-Texts move compressed, twice to be cut up and once to be cleaned, by digest. What a pass wrote
-is deleted when its spans and open rows are written.
+Texts are compressed and written once, and move so by digest, twice to be cut up and once to be
+cleaned; no task has two Python workers. What a pass wrote is deleted when its spans and open
+rows are written.
 """
 
 from __future__ import annotations
@@ -136,15 +137,22 @@ def _batch(digests: list[bytes], rows: list[Row]) -> pa.RecordBatch:
         names=["digest", "place", "low", "high", "whole", "digit"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time: a batch's texts are not all held as objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _cut(texts: DataFrame, rows_of: Callable[[bytes, list | None], Iterator[Row]], copies: int) -> DataFrame:
-    """Rows of texts (digest, text, and the open rows of the text if there is a third column, text compressed then).
+    """Rows of texts (digest, compressed text, and the open rows of the text if there is a third column).
 
     A task cuts up so many copies of a text at most: whether something stands there once or
     more than once is all that counts.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in _parts(batches):
             digests, rows = [], []
             opened = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
             for digest, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), opened):
@@ -152,9 +160,9 @@ def _cut(texts: DataFrame, rows_of: Callable[[bytes, list | None], Iterator[Row]
                 if met[digest] > copies:
                     continue
                 before = len(rows)
-                rows.extend(rows_of(text.encode() if own is None else zstandard.decompress(text), own))
+                rows.extend(rows_of(zstandard.decompress(text), own))
                 digests.extend([digest] * (len(rows) - before))
-                if len(rows) > 100_000:
+                if len(rows) > 20_000:
                     yield _batch(digests, rows)
                     digests, rows = [], []
             if rows:
@@ -169,7 +177,7 @@ def _packed(texts: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in _parts(batches):
             made = [None if t is None else compress(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=schema.names)
 
@@ -207,11 +215,10 @@ def _spans(rows: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Of texts (digest, text; one row per document) the spans (digest, first, end) of windows that start twice or more."""
+    """Of compressed texts (digest, text; one row per document, none shorter than a window) the spans (digest, first, end) of windows that start twice or more."""
     if window < 2 * GRAM:
         raise ValueError(f"windows have at least {2 * GRAM} bytes")
     spark = texts.sparkSession
-    texts = texts.where(F.octet_length("text") >= window)
     spans, opened = None, None
     for rows_of in (None, step_rows, last_rows):
         found_path, open_path = scratch_path(spark, "suffix-spans"), scratch_path(spark, "suffix-opened")
@@ -224,7 +231,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                         yield from rows_of(raw, r["place"], r["low"], r["high"], window)
 
                 own = opened.groupBy("digest").agg(F.collect_list(F.struct("place", "low", "high")).alias("opened"))
-                cut = _cut(_packed(texts).join(own, "digest").select("digest", "text", "opened"), finer, 1)
+                cut = _cut(texts.join(own, "digest").select("digest", "text", "opened"), finer, 1)
             found, left = sorted_out(stage(cut, "suffix-rows"), window, rows_of is last_rows)
             found = write_stage(found, found_path)
             opened = left and write_stage(left, open_path)
@@ -250,8 +257,8 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     document, the same one included; where they overlap counts too. All occurrences go, as
     windows are judged on the input. Null and empty texts and those shorter than a window
     keep all. Columns of these names are replaced, others kept; repeated rows are documents
-    of their own, so a long text that stands twice goes whole. The spans of all texts are
-    written to scratch at once; the texts are cleaned when the result is read.
+    of their own, so a long text that stands twice goes whole. Texts and spans are written to
+    scratch at once; the texts are cleaned when the result is read.
     """
     spark = docs.sparkSession
     added = [f.name for f in FOUND]
@@ -259,22 +266,22 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     others = [c for c in kept if c != text]
     content = F.col(f"`{text}`").cast("string")
     digest = F.unhex(F.md5(content.cast("binary")))
-    own_path = scratch_path(spark, "suffix-texts")
+    stored = stage(_packed(docs.select(
+        digest.alias("__digest"), F.struct(F.lit(True).alias("__"), *(F.col(f"`{c}`") for c in others)).alias("__row"),
+        F.octet_length(content).alias("__size"), content.alias("__text"))), "suffix-docs")
+    own_path = scratch_path(spark, "suffix-spans")
     with scratch_scope(spark):
-        spans = repeated_spans(docs.select(digest.alias("digest"), content.alias("text")), window)
-        own = write_stage(spans.groupBy(F.col("digest").alias("__digest")).agg(
+        long = stored.where(F.col("__size") >= window).select(F.col("__digest").alias("digest"), F.col("__text").alias("text"))
+        own = write_stage(repeated_spans(long, window).groupBy(F.col("digest").alias("__digest")).agg(
             F.collect_list(F.struct("first", "end")).alias("__spans")), own_path)
-    rows = _packed(docs.select(
-        digest.alias("__digest"), F.struct(F.lit(True).alias("__"), *(F.col(f"`{c}`") for c in others)).alias("__row"),
-        content.alias("__text")))
-    return _cleaned(rows.join(own, "__digest", "left"), text).select(*(F.col(f"`{c}`") for c in (*kept, *added)))
+    return _cleaned(stored.join(own, "__digest", "left"), text).select(*(F.col(f"`{c}`") for c in (*kept, *added)))
 
 
 def _cleaned(rows: DataFrame, text: str) -> DataFrame:
     schema = T.StructType([*rows.schema["__row"].dataType.fields, T.StructField(text, T.StringType()), *FOUND])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             texts, sizes, spans, left = [], [], [], []
             for packed, own in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()):
                 raw = b"" if packed is None else zstandard.decompress(packed)

@@ -295,6 +295,7 @@ def _grown(
     g, h = sums[0, 0].sum(axis=0) if features else (0.0, 0.0)
     tree.value[0], tree.cover[0] = float(params.step * params.leaf(g, h)), float(h)
     level = {0: sums[0]}
+    least = 2 * params.child_weight * (1 - 1e-9)
     for depth in range(params.depth):
         pairs = []
         for node, own in level.items():
@@ -308,13 +309,15 @@ def _grown(
             (left, left_h), (right, right_h) = sides
             f = int(columns[k])
             tree.split(node, f, bin_, float(cuts[f][bin_]), left, right)
-            pairs.append((node, left, right) if left_h <= right_h else (node, right, left))
+            # A node that could not give both sides their weight is a leaf and is not counted.
+            if max(left_h, right_h) >= least:
+                pairs.append((node, left, right) if left_h <= right_h else (node, right, left))
         if not pairs or depth == params.depth - 1:
             break
         sums, _ = _counted(blocks, features, waiting, tree, [p[1] for p in pairs], columns, round_, params)
         level = {
             node: own for slot, (parent, small, large) in enumerate(pairs)
-            for node, own in ((small, sums[slot]), (large, level[parent] - sums[slot]))}
+            for node, own in ((small, sums[slot]), (large, level[parent] - sums[slot])) if tree.cover[node] >= least}
     return tree, loss
 
 

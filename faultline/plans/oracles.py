@@ -262,6 +262,10 @@ _EPISODES = """e AS (SELECT user_id AS unit, ts, event_type = 'error' AS failed
         curve AS (SELECT *, CAST(failures AS DOUBLE) / at_risk AS hazard, product(1 - CAST(failures AS DOUBLE) / at_risk) OVER (
             PARTITION BY fleet ORDER BY duration) AS survival FROM n)"""
 ORACLES: dict[str, str] = {
+    "recommended_actions": """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS machine, 'repair' AS action, CAST(1 + user_id % 7 AS DOUBLE) AS cost,
+            round(sum(value), 2) AS benefit FROM events GROUP BY user_id),
+        r AS (SELECT *, sum(cost) OVER (ORDER BY benefit / cost DESC ROWS UNBOUNDED PRECEDING) AS running FROM o)
+        SELECT machine, action, round(cost, 6) AS cost, round(benefit, 6) AS benefit FROM r WHERE running <= 200""",
     "survival_curves": f"""WITH {_EPISODES} SELECT fleet, duration, at_risk, failures, censored, round(hazard, 9) AS hazard,
         round(survival, 9) AS survival FROM curve""",
     "remaining_life": f"""WITH {_EPISODES},
@@ -458,7 +462,7 @@ ORACLES: dict[str, str] = {
     "train_boosted": _BOOSTED,
     "train_boosted_weighted": _BOOSTED,
     "train_second_order_weighted": """SELECT count(*) AS row_count, count(*) AS equal_scores, TRUE AS loss_falls,
-        CAST(300 AS BIGINT) AS trees, TRUE AS depth_kept FROM lineitem""",
+        CAST(100 AS BIGINT) AS trees, TRUE AS depth_kept FROM lineitem""",
     "second_order_leaves": """SELECT CAST(3 AS BIGINT) AS trees, TRUE AS leaves_at_minimum, TRUE AS covers_equal,
         TRUE AS children_weigh_enough, TRUE AS trees_grew""",
     "training_route": f"""SELECT test AS test_rows, CAST(17 AS BIGINT) AS thresholds, CAST(1 AS BIGINT) AS chosen,

@@ -49,6 +49,11 @@ def test_odd_rows(spark, odd, name):
     table = {"op1": "embeddings", "op3": "pages", "op6": "pages", "op10": "pages"}.get(name.split("_")[0], "documents")
     if name == "op4_chat_formatting":
         assert len(rows) == 2 + spark.read.parquet(f"{odd}/conversations.parquet").where("conv_id IS NOT NULL").select("conv_id").distinct().count()
+    elif name == "op12_ranked_search":
+        ranks = {}
+        for r in rows:
+            ranks.setdefault(r["item_id"], []).append(r["rank"])
+        assert ranks and all(sorted(x) == list(range(1, len(x) + 1)) and len(x) <= 10 for x in ranks.values())
     elif name == "pipeline":
         assert 0 < len(rows) < count["documents"]
     else:

@@ -336,8 +336,11 @@ def _verified(rows: DataFrame, shared) -> DataFrame:
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         radius = max(c.radius for c in shared.value.values())
         for run in sorted_runs(batches, GROUP):
-            run = run.drop_duplicates("cid")
-            for _, part in run.groupby(run["payload"].map(len)):
+            if len(np.unique(run["cid"].to_numpy())) < len(run):
+                run = run.drop_duplicates("cid")
+            sizes = run["payload"].map(len)
+            # Keys of two lengths may collide.
+            for part in [run] if sizes.min() == sizes.max() else [p for _, p in run.groupby(sizes)]:
                 if len(part) < 2:
                     continue
                 units = unit(np.frombuffer(b"".join(part["payload"]), "<f8").reshape(len(part), -1))

@@ -67,22 +67,34 @@ def remaining_life(units: DataFrame, curve: DataFrame, by: Sequence[str] = (), a
     long as it has durations.
     """
     by = list(by)
-    arrays = curve.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(
-        F.array_sort(F.collect_list(F.struct("duration", "survival"))).alias("__curve"))
-    if by:
+    keys = [F.col(c).alias(f"__{c}") for c in by]
+    arrays = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("duration", "survival"))).alias("__curve"))
+    # The answer goes by group and age: each pair is looked up once, whatever the units.
+    asked = units.where(F.col(age).isNotNull()).select(*keys, F.col(age).alias("__age")).distinct()
+    asked = asked.withColumnsRenamed({f"__{c}": f"__of_{c}" for c in by})
+
+    def same(side: str, other: str) -> Column:
         test = F.lit(True)
         for c in by:
-            test = test & F.col(c).eqNullSafe(F.col(f"__{c}"))
-        found = units.join(arrays, test, "left")
-    else:
-        found = units.join(arrays, F.lit(True), "left")
-    a = F.col(age)
-    reached = F.coalesce(F.try_element_at(F.transform(F.filter("__curve", lambda p: p["duration"] < a), lambda p: p["survival"]), F.lit(-1)), F.lit(1.0))
-    reached = F.when(F.col("__curve").isNotNull() & a.isNotNull(), reached)
-    # A survival that is just the share may miss it by the rounding of its logarithms.
-    fallen = F.filter("__curve", lambda p: (p["duration"] >= a) & (p["survival"] <= reached * (1 - share) + 1e-12))
-    left = F.get(F.transform(fallen, lambda p: p["duration"]), F.lit(0)) - a
+            test = test & F.col(f"{side}{c}").eqNullSafe(F.col(f"{other}{c}"))
+        return test
+
+    a = F.col("__age")
     last = F.try_element_at(F.col("__curve"), F.lit(-1))["survival"]
-    return found.select(
-        *(F.col(f"`{c}`") for c in units.columns), F.when(reached > 0, last / reached).alias("survival_share"),
-        F.when(reached > 0, left).cast("bigint").alias("median_left"))
+    lasting = F.filter("__curve", lambda p: p["duration"] < a)
+    reached = F.coalesce(F.try_element_at(lasting, F.lit(-1))["survival"], F.lit(1.0))
+    # One step after the other: inside a lambda ``reached`` would be sought for every element.
+    found = asked.join(arrays, same("__of_", "__")).select(
+        *(f"__of_{c}" for c in by), "__age", last.alias("__last"), F.filter("__curve", lambda p: p["duration"] >= a).alias("__later"),
+        F.explode(F.array(reached)).alias("__reached"))
+    # A survival that is just the share may miss it by the rounding of its logarithms.
+    limit = F.col("__reached") * (1 - share) + 1e-12
+    fallen = F.filter("__later", lambda p: p["survival"] <= limit)
+    answers = found.where(F.col("__reached") > 0).select(
+        *(f"__of_{c}" for c in by), "__age", (F.col("__last") / F.col("__reached")).alias("__share"),
+        (F.get(fallen, F.lit(0))["duration"] - a).cast("bigint").alias("__left"))
+    test = F.col(age).eqNullSafe(F.col("__age"))
+    for c in by:
+        test = test & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return units.join(answers, test, "left").select(
+        *(F.col(f"`{c}`") for c in units.columns), F.col("__share").alias("survival_share"), F.col("__left").alias("median_left"))

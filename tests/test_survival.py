@@ -68,3 +68,17 @@ def test_remaining_life(spark):
         [("x", "a", 0), ("y", "a", 3), ("z", "a", 9), ("w", "b", 1), ("v", "c", 1), ("u", "a", None)], "unit string, g string, age bigint")
     got = {r["unit"]: (r["survival_share"], r["median_left"]) for r in survival.remaining_life(units, curve, ["g"]).collect()}
     assert got == {"x": (0.0, 2), "y": (0.0, 3), "z": (None, None), "w": (1.0, None), "v": (None, None), "u": (None, None)}
+
+
+def test_remaining_life_looks_each_age_up_once(spark):
+    """Many units of few ages and a long curve: the work goes by the distinct ages."""
+    rows = [("a", d, True) for d in range(1, 41)] + [(None, 5, True)]
+    curve = survival.survival_curve(spark.createDataFrame(rows, "g string, duration bigint, failed boolean"), ["g"])
+    units = spark.range(2000).select("id", F.lit("a").alias("g"), (F.col("id") % 5).alias("age"))
+    units = units.unionByName(spark.createDataFrame([(-1, None, 1), (-2, "a", 1)], "id bigint, g string, age bigint"))
+    found = survival.remaining_life(units, curve, ["g"])
+    got = {r["id"]: (r["survival_share"], r["median_left"]) for r in found.collect()}
+    assert len(got) == 2002 and got[-1] == (0.0, 4) and got[-2] == got[1] and got[0] == (0.0, 20)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # Lists are gone through above the aggregate of distinct ages, and never beside the units.
+    assert all("Generate" in x or "__age" in x for x in lines if " filter(" in x) and any("Aggregate [__" in x for x in lines)

@@ -209,17 +209,21 @@ def read_skip_rows(
 def write_preamble_csv(df: DataFrame, path: str, preamble: Sequence[str], files: int, delimiter: str = ",") -> None:
     """Text files that each start with the preamble and the header (fixtures, exports).
 
-    One task writes one file, its lines in order.
+    One task writes one file: the lines before the data first, then its rows as they come.
+    Nothing is sorted, so a task holds a batch of lines, however long its file is.
     """
-    spark = df.sparkSession
     # Copies of a row go round over the files like any other rows.
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
     body = df.select(
-        F.pmod(F.monotonically_increasing_id(), F.lit(files)).cast("int").alias("file"),
-        F.lit(len(preamble) + 1).alias("place"), F.concat_ws(delimiter, *cells).alias("value"))
+        F.pmod(F.monotonically_increasing_id(), F.lit(files)).cast("int").alias("file"), F.concat_ws(delimiter, *cells).alias("value"))
     head_lines = [*preamble, delimiter.join(df.columns)]
-    head = spark.range(files).select(
-        F.col("id").cast("int").alias("file"),
-        F.inline(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(v).alias("value")) for i, v in enumerate(head_lines)))))
-    lines = head.unionByName(body).repartitionById(files, F.col("file")).sortWithinPartitions("place")
-    lines.select("value").write.mode("overwrite").text(path)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(head_lines, pa.string())], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).drop_null()], names=["value"])
+
+    # A null per file: one without rows has its head too.
+    marks = df.sparkSession.range(files).select(F.col("id").cast("int").alias("file"), F.lit(None).cast("string").alias("value"))
+    lines = marks.unionByName(body).repartitionById(files, F.col("file")).select("value").mapInArrow(headed, "value string")
+    lines.write.mode("overwrite").text(path)

@@ -108,3 +108,22 @@ def test_large_files_are_read_by_several_tasks(spark):
             preamble.read_sensor_file(spark, folder).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """A task streams its lines behind the head, and a file without rows still has its head."""
+    from pyspark.sql import DataFrame
+
+    def refused(self, *columns, **options):
+        raise AssertionError("a task would hold its whole file")
+
+    monkeypatch.setattr(DataFrame, "sortWithinPartitions", refused)
+    columns = "class string, aa_000 string"
+    df = spark.createDataFrame([("neg", "1"), ("pos", None)], columns).coalesce(1)
+    for rows, name in ((df, "two"), (df.where("false"), "none")):
+        path = str(tmp_path / name)
+        preamble.write_preamble_csv(rows, path, DOC, 3)
+        files = [r[0].split("\n") for r in spark.read.text(path, wholetext=True).collect()]
+        assert len(files) == 3
+        assert all(f[:len(DOC) + 1] == [*DOC, "class,aa_000"] for f in files)
+        assert sorted(line for f in files for line in f[len(DOC) + 1:] if line) == (["neg,1", "pos,"] if name == "two" else [])

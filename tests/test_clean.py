@@ -79,3 +79,31 @@ def test_percent_text(spark):
 def test_schema_lists():
     assert len(S.TOP_FEATURES) == 20 and len(S.EXCLUDED_FEATURES) == 8
     assert len(S.SWEEP_HUNDREDTHS) == 17
+
+
+def test_wide_queries_compile_in_pieces_in_any_session(spark):
+    """A session that was built elsewhere has another limit; wide stages would run interpreted."""
+    from faultline import fixtures
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "65535")
+    try:
+        fixtures.table(spark, "/root/testdata/sf0.001", "lineitem")
+        assert spark.conf.get(key) == "8000"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_to_number_makes_the_text_of_a_cell_twice_at_most(spark):
+    from pyspark.sql import functions as F
+
+    from faultline.functions import expressions as X
+
+    cells = [" 12 ", "\t7.5\n", "na", " na ", "NaN", "", "1d", "-1", "1e3", "inf", "bad", None]
+    df = spark.createDataFrame([(c,) for c in cells], "x string")
+    got = [r[0] for r in df.select(X.to_number("x")).collect()]
+    assert [None if v is None else int(v) for v in got] == [12, 8, None, None, None, None, None, -1, 1000, None, None, None]
+    assert [r[0] for r in df.select(X.to_number("x", tokens=("na", "-1"))).collect()][7] is None
+    made = df.select(X.to_number(F.reverse("x")).alias("n"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 2

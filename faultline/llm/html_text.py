@@ -6,18 +6,21 @@
    role or class names as a menu, advert, form, comments and so on. The mark wins over a
    named wrapper and over a form around it, not over an aside, a footer or a menu. Where
    nothing is marked, furniture goes, and a form only if there is text outside of it.
-2. Spark counts the subtrees per host over distinct contents: pages with the same text are one
-   page, so copies of an article are no template. Subtrees in a marked part, or around one,
-   are not counted. A subtree on at least ``MIN_PAGES`` distinct pages of its host is a
-   template, whatever its share of the host.
-3. On pages without a mark the blocks inside a template go. The others are joined.
-
-The parsed blocks are written once. Marked pages are done then, and hosts where all pages are
-marked are not counted. For the others counting moves hashes; the key is (host, hash), merged
-before the shuffle. On the way back the templates, a row each, meet the hashes of unmarked pages
-in a plain join, which adaptive execution splits where a host with a third of all pages makes a
-hot key. The texts of unmarked pages move once, to meet the hashes that go, unless those are few
-enough for Spark to broadcast.
+2. Spark counts the subtrees of all pages per host over distinct contents: pages with the same
+   text are one page, so copies of an article are no template. Of a marked part the boxes in it
+   count (``BOXES``: wrappers, lists, tables; its paragraphs and headings are its text, and so is
+   a box with more than half of it), with the longest block beside the box for the content: near
+   copies of an article are one page too. A marked part and what is around it do not count. A
+   subtree on at least ``MIN_PAGES`` distinct pages of its host is a template, whatever its share
+   of the host.
+3. On every page the blocks inside a template go. The others are joined.
+
+The parsed blocks are written once. Counting moves hashes; the key is (host, hash), merged before
+the shuffle. On the way back the templates, a row each, meet the hashes around the blocks that may
+go in a plain join, which adaptive execution splits where a host with a third of all pages makes a
+hot key. The texts of pages with such blocks move once, to meet the hashes that go, unless those
+are few enough for Spark to broadcast; a marked part without a box has none. Hosts without such
+a block are not counted.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 import xxhash
@@ -48,6 +51,8 @@ FURNITURE = frozenset(
 FURNITURE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MAIN_TAGS, MAIN_ROLES = frozenset(("article", "main")), frozenset(("article", "main"))
+#: Elements inside a marked part that a template may be; others there hold its own text.
+BOXES = frozenset("address center details div dl fieldset hgroup ol section table ul".split())
 #: Class and id names that mark furniture: one of these, or joined by hyphens with more of them or of ``NEUTRAL``.
 FURNITURE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
@@ -124,15 +129,34 @@ class Page:
     """The blocks of a page that may stay, and what its host's templates are counted from."""
 
     marked: bool
-    #: Text, whether it stands in a form, and the hashes of the elements around it (none if marked).
+    #: Text, whether it stands in a form, and the hashes of the elements around it (if marked: of the boxes).
     blocks: list[tuple[str, bool, list[int]]]
     #: Distinct hashes of the subtrees outside any main part.
     subtrees: list[int]
+    #: Distinct hashes of the boxes inside a main part, each with a hash of the longest block beside it.
+    boxes: list[tuple[int, int]] = field(default_factory=list)
 
     @property
     def content(self) -> int:
         """A hash of the text; pages of the same text count once."""
-        return xxhash.xxh3_64_intdigest("\x00".join(t for t, _, _ in self.blocks)) - (1 << 63)
+        return _hash("\x00".join(t for t, _, _ in self.blocks))
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _marked_page(blocks: list[tuple[str, bool, list[int]]], subtrees: list[int]) -> Page:
+    """A page of a marked part's blocks; a box with more than half of their text is no box."""
+    held: dict[int, int] = {}
+    for text, _, inside in blocks:
+        for value in set(inside):
+            held[value] = held.get(value, 0) + len(text)
+    half = sum(len(t) for t, _, _ in blocks) / 2
+    small = {value for value, size in held.items() if size <= half}
+    longest = sorted(blocks, key=lambda b: (-len(b[0]), b[0]))
+    boxes = [(value, _hash(next(t for t, _, inside in longest if value not in inside))) for value in sorted(small)]
+    return Page(True, [(t, form, [v for v in inside if v in small]) for t, form, inside in blocks], subtrees, boxes)
 
 
 def read_page(page: str | None) -> Page:
@@ -173,10 +197,11 @@ def read_page(page: str | None) -> Page:
         if element.tag not in BLOCK:
             stack[-1].pieces.extend(element.pieces)
             return
-        value = xxhash.xxh3_64_intdigest("\x00".join(element.pieces)) - (1 << 63)
+        value = _hash("\x00".join(element.pieces))
         stack[-1].pieces.append(str(value))
-        if not mains and not element.main and not element.holds_main:
-            subtrees.append(value)
+        if not element.main and not element.holds_main and (not mains or element.tag in BOXES):
+            if not mains:
+                subtrees.append(value)
             for _, _, _, inside in blocks[element.first:]:
                 inside.append(value)
 
@@ -239,7 +264,7 @@ def read_page(page: str | None) -> Page:
         close()
     flush()
     if any(main and kind == PLAIN for _, kind, main, _ in blocks):
-        return Page(True, [(t, False, []) for t, kind, main, _ in blocks if main and kind == PLAIN], sorted(set(subtrees)))
+        return _marked_page([(t, False, inside) for t, kind, main, inside in blocks if main and kind == PLAIN], sorted(set(subtrees)))
     return Page(
         False, [(t, kind == FORM, inside) for t, kind, _, inside in blocks if kind in (PLAIN, FORM)], sorted(set(subtrees)))
 
@@ -262,7 +287,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: i
     """Add text: the main text of each page, blocks joined by two line feeds.
 
     Null, empty and text-free pages have the empty text, and so has a page without a marked
-    part that is nothing but templates; pages without a host count as one host. A column named
+    part that is nothing but templates; a marked part that is nothing else keeps its text; pages without a host count as one host. A column named
     text is replaced, others kept; repeated rows stay, each a page, and count once.
     """
     kept = [c for c in pages.columns if c not in ("text", html)]
@@ -277,6 +302,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: i
             batch["_blocks"] = [[{"text": t, "form": form, "inside": inside} for t, form, inside in p.blocks] for p in found]
             batch["_subtrees"] = [p.subtrees for p in found]
             batch["_content"] = [p.content for p in found]
+            batch["_boxes"] = [[{"subtree": s, "content": c} for s, c in p.boxes] for p in found]
             yield batch
 
     packed = rows.select(
@@ -285,22 +311,27 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: i
         F.col(html).alias("_html"))
     schema = (
         f"_row bigint, _host string, _page {packed.schema['_page'].dataType.simpleString()}, _marked boolean, "
-        "_blocks array<struct<text:string,form:boolean,inside:array<bigint>>>, _subtrees array<bigint>, _content bigint")
+        "_blocks array<struct<text:string,form:boolean,inside:array<bigint>>>, _subtrees array<bigint>, _content bigint, "
+        "_boxes array<struct<subtree:bigint,content:bigint>>")
     read = stage(packed.mapInPandas(parse, schema), "page-blocks")
-    nodes = read.select(
-        F.col("_host").alias("host"), F.col("_row").alias("row"), F.col("_content").alias("content"), F.col("_marked").alias("marked"),
-        F.explode("_subtrees").alias("subtree"))
-    hosts = stage(nodes.where(~F.col("marked")).select("host").distinct(), "page-hosts")
+    outer = F.transform("_subtrees", lambda v: F.struct(
+        v.alias("subtree"), F.col("_content").alias("content"), (~F.col("_marked")).alias("open")))
+    inner = F.transform("_boxes", lambda b: F.struct(b["subtree"], b["content"], F.lit(True).alias("open")))
+    nodes = read.select(F.col("_host").alias("host"), F.col("_row").alias("row"), F.inline(F.concat(outer, inner)))
+    hosts = stage(nodes.where("open").select("host").distinct(), "page-hosts")
     found = stage(templates(nodes.join(hosts, "host", "left_semi"), min_pages), "page-templates")
-    gone = nodes.where(~F.col("marked")).join(found, ["host", "subtree"]).groupBy(
+    gone = nodes.where("open").join(found, ["host", "subtree"]).groupBy(
         F.col("row").alias("_row")).agg(F.collect_set("subtree").alias("_gone"))
     gone = stage(gone, "page-gone")
-    open_ = read.where(~F.col("_marked")).join(gone, "_row", "left")
-    done = read.where("_marked").withColumn("_gone", F.lit(None).cast("array<bigint>"))
+    done = F.col("_marked") & (F.size("_boxes") == 0)
+    open_ = read.where(~done).join(gone, "_row", "left")
+    done = read.where(done).withColumn("_gone", F.lit(None).cast("array<bigint>"))
     stay = F.filter("_blocks", lambda b: F.col("_gone").isNull() | ~F.arrays_overlap(b["inside"], F.col("_gone")))
     outside = F.filter("_stay", lambda b: ~b["form"])
     chosen = F.when(F.size(outside) > 0, outside).otherwise(F.col("_stay"))
-    names = ("_page", "_blocks", "_gone")
+    # A marked part of nothing but templates is its page's own text.
+    stay = F.when(F.col("_marked") & (F.size(stay) == 0), F.col("_blocks")).otherwise(stay)
+    names = ("_page", "_marked", "_blocks", "_gone")
     return open_.select(*names).unionByName(done.select(*names)).select("_page", stay.alias("_stay")).select(
         *(F.col(f"_page.{c}").alias(c) for c in kept),
         F.array_join(F.transform(chosen, lambda b: b["text"]), "\n\n").alias("text"))

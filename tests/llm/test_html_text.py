@@ -146,3 +146,19 @@ def test_templates_of_the_given_pages_without_their_marks(spark):
     assert len(large) > 1_500 and all("All of" not in out[r["page_id"]] for r in large)
     assert sum(len(out[r["page_id"]]) for r in large) > 0.9 * sum(
         len("\n\n".join(t for t, _, _ in html_text.read_page(h).blocks)) for r, h in zip(rows, plain) if len(pages[r["url"].split("/")[2].lower()]) >= 8)
+
+
+def test_templates_go_from_marked_parts(spark):
+    """A box in the article of many pages goes there too; paragraphs, near copies and a box that is the article stay."""
+    box = "<div><p>Read our letter</p><ul><li>daily<li>weekly</ul></div>"
+    rows = [_page("a.org", k, f"<article><h1>Story {k}</h1><p>What happened on day {k}</p>{box}<p>The editors</p></article>") for k in range(9)]
+    rows += [_page("b.org", k, f"<article><h1>Story {k}</h1><p>What happened on day {k}</p>{box}</article>") for k in range(7)]
+    parts = "".join(f"<section><p>{word * 30}</p></section>" for word in ("one ", "two ", "three "))
+    rows += [_page("c.org", k, f"<main><h1>Copy {k}</h1>{parts}</main>") for k in range(12)]
+    rows += [_page("d.org", k, f"<main><h1>{k}</h1><div><p>The whole story of the day</p></div></main>") for k in range(12)]
+    rows += [_page("a.org", "open", f"<p>Not marked</p>{box}")]
+    out = _extracted(spark, rows)
+    assert [out[k] for k in range(9)] == [f"Story {k}\n\nWhat happened on day {k}\n\nThe editors" for k in range(9)]
+    assert all(out[k].endswith("Read our letter\n\ndaily\n\nweekly") for k in range(9, 16))
+    assert all(out[k].count("\n\n") == 3 for k in range(16, 28)) and out[29] == "1\n\nThe whole story of the day"
+    assert out[40] == "Not marked"

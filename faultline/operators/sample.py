@@ -85,7 +85,8 @@ def cutoffs(df: DataFrame, by: str, quota: Quota, seed: int = S.SEED, key: str =
     Rows whose place begins below ``at`` are first rows, and of the ``n`` rows that begin
     with it the first ``wanted``: all of them, unless they are equal rows.
     """
-    places = stage(df.select(F.col(by).alias("by"), _place(seed, key).alias("place")), "sample-places")
+    places = stage(df.select(F.col(by).alias("by"), F.unhex(_place(seed, key)).alias("place")), "sample-places")
+    places = places.withColumn("place", F.lower(F.hex("place")))
     wanted = stage(quota(totals(places, "by")).select("by", "n", F.col("wanted").cast("bigint").alias("wanted")), "sample-quota")
     inside = (F.col("wanted") > 0) & (F.col("wanted") < F.col("n"))
     # "" is a prefix of every place: all rows of the class begin with it.
@@ -115,18 +116,33 @@ def _tied(df: DataFrame, by: str, pending: DataFrame, seed: int, key: str) -> Da
     return rows.select(F.col("__b").alias("by"), F.concat(_place(seed, key), X.row_fingerprint(df.columns)).alias("place"))
 
 
-def _deeper(places: DataFrame, pending: DataFrame) -> DataFrame:
-    """Per pending class the longer prefix that holds its rank: (by, at, wanted, n)."""
+def _prefix_counts(places: DataFrame, pending: DataFrame) -> DataFrame:
+    """Rows per pending class and longer prefix, and the least and greatest hash of their places.
+
+    All of fixed width, so rows merge by hash; the least text of a group would be found by sorting all rows.
+    """
     pending = pending.select(F.col("by").alias("__b"), "at", "wanted")
     rows = places.join(pending, F.col("by").eqNullSafe(F.col("__b")) & F.col("place").startswith(F.col("at")))
-    counts = rows.groupBy(F.col("__b").alias("by"), "at", "wanted", F.expr(f"left(place, length(at) + {_DIGITS})").alias("prefix")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    return rows.groupBy(F.col("__b").alias("by"), "at", "wanted", F.expr(f"left(place, length(at) + {_DIGITS})").alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("place")).alias("lo"), F.max(F.xxhash64("place")).alias("hi"))
+
+
+def _deeper(places: DataFrame, pending: DataFrame) -> DataFrame:
+    """Per pending class the longer prefix that holds its rank: (by, at, wanted, n)."""
+    counts = _prefix_counts(places, pending)
     upto = W.partitionBy("by").orderBy("prefix")
     ranked = counts.withColumn("upto", F.sum("n").over(upto))
     hit = ranked.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+    found = stage(hit.select(
+        "by", "prefix", (F.col("wanted") - F.col("upto") + F.col("n")).alias("wanted"), "n", (F.col("lo") == F.col("hi")).alias("one")), "sample-prefixes")
     # Where all rows share one place the steps in between are skipped.
-    longer = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("prefix"))
-    return hit.select("by", longer.alias("at"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("wanted"), "n")
+    one = found.where(F.col("one") & (F.col("n") > 1)).select(F.col("by").alias("__b"), "prefix")
+    if one.isEmpty():
+        return found.select("by", F.col("prefix").alias("at"), "wanted", "n")
+    same = places.join(one, F.col("by").eqNullSafe(F.col("__b")) & F.col("place").startswith(F.col("prefix"))).groupBy("__b", "place").agg(
+        F.count(F.lit(1)).alias("__m"))
+    both = found.join(same, F.col("by").eqNullSafe(F.col("__b")) & (F.col("n") == F.col("__m")), "left")
+    return both.select("by", F.coalesce("place", "prefix").alias("at"), "wanted", "n")
 
 
 def _copied(rows: DataFrame, count: str, index: str) -> DataFrame:

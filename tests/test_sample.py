@@ -119,3 +119,21 @@ def test_empty(spark):
     none = _frame(spark, _rows(5)).where("false")
     assert sample.sample_n(none, 3).count() == 0 and sample.exact_stratified_split(none).count() == 0
     assert sample.row_number_per_class(none, 3).count() == 0
+
+
+def test_places_are_counted_without_a_sort_of_all_rows(spark):
+    places = spark.range(5_000).selectExpr("if(id % 50 = 0, 'pos', 'neg') AS by", "md5(CAST(id % 900 AS STRING)) AS place")
+    pending = spark.createDataFrame([("pos", "", 20), ("neg", "", 3_000)], "by string, at string, wanted bigint")
+    counts = sample._prefix_counts(places, pending)
+    assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert counts.groupBy("by").sum("n").orderBy("by").collect() == [("neg", 4_900), ("pos", 100)]
+
+
+def test_one_key_on_most_rows_goes_straight_to_its_place(spark):
+    """Whatever stands at the cutoff: a key of many rows, equal or not, beside single ones."""
+    rows = spark.range(3_000).selectExpr(
+        "if(id < 2500, 'hot', CAST(id AS STRING)) AS row_key", "'neg' AS class", "CAST(if(id < 1200, 0, id) AS STRING) AS x")
+    for k in (700, 2_900):
+        both = sample.split_per_class(rows, k)
+        assert both.where("split = 'train'").count() == k and both.count() == 3_000
+        assert both.drop("split").exceptAll(rows).isEmpty()

@@ -193,3 +193,22 @@ def test_small_files_and_csv(spark):
     root = tempfile.mkdtemp(prefix="run-")
     tables.write_small(spark.range(5).repartition(4), root + "/t", "csv")
     assert spark.read.option("header", True).csv(root + "/t").count() == 5
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    """Rows that lie in two of eight parts reach all cores; few rows stay in one part, more than a part holds make more."""
+    rows = spark.range(0, 8_000, 1, 8).where("id < 2000").selectExpr("CAST(id AS DOUBLE) AS a", "id % 2 AS label")
+
+    def parts(df):
+        return sorted(r[1] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    monkeypatch.setattr(scoring, "PART_ROWS", (100, 1_000))
+    cores = spark.sparkContext.defaultParallelism
+    assert len(parts(rows)) == 2
+    even = parts(scoring._dealt(rows))
+    assert len(even) == cores and max(even) <= 1.2 * 2_000 / cores and sum(even) == 2_000
+    monkeypatch.setattr(scoring, "PART_ROWS", (10, 100))
+    many = parts(scoring._dealt(rows))
+    assert len(many) % cores == 0 and max(many) <= 120 and sum(many) == 2_000
+    monkeypatch.setattr(scoring, "PART_ROWS", (20_000, 1_000_000))
+    assert parts(scoring._dealt(rows)) == [2_000]

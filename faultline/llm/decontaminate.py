@@ -3,7 +3,9 @@
 The benchmark is the side with a bound: its characters are counted before anything is
 collected. Up to ``INDEX_CHARS`` of them are broadcast as one buffer of words; a worker keeps
 the windows as sorted 64-bit hashes with places in that buffer, at most some 60 bytes a word
-while it sorts them, so under 130 MB for a slice of one-letter words. Beyond the bound the items
+while it sorts them, so under 130 MB for a slice of one-letter words. Equal windows are kept once,
+with the items that hold them, so a hit is compared once however often its window occurs in the
+benchmark. Beyond the bound the items
 are dealt by hash into slices. Each slice is a scan and a job of its own, and its broadcast goes
 when the job has ended, so a larger benchmark costs time and no memory.
 
@@ -77,13 +79,14 @@ class Index:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "windows"}
 
-    def words(self, place: int, width: int) -> list[bytes]:
+    def text(self, place: int, width: int) -> bytes:
+        """The words from a place on; none holds a space."""
         start = int(self.ends[place - 1]) + 1 if place else 0
-        return self.buffer[start:int(self.ends[place + width - 1])].split(b" ")
+        return self.buffer[start:int(self.ends[place + width - 1])]
 
     @cached_property
-    def windows(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By width the sorted hashes of the windows and the place of each in the words."""
+    def windows(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By width the sorted hashes of the distinct windows, a place of each in the words, and the numbers of its items from where to where."""
         hashes = _hashes(self.buffer.split(b" ")) if len(self.ends) else np.zeros(0, np.uint64)
         sizes = np.minimum(np.diff(self.first), self.width)
         out = {}
@@ -94,31 +97,53 @@ class Index:
             places = np.flatnonzero(inside)
             mixed = _mixed(hashes, width)[places]
             order = np.argsort(mixed, kind="stable")
-            out[width] = mixed[order], places[order]
+            out[width] = self._distinct(mixed[order], places[order], width)
         return out
 
+    def _distinct(self, mixed: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted windows by their words: hash and place of each, its items' numbers, and the bounds of those."""
+        heads = np.concatenate(([True], mixed[1:] != mixed[:-1]))
+        bounds = np.append(np.flatnonzero(heads), len(mixed))
+        for run in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            start, end = int(bounds[run]), int(bounds[run + 1])
+            text = self.text(int(places[start]), width)
+            if all(self.text(int(p), width) == text for p in places[start + 1:end]):
+                continue
+            by_text: dict[bytes, list[int]] = {}  # the same hash, other words
+            for p in places[start:end].tolist():
+                by_text.setdefault(self.text(p, width), []).append(p)
+            places[start:end] = [p for own in by_text.values() for p in own]
+            heads[start + np.cumsum([0, *map(len, by_text.values())])[:-1]] = True
+        holders = (np.searchsorted(self.first, places, side="right") - 1).astype(np.int32)
+        new = heads.copy()
+        new[1:] |= holders[1:] != holders[:-1]
+        bounds = np.append(np.flatnonzero(heads[new]), np.count_nonzero(new))
+        return mixed[heads], places[heads], holders[new], bounds
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Words of a text, the merged runs of hit words (first, last), the items that occur."""
         found = words(text)
         total = len(found)
-        hit, items = [], set()
+        hit, items = [], np.zeros(len(self.items), bool)
         hashes = _hashes(found) if total else None
-        for width, (wanted, places) in self.windows.items():
+        for width, (wanted, places, holders, bounds) in self.windows.items():
             if width > total:
                 continue
             mixed = _mixed(hashes, width)
             at = np.searchsorted(wanted, mixed)
             at[at == len(wanted)] = 0
+            met = set()
             for start in np.flatnonzero(wanted[at] == mixed).tolist():
-                window, k, met = found[start:start + width], int(at[start]), False
+                window, k = b" ".join(found[start:start + width]), int(at[start])
                 while k < len(wanted) and wanted[k] == mixed[start]:
-                    if self.words(int(places[k]), width) == window:
-                        met = True
-                        items.add(self.items[int(np.searchsorted(self.first, places[k], side="right")) - 1])
+                    if self.text(int(places[k]), width) == window:
+                        met.add(k)
+                        hit.append((start, start + width - 1))
+                        break
                     k += 1
-                if met:
-                    hit.append((start, start + width - 1))
-        return total, merged(hit), items
+            for k in met:
+                items[holders[bounds[k]:bounds[k + 1]]] = True
+        return total, merged(hit), {self.items[k] for k in np.flatnonzero(items)}
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from faultline.llm import decontaminate
@@ -60,6 +61,31 @@ def test_a_benchmark_beyond_the_bound_is_scanned_in_slices(tables, monkeypatch):
     _check(decontaminate.with_hits(docs, benchmark), items)
 
 
+def test_equal_windows_are_compared_once(monkeypatch):
+    """A passage that stands 2,000 times in an item and in a text, and in 500 more items."""
+    rest = [(str(k), "lang und länger. " * 4 + f"own{k}") for k in range(500)]
+    index = decontaminate.Index.of([("many", "lang und länger. " * 2000), *rest, ("other", "lang und kurz " * 4)], 10)
+    compared, text = [], index.text
+    monkeypatch.setattr(index, "text", lambda *at: compared.append(at) or text(*at))
+    assert len(index.windows[10][0]) == 3 + 500 + 3 and len(compared) <= 6000 + 500 * 4 + 3 + 3 + 3
+    compared.clear()
+    total, hits, items = index.scan("Lang und länger. " * 2000)
+    assert (total, hits, items) == (6000, [(0, 5999)], {"many", *(k for k, _ in rest)})
+    assert len(compared) == 5991
+
+
+def test_equal_hashes_of_other_words(monkeypatch):
+    """With one hash for all windows the words alone tell them apart."""
+    monkeypatch.setattr(decontaminate, "_mixed", lambda hashes, width: np.zeros(len(hashes) - width + 1, np.uint64))
+    draw = random.Random(7)
+    some = lambda n: " ".join(draw.choice("ab") for _ in range(n))
+    items = [("1", some(9)), ("2", some(30)), ("3", ""), ("4", some(30)), ("1", "b a"), ("5", "c")]
+    index = decontaminate.Index.of(items, 4)
+    for text in (some(3), some(40), f"c {some(12)}", f"x {items[1][1]} x", "b", ""):
+        total, hits, met = index.scan(text)
+        assert (total, sum(b - a + 1 for a, b in hits), sorted(met)) == _brute(text, items, 4)
+
+
 def test_removal(tables):
     docs, benchmark, items = tables
     clean = {r["doc_id"] for r in docs.collect() if not _brute(r["text"], items)[1]}

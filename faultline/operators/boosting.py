@@ -5,26 +5,20 @@ that gains most on their sums, with a penalty per leaf (``gamma``), on the size
 values (``alpha``, ``lambda_``) and a least hessian per child (``child_weight``). Rows and
 features are drawn per tree.
 
-- Features become bins once, by cuts from one aggregate of mergeable quantile sketches. The
-  binned rows are written in blocks with their margin: a byte per cell.
-- A level of a tree is one pass: a task adds up gradient and hessian by (node, feature, bin)
-  over all its blocks, the sums merge before the shuffle, and the merged histograms reach the
-  driver: at most nodes x features x bins of them, whatever the rows. Only the smaller child
-  of a split is counted, the other one is the rest of its parent.
-- The trees since the blocks were last written are walked in the pass; every ``REWRITE``
-  rounds the blocks are written anew with their margins, so a lost executor costs a pass.
+- Features become bins once, by cuts from one pass of mergeable summaries. The binned rows
+  are written in blocks with their margin: a byte per cell.
+- The trees are grown by tasks that keep their blocks for all rounds (``growing.py``).
 
 Rows are drawn by a hash of the row and the round, so the model does not depend on how the
-rows are dealt over tasks, but for the rounding of sums and, beyond as many rows as a sketch
-holds, for cuts that differ by a fraction of a bin from run to run.
+rows are dealt over tasks, but for the rounding of sums and, beyond as many distinct values as
+a summary holds, for cuts that differ by a fraction of a bin from run to run.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,18 +26,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline import schema as S
+from faultline.operators import growing
+from faultline.operators.growing import Grown, Objective, Tree
 from faultline.session import remove_path, scratch_path
 from faultline.sources.tables import write_small, write_stage
 
+#: Rounds after which the trees are stored for a stage that has to run again.
 REWRITE = 10
-#: Rows of a file of blocks: at least as many, unless there are fewer, and so many where all cores have some.
-FILE_ROWS = 50_000, 1_000_000
+#: Rows of a task: at least as many, unless there are fewer.
+TASK_ROWS = 50_000
 #: Blocks that meet a worker at once.
 BATCH_BLOCKS = 8
-#: Values that a sketch of a feature holds per bin, and at least.
+#: Values that a summary of a feature holds per bin, and at least.
 RANK_K, LEAST_K = 16, 1024
+#: Rows that are summed up at once.
+SUMMARY_ROWS = 200_000
 _BLOCK = "bins binary, label binary, weight binary, row binary, margin binary"
-_CELLS = "cell bigint, g double, h double"
 #: Splits that gain no more than this are rounding.
 LEAST_GAIN = 1e-6
 
@@ -85,56 +83,6 @@ class Params:
 WEIGHTED = Params(child_weight=3.0, gamma=0.1, alpha=0.1, lambda_=1.0)
 
 
-@dataclass
-class Tree:
-    """Nodes as arrays; a node without feature (-1) is a leaf. Cells up to the cut go left."""
-
-    feature: list[int] = field(default_factory=list)
-    bin: list[int] = field(default_factory=list)
-    cut: list[float] = field(default_factory=list)
-    left: list[int] = field(default_factory=list)
-    right: list[int] = field(default_factory=list)
-    value: list[float] = field(default_factory=list)
-    cover: list[float] = field(default_factory=list)
-
-    def add(self, value: float, cover: float) -> int:
-        for column, x in ((self.feature, -1), (self.bin, 0), (self.cut, 0.0), (self.left, -1), (self.right, -1),
-                          (self.value, float(value)), (self.cover, float(cover))):
-            column.append(x)
-        return len(self.feature) - 1
-
-    def split(self, node: int, feature: int, bin_: int, cut: float, left: int, right: int) -> None:
-        self.feature[node], self.bin[node], self.cut[node] = feature, bin_, cut
-        self.left[node], self.right[node] = left, right
-
-    def ends(self, cells: np.ndarray, by_bin: bool) -> np.ndarray:
-        """The node of each row; ``cells`` is features x rows, of bins or of values."""
-        size = cells.shape[1]
-        node = np.zeros(size, np.int64)
-        feature = np.array(self.feature)
-        inner = feature >= 0
-        if not inner.any() or not size:
-            return node
-        # A leaf asks for any cell and stays where it is, whatever the answer.
-        at = np.arange(len(feature))
-        ways = np.stack([np.where(inner, self.right, at), np.where(inner, self.left, at)], axis=1).ravel()
-        start = np.where(inner, feature, 0) * size
-        cut = np.array(self.bin if by_bin else self.cut)
-        cut = cut.astype(cells.dtype) if by_bin else cut
-        flat, rows = np.ascontiguousarray(cells).ravel(), np.arange(size)
-        for _ in range(self._depth()):
-            node = ways[2 * node + (flat[start[node] + rows] <= cut[node])]
-        return node
-
-    def _depth(self) -> int:
-        """Steps of the longest way to a leaf; a child comes after its parent."""
-        steps = [0] * len(self.feature)
-        for n, f in enumerate(self.feature):
-            if f >= 0:
-                steps[self.left[n]] = steps[self.right[n]] = steps[n] + 1
-        return max(steps)
-
-
 @dataclass(frozen=True)
 class BoostedTrees:
     """A fitted model: its feature order, the margin it starts from, its trees, and the loss before each round."""
@@ -183,30 +131,88 @@ class BoostedTrees:
         return cls(tuple(f[1] for f in features), features[0][2], tuple(trees[t] for t in sorted(trees)))
 
 
-def fit_cuts(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
+def _thinned(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted distinct values with their counts, if more than ``size``, those at even ranks stand for the others."""
+    if len(values) <= size:
+        return values, counts
+    ranks = np.cumsum(counts)
+    kept = np.unique(np.searchsorted(ranks, (np.arange(1, size + 1) * ranks[-1]) // size, side="left"))
+    return values[kept], np.diff(ranks[kept], prepend=0)
+
+
+def fit_cuts(df: DataFrame, features: Sequence[str], bins: int, midpoints: bool = False) -> list[np.ndarray]:
     """Cuts per feature: at most ``bins - 1`` of its own values, spread by rank, below its largest one.
 
-    One aggregate over all features; sketches merge before the shuffle, and hold ``RANK_K``
-    values per bin: exact up to so many rows, and within a fraction of a bin by rank beyond.
-    A missing cell is an error. Fewer distinct values than bins give a cut at each of them but
-    the last.
+    One pass over all features; a task sums its rows up by values with counts, and one task per
+    feature merges these. A summary holds ``RANK_K`` values per bin: exact up to so many distinct
+    ones, and within a fraction of a bin by rank beyond. A missing cell is an error. Fewer
+    distinct values than bins give a cut at each of them but the last. ``midpoints`` moves a cut
+    halfway to the next value.
     """
-    shares = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    size = F.lit(max(RANK_K * bins, LEAST_K))
-    parts = []
-    for i, f in enumerate(features):
-        x = F.col(f"`{f}`").cast("double")
-        # A sketch of no value cannot be asked.
-        quantiles = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(x, size), shares)
-        parts += [
-            F.when(F.count_if(x.isNotNull() & ~F.isnan(x)) > 0, quantiles).alias(f"c{i}"), F.max(x).alias(f"m{i}"),
-            F.count_if(x.isNull() | F.isnan(x)).alias(f"n{i}")]
-    row = df.agg(*parts).first()
-    missing = [f for i, f in enumerate(features) if row[f"n{i}"]]
+    if not features:
+        return []
+    size = max(RANK_K * bins, LEAST_K)
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+        return _thinned(values, np.bincount(at, np.concatenate([c for _, c in parts]), len(values)).astype(np.int64), size)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Parts double in rows, so a value is thinned as often as the logarithm of the rows.
+        waiting, rows = [], 0
+        held: list[list] = [[] for _ in features]
+        missing = np.zeros(len(features), np.int64)
+
+        def taken() -> None:
+            for i in range(len(features)):
+                x = np.concatenate([w[i] for w in waiting])
+                keep = x[~np.isnan(x)]
+                missing[i] += len(x) - len(keep)
+                part = (0, *_thinned(*np.unique(keep, return_counts=True), size))
+                while held[i] and held[i][-1][0] == part[0]:
+                    other = held[i].pop()
+                    part = (part[0] + 1, *merged([other[1:], part[1:]]))
+                held[i].append(part)
+
+        for batch in batches:
+            waiting.append([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= SUMMARY_ROWS:
+                taken()
+                waiting, rows = [], 0
+        if waiting:
+            taken()
+        for i, parts in enumerate(held):
+            if parts:
+                values, counts = merged([p[1:] for p in parts])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
+                     pa.array([missing[i]], pa.int64())], names=["feature", "value", "rows", "missing"])
+
+    def cut(parts: pd.DataFrame) -> pd.DataFrame:
+        # Not thinned again: every task's summary is within its share of a bin.
+        values = np.concatenate([np.frombuffer(v, float) for v in parts["value"]])
+        counts = np.concatenate([np.frombuffer(c, np.int64) for c in parts["rows"]])
+        values, place = np.unique(values, return_inverse=True)
+        ranks = np.cumsum(np.bincount(place, counts, len(values)).astype(np.int64))
+        at = np.searchsorted(ranks, np.arange(1, bins) / bins * ranks[-1], side="left") if len(ranks) else np.zeros(0, int)
+        at = np.unique(at[at < len(ranks) - 1])
+        found = values[at]
+        if midpoints:
+            # A midpoint that is no number, or rounds up to the next value, would not keep them apart.
+            between = found / 2 + values[at + 1] / 2
+            found = np.where(np.isfinite(between) & (between >= found) & (between < values[at + 1]), between, found)
+        return pd.DataFrame({
+            "feature": [int(parts["feature"].iloc[0])], "missing": [int(parts["missing"].sum())], "cuts": [found.tolist()]})
+
+    cells = df.select(*(F.col(f"`{f}`").cast("double").alias(f"__{i}") for i, f in enumerate(features)))
+    found = {r["feature"]: r for r in cells.mapInArrow(
+        summed, "feature int, value binary, rows binary, missing bigint").groupBy("feature").applyInPandas(
+        cut, "feature int, missing bigint, cuts array<double>").collect()}
+    missing = [f for i, f in enumerate(features) if i in found and found[i]["missing"]]
     if missing:
         raise ValueError(f"missing cells in {missing}; fill them before training")
-    cuts = [np.unique(np.array(row[f"c{i}"] or [], float)) for i in range(len(features))]
-    return [c[c < row[f"m{i}"]] if len(c) else c for i, c in enumerate(cuts)]
+    return [np.array(found[i]["cuts"] if i in found else [], float) for i in range(len(features))]
 
 
 @contextmanager
@@ -237,82 +243,6 @@ def _blocks(rows: DataFrame, cuts: list[np.ndarray], base: float) -> DataFrame:
     return rows.mapInArrow(packed, _BLOCK)
 
 
-class _Block:
-    """One block and the trees that its margins have not been written with yet."""
-
-    def __init__(self, row: list[bytes], features: int, waiting: Sequence[Tree]):
-        self.label, self.weight, self.written = (np.frombuffer(row[i], np.float64) for i in (1, 2, 4))
-        self.row = np.frombuffer(row[3], np.uint64)
-        self.bins = np.frombuffer(row[0], np.uint8).reshape(features, -1)
-        self.waiting = waiting
-
-    def margin(self, taken: np.ndarray | None = None) -> np.ndarray:
-        """The margins of all rows, or of those taken."""
-        out, bins = (self.written, self.bins) if taken is None else (self.written[taken], self.bins[:, taken])
-        for tree in self.waiting:
-            out = out + np.array(tree.value)[tree.ends(bins, True)]
-        return out
-
-    def drawn(self, round_: int, params: Params) -> np.ndarray:
-        """The rows of a round, by a hash of the row and the round."""
-        if params.row_share >= 1:
-            return np.ones(len(self.row), bool)
-        x = self.row + np.uint64((params.seed * 1_000_003 + round_ + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        return (x ^ (x >> np.uint64(31))) < np.uint64(int(params.row_share * 2.0 ** 64))
-
-
-def _counted(
-    blocks: DataFrame, features: int, waiting: Sequence[Tree], tree: Tree, nodes: Sequence[int], columns: np.ndarray,
-    round_: int, params: Params,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and hessian by (node, feature, bin, 2) over the drawn rows; and loss and rows of all rows."""
-    shape = len(nodes), len(columns), params.bins
-    slots = np.full(len(tree.feature), -1)
-    slots[list(nodes)] = np.arange(len(nodes))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = math.prod(shape)
-        first = np.arange(shape[1])[:, None] * shape[2]
-        g_sums, h_sums, seen = np.zeros(size), np.zeros(size), np.zeros(size, bool)
-        loss = np.zeros(2)
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                block = _Block(row, features, waiting)
-                slot = slots[tree.ends(block.bins, True)]
-                taken = np.flatnonzero(block.drawn(round_, params) & (slot >= 0))
-                if len(tree.feature) == 1:
-                    margin = block.margin()
-                    signed = np.where(block.label > 0, -margin, margin)
-                    loss += ((np.logaddexp(0, signed) * block.weight).sum(), block.weight.sum())
-                    margin = margin[taken]
-                else:
-                    margin = block.margin(taken)
-                if not len(taken):
-                    continue
-                p = 1 / (1 + np.exp(-margin))
-                weight = block.weight[taken]
-                g = weight * (p - block.label[taken])
-                h = weight * p * (1 - p)
-                # All features in one count: each makes sums for every cell, however few rows a block has in them.
-                cells = (slot[taken] * (shape[1] * shape[2]) + first + block.bins[:, taken][columns]).ravel()
-                g_sums += np.bincount(cells, np.tile(g, shape[1]), size)
-                h_sums += np.bincount(cells, np.tile(h, shape[1]), size)
-                seen[cells] = True
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.append(at, -1)), pa.array(np.append(g_sums[at], loss[0])), pa.array(np.append(h_sums[at], loss[1]))],
-            names=["cell", "g", "h"])
-
-    merged = blocks.mapInArrow(count, _CELLS).groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-    cell, g, h = (c.to_numpy() for c in merged.columns)
-    sums = np.zeros((math.prod(shape), 2))
-    inner = cell >= 0
-    sums[cell[inner], 0], sums[cell[inner], 1] = g[inner], h[inner]
-    return sums.reshape(*shape, 2), np.array([g[~inner].sum(), h[~inner].sum()])
-
-
 def best_split(sums: np.ndarray, params: Params) -> tuple[float, int, int] | None:
     """The gain, feature and bin of a node's best split; of equal ones the first feature, then bin."""
     left = np.cumsum(sums, axis=1)
@@ -331,97 +261,93 @@ def best_split(sums: np.ndarray, params: Params) -> tuple[float, int, int] | Non
     return float(gain[feature, bin_]), int(feature), int(bin_)
 
 
-def _grown(
-    blocks: DataFrame, cuts: list[np.ndarray], waiting: Sequence[Tree], round_: int, params: Params,
-) -> tuple[Tree, np.ndarray]:
-    """One tree, level by level, and the loss before it."""
-    features = len(cuts)
-    draw = np.random.default_rng([params.seed, round_])
-    columns = np.sort(draw.permutation(features)[:max(1, int(params.feature_share * features))])
-    tree = Tree()
-    tree.add(0.0, 0.0)
-    sums, loss = _counted(blocks, features, waiting, tree, [0], columns, round_, params)
-    g, h = sums[0, 0].sum(axis=0) if features else (0.0, 0.0)
-    tree.value[0], tree.cover[0] = float(params.step * params.leaf(g, h)), float(h)
-    level = {0: sums[0]}
-    least = 2 * params.child_weight * (1 - 1e-9)
-    for depth in range(params.depth):
-        pairs = []
-        for node, own in level.items():
-            found = best_split(own, params)
-            if found is None:
-                continue
-            _, k, bin_ = found
-            sides = []
-            for part in (own[k, :bin_ + 1].sum(axis=0), own[k, bin_ + 1:].sum(axis=0)):
-                sides.append((tree.add(params.step * params.leaf(*part), part[1]), part[1]))
-            (left, left_h), (right, right_h) = sides
-            f = int(columns[k])
-            tree.split(node, f, bin_, float(cuts[f][bin_]), left, right)
-            # A node that could not give both sides their weight is a leaf and is not counted.
-            if max(left_h, right_h) >= least:
-                pairs.append((node, left, right) if left_h <= right_h else (node, right, left))
-        if not pairs or depth == params.depth - 1:
-            break
-        sums, _ = _counted(blocks, features, waiting, tree, [p[1] for p in pairs], columns, round_, params)
-        level = {
-            node: own for slot, (parent, small, large) in enumerate(pairs)
-            for node, own in ((small, sums[slot]), (large, level[parent] - sums[slot])) if tree.cover[node] >= least}
-    return tree, loss
-
-
-def _rewritten(blocks: DataFrame, features: int, waiting: Sequence[Tree]) -> DataFrame:
-    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margins = [_Block(row, features, waiting).margin().tobytes() for row in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(margins, pa.binary())], names=batch.schema.names)
+@dataclass(frozen=True)
+class _SecondOrder:
+    """Gradient and hessian of the logistic loss, and trees that gain most on them."""
 
-    return blocks.mapInArrow(moved, _BLOCK)
+    params: Params
+    squares: bool = False
+    rounds = property(lambda self: self.params.rounds)
+    depth = property(lambda self: self.params.depth)
+    bins = property(lambda self: self.params.bins)
+    row_share = property(lambda self: self.params.row_share)
+    seed = property(lambda self: self.params.seed)
+    base = property(lambda self: self.params.base)
 
+    def columns(self, round_: int, features: int) -> np.ndarray:
+        draw = np.random.default_rng([self.params.seed, round_])
+        return np.sort(draw.permutation(features)[:max(1, int(self.params.feature_share * features))])
 
-def fit(
-    df: DataFrame, features: Sequence[str], label: str = "label", params: Params = Params(), weight: Column | None = None,
-    key: str | None = None,
-) -> BoostedTrees:
-    """Train on complete rows; a label that is null or neither 0 nor 1, or a missing cell, is an error.
+    def rows(self, round_: int, margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        signed = np.where(label > 0, -margin, margin)
+        small = np.exp(-np.abs(signed))
+        # The share of the wrong class, from the smaller exponential.
+        wrong = np.where(signed >= 0, 1.0, small) / (1 + small)
+        return [np.where(label > 0, -weight, weight) * wrong, weight * small / (1 + small) ** 2], np.maximum(signed, 0) + np.log1p(small)
 
-    ``key`` names the column that identifies a row for drawing; without it the row's own
-    cells do, and equal rows are drawn together. No rows, or labels of one class, are errors.
-    """
+    def best(self, sums: np.ndarray, columns: np.ndarray, features: int, round_: int, node: int) -> tuple[float, int, int] | None:
+        return best_split(sums, self.params)
+
+    def value(self, sums: np.ndarray) -> float:
+        return self.params.step * self.params.leaf(*sums)
+
+    def cover(self, sums: np.ndarray) -> float:
+        return sums[1]
+
+    def divisible(self, sums: np.ndarray) -> bool:
+        return sums[1] >= 2 * self.params.child_weight * (1 - 1e-9)
+
+    def scale(self, round_: int) -> float:
+        return 1.0
+
+
+def _counted(
+    blocks: DataFrame, tasks: int, objective: Objective, cuts: Sequence[np.ndarray], folder: str, save_every: int,
+) -> tuple[list[Grown], list[float]]:
+    return growing.grow(blocks, tasks, objective, cuts, folder, save_every)
+
+
+def grown(
+    df: DataFrame, features: Sequence[str], label: str, objective: Objective, weight: Column | None = None,
+    identity: Column | None = None, midpoints: bool = False, one_class: bool = False,
+) -> tuple[list[Grown], list[float]]:
+    """The trees of an objective over complete rows, and the loss before each.
+
+    ``identity`` is the hash that rows are drawn by; without it the row's own cells are hashed.    """
     spark = df.sparkSession
-    if not 2 <= params.bins <= 256:
+    if not 2 <= objective.bins <= 256:
         raise ValueError("bins are 2 to 256")
     y = F.col(f"`{label}`")
     counts = df.agg(F.count(F.lit(1)), F.count_if(y == 0), F.count_if(y == 1)).first()
     if counts[0] != counts[1] + counts[2]:
         raise ValueError("labels have to be 0 or 1")
-    if not counts[1] or not counts[2]:
-        raise ValueError("training rows hold one class only")
-    cuts = fit_cuts(df, features, params.bins)
+    if not counts[0] if one_class else not counts[1] or not counts[2]:
+        raise ValueError("no training rows" if one_class else "training rows hold one class only")
+    cuts = fit_cuts(df, features, objective.bins, midpoints)
     cells = [F.col(f"`{f}`").cast("double") for f in features]
-    identity = F.xxhash64(F.col(f"`{key}`")) if key else F.xxhash64(y, *cells)
     rows = df.select(
         y.cast("double").alias("__label"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("__weight"),
-        identity.alias("__row"), *(c.alias(f"__{i}") for i, c in enumerate(cells)))
-    path = scratch_path(spark, "boost-blocks")
-    # Few files for few rows, and otherwise some for every core: a pass has as many tasks as there are files, or more.
-    fewest, most = FILE_ROWS
-    files = max(1, min(counts[0] // fewest, max(2 * spark.sparkContext.defaultParallelism, counts[0] // most)))
-    blocks = write_stage(_blocks(rows, cuts, params.base).repartition(files), path)
-    trees: list[Tree] = []
-    waiting: list[Tree] = []
-    losses: list[float] = []
-    with _few_blocks_a_batch(spark):
-        for round_ in range(params.rounds):
-            tree, (loss, rows_weight) = _grown(blocks, cuts, waiting, round_, params)
-            trees.append(tree)
-            waiting.append(tree)
-            losses.append(float(loss / rows_weight))
-            if len(waiting) == REWRITE and round_ + 1 < params.rounds:
-                before, path = path, scratch_path(spark, "boost-blocks")
-                blocks = write_stage(_rewritten(blocks, len(cuts), waiting), path)
-                remove_path(spark, before)
-                waiting = []
-    remove_path(spark, path)
-    return BoostedTrees(tuple(features), params.base, tuple(trees), tuple(losses))
+        (F.xxhash64(y, *cells) if identity is None else identity).alias("__row"), *(c.alias(f"__{i}") for i, c in enumerate(cells)))
+    path, told = scratch_path(spark, "boost-blocks"), scratch_path(spark, "boost-sums")
+    # Few tasks for few rows, and otherwise one for every core: they run side by side.
+    tasks = max(1, min(counts[0] // TASK_ROWS, growing.slots(spark)))
+    blocks = write_stage(_blocks(rows, cuts, objective.base).repartition(tasks), path)
+    try:
+        with _few_blocks_a_batch(spark):
+            return _counted(blocks, tasks, objective, cuts, told, REWRITE)
+    finally:
+        remove_path(spark, told)
+        remove_path(spark, path)
+
+
+def fit(
+    df: DataFrame, features: Sequence[str], label: str = "label", params: Params = Params(), weight: Column | None = None,
+    key: str | None = None,
+) -> BoostedTrees:
+    """Train on complete rows; a label that is null or neither 0 nor 1, or a missing cell, is an error.
 
+    ``key`` names the column that identifies a row for drawing; without it the row's own
+    cells do, and equal rows are drawn together. No rows, or labels of one class, are errors.
+    """
+    trees, losses = grown(df, features, label, _SecondOrder(params), weight, F.xxhash64(F.col(f"`{key}`")) if key else None)
+    return BoostedTrees(tuple(features), params.base, tuple(g.tree for g in trees), tuple(losses))
